@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm.common import table
+from docmill.llm.common import map_arrow, table, with_fields
 
 #: Unicode's White_Space, which \\s means in the pattern's own regex dialect.
 WHITE_SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -163,16 +163,11 @@ def encode(spark: SparkSession, docs: DataFrame, *, vocabulary: str, pattern: st
             out += [pa.array(all_ids, ids_type)] * with_ids + [pa.array(texts, pa.string())] * bool(decoded)
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    own = docs.select(*keep)
-    added = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *[("ids", "array<int>")] * with_ids, *[(decoded, "string")] * bool(decoded)]
-    names = [*keep, *(n for n, _ in added)]
-    if len({n.lower() for n in names}) < len(names):
-        raise ValueError(f"clashing columns: {names}")
-    schema = own.schema
-    for n, kind in added:
-        schema = schema.add(n, kind)
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + (f", `{decoded}` string" if decoded else "")
+    schema = with_fields(docs.select(*keep).schema, added)
+    names = schema.names
     # A batch holds whole texts, so few rows a batch bound a worker's memory.
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, docs[text].alias("__text")), run, schema)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

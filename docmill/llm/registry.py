@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from docmill.llm.bpe import op7_byte_bpe
+from docmill.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
