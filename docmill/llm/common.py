@@ -86,3 +86,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(node, root) of an undirected graph given as (a, b): root is the component's smallest node.
+
+    Alternates large-star and small-star contraction until the edges are stars.  Each
+    round is joins and minima by node, pre-aggregated before the shuffle, and is written
+    to the shared folder; a hub's edges are rows like others and can be split.
+    """
+    a, b = F.col("a"), F.col("b")
+    now = materialize(spark, edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before, u, v, m = mark(now), F.col("u"), F.col("v"), F.col("m")
+    while before[0]:
+        both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where(v > u).select(v.alias("u"), m.alias("v")).where(u != v).distinct()
+        large = materialize(spark, large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where(v != m).select(v.alias("u"), m.alias("v"))
+        now = materialize(spark, small.unionByName(least.select("u", m.alias("v"))).distinct(), "small")
+        after = mark(now)
+        if after == before:
+            break
+        before = after
+    return now.select(u.alias("node"), v.alias("root")).unionByName(now.select(v.alias("node"), v.alias("root")).distinct())
+
+
+def grouped(batches, key_columns: int):
+    """Rows of sorted Arrow batches, one list of batch slices for each run of equal keys in
+    the first columns (integers without nulls); a run may go on from batch to batch."""
+    import pyarrow as pa
+
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(key_columns)])
+        starts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for i, j in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+            own = tuple(keys[:, i])
+            if own != key and held:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = own
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield key, pa.Table.from_batches(held)

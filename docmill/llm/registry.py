@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from docmill.llm.bpe import op7_byte_bpe
+from docmill.llm.jaccard import op10_ngram_jaccard
 from docmill.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
