@@ -5,10 +5,12 @@ from __future__ import annotations
 from docmill.llm.bpe import op7_byte_bpe
 from docmill.llm.decontaminate import op9_decontaminate
 from docmill.llm.jaccard import op10_ngram_jaccard
+from docmill.llm.pii import op5_pii
 from docmill.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op5_pii": op5_pii,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_ngram_jaccard": op10_ngram_jaccard,

@@ -275,16 +275,17 @@ def score(spark: SparkSession, documents: DataFrame, model: Model, *, text: str
     ``max_examples`` and ``max_terms``, is broadcast."""
     keep = [c for c in documents.columns if c != text] if keep is None else keep
     shipped = spark.sparkContext.broadcast(model)
+    at = keep.index(text) if text in keep else len(keep)
     schema = with_fields(documents.select(*keep).schema, "score double, predicted int, evidence array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in batches:
-            got = [model.score(t.as_py() or "") for t in batch.column(len(keep))]
+            got = [model.score(t.as_py() or "") for t in batch.column(at)]
             values = [s for s, _ in got]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, pa.float64()), pa.array([int(s >= THRESHOLD) for s in values], pa.int32()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=schema.names)
 
-    return map_arrow(documents.select(*keep, documents[text].alias("__text")), run, schema)
+    return map_arrow(documents.select(*keep, *[documents[text].alias("__text")] * (at == len(keep))), run, schema)
 
 
 def in_fold(c: Column | str = "doc_id") -> Column:
