@@ -6,10 +6,14 @@ from docmill.llm.bpe import op7_byte_bpe
 from docmill.llm.decontaminate import op9_decontaminate
 from docmill.llm.jaccard import op10_ngram_jaccard
 from docmill.llm.pii import op5_pii
+from docmill.llm.secrets import op1_secret_scan
 from docmill.llm.toxicity import op2_toxicity
+from docmill.llm.urlfilter import op3_url_filter
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
+    "op3_url_filter": op3_url_filter,
     "op5_pii": op5_pii,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
