@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docmill.llm.bpe import op7_byte_bpe
 from docmill.llm.decontaminate import op9_decontaminate
+from docmill.llm.fingerprint import op8_order_minhash
 from docmill.llm.jaccard import op10_ngram_jaccard
 from docmill.llm.pii import op5_pii
 from docmill.llm.secrets import op1_secret_scan
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op5_pii": op5_pii,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_order_minhash": op8_order_minhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
