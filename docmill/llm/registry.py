@@ -10,12 +10,14 @@ from docmill.llm.pii import op5_pii
 from docmill.llm.secrets import op1_secret_scan
 from docmill.llm.toxicity import op2_toxicity
 from docmill.llm.urlfilter import op3_url_filter
+from docmill.llm.warc import op6_warc
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op3_url_filter": op3_url_filter,
     "op5_pii": op5_pii,
+    "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_order_minhash": op8_order_minhash,
     "op9_decontaminate": op9_decontaminate,
