@@ -11,11 +11,13 @@ from docmill.llm.secrets import op1_secret_scan
 from docmill.llm.toxicity import op2_toxicity
 from docmill.llm.urlfilter import op3_url_filter
 from docmill.llm.warc import op6_warc
+from docmill.llm.wrapper import op4_html_text
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op3_url_filter": op3_url_filter,
+    "op4_html_text": op4_html_text,
     "op5_pii": op5_pii,
     "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
