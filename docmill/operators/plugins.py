@@ -11,9 +11,11 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.workers import ship
+
 BATCH = 32
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -39,6 +41,7 @@ def hashing_embedder(dim: int = 64) -> Embedder:
 
 def embed_column(text: Column, make: Callable[[], Embedder]) -> Column:
     """Embeds in batches of 32; ``make`` loads the model, once a task."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -65,6 +68,7 @@ def rerank_with(score: Callable[[list[tuple[str, str]]], list[float]]) -> Callab
 
 def recognise_column(image: Column, name: Column, engines: list[Recogniser]) -> Column:
     """Text of an image by the first engine that gives any; an engine that raises is off for the task."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -14,12 +14,13 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators.catalog import parser_of
 from docmill.schemas import BLOCKS
+from docmill.workers import map_arrow
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -29,6 +30,7 @@ P = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 #: Built-in number formats that show dates.
 DATE_FORMATS = frozenset([*range(14, 18), 22, *range(27, 37), *range(50, 59)])
 Block = dict
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -169,20 +171,18 @@ EXTRACTORS: dict[str, Callable[[bytes], Iterator[Block]]] = {"docx": docx_blocks
 def blocks(files: DataFrame, extractors: dict[str, Callable[[bytes], Iterator[Block]]] | None = None) -> DataFrame:
     """Files -> blocks.  Unsupported files give no row, failing ones a row with their error."""
     known = EXTRACTORS | (extractors or {})
-    names = [f.split()[0] for f in BLOCKS.split(", ")]
+    schema = pa.schema([(n, pa.list_(pa.list_(pa.string())) if n == "grid" else _ARROW[t]) for n, t in (f.split() for f in BLOCKS.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for f in batch.itertuples(index=False):
-                head = {"file_hash": f.file_hash, "file_name": f.file_name, "file_path": f.file_path}
+            for f in batch.to_pylist():
+                head = {k: f[k] for k in ("file_hash", "file_name", "file_path")}
                 try:
-                    if f.parser not in known:
-                        raise ValueError(f"no extractor for {f.parser}")
-                    rows += [head | {"ord": i} | b for i, b in enumerate(known[f.parser](bytes(f.content)))]
+                    if f["parser"] not in known:
+                        raise ValueError(f"no extractor for {f['parser']}")
+                    rows = [head | {"ord": i} | b for i, b in enumerate(known[f["parser"]](f["content"]))]
                 except Exception as e:
-                    rows.append(head | {"ord": 0, "kind": "error", "error": f"{type(e).__name__}: {e}"[:500]})
-            out = pd.DataFrame(rows, columns=names, dtype="object")
-            yield out
+                    rows = [head | {"ord": 0, "kind": "error", "error": f"{type(e).__name__}: {e}"[:500]}]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.where("parser is not null").mapInPandas(run, BLOCKS)
+    return map_arrow(files.where("parser is not null"), run, BLOCKS)
