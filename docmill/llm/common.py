@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docmill.workers import map_arrow  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,32 +30,6 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers once per application; Spark serves the file to every executor."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "docmill-workers.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    context.addPyFile(path)
-
-
-def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
-    ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
-
-
 def with_fields(schema: StructType, ddl: str) -> StructType:
     """The schema with further fields; a name that clashes, in any case, is refused."""
     out = StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
