@@ -10,7 +10,8 @@ pre-tokens by the vocabulary's pattern and each pre-token is encoded by itself;
 decoding maps ids to bytes and joins them.
 
 Null texts count as empty (no tokens).  Special tokens are never produced:
-their strings are ordinary text.  Any length of text and of pre-token is
+their strings are ordinary text.  Input columns named like added ones give way to
+them; repeated rows get equal results; an empty table gives none.  Any length of text and of pre-token is
 encoded whole; the pre-token cache only saves time and is bounded.
 """
 
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm.common import map_arrow, table, with_fields
+from docmill.llm.common import map_arrow, room_for, spare_name, table, with_fields
 
 #: Unicode's White_Space, which \\s means in the pattern's own regex dialect.
 WHITE_SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -138,7 +139,8 @@ def encode(spark: SparkSession, docs: DataFrame, *, vocabulary: str, pattern: st
     One pass without a shuffle; the vocabulary (a fixed file of about a megabyte) is
     read on the driver and broadcast.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + (f", `{decoded}` string" if decoded else "")
+    keep = room_for([c for c in docs.columns if c != text] if keep is None else keep, added)
     tokens = read_ranks(vocabulary)
     model = serialise_model(tokens)
     key = hashlib.sha256(model + pattern.encode()).hexdigest()
@@ -163,11 +165,10 @@ def encode(spark: SparkSession, docs: DataFrame, *, vocabulary: str, pattern: st
             out += [pa.array(all_ids, ids_type)] * with_ids + [pa.array(texts, pa.string())] * bool(decoded)
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + (f", `{decoded}` string" if decoded else "")
     schema = with_fields(docs.select(*keep).schema, added)
     names = schema.names
     # A batch holds whole texts, so few rows a batch bound a worker's memory.
-    return map_arrow(docs.select(*keep, docs[text].alias("__text")), run, schema)
+    return map_arrow(docs.select(*keep, docs[text].alias(spare_name(keep))), run, schema)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

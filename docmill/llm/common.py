@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,15 +31,22 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def with_fields(schema: StructType, ddl: str) -> StructType:
-    """The schema with further fields; a name that clashes, in any case, is refused."""
-    out = StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
-    if len({n.lower() for n in out.names}) < len(out.names):
-        raise ValueError(f"clashing columns: {out.names}")
-    return out
+    """The schema with further fields at its end."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def text_or_empty(c: Column | str) -> Column:
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+def room_for(names: list[str], ddl: str) -> list[str]:
+    """The names without those of the DDL, in any case: input columns give way to an operator's own."""
+    taken = {n.lower() for n in StructType.fromDDL(ddl).names}
+    return [n for n in names if n.lower() not in taken]
+
+
+def spare_name(names: list[str]) -> str:
+    """A column name that is not in use."""
+    name, used = "text__", {n.lower() for n in names}
+    while name in used:
+        name += "_"
+    return name
 
 
 #: ASCII characters that end a word become spaces; other bytes stay, so letters of any script hold together.

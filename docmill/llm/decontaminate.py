@@ -13,7 +13,8 @@ documents pass it, row by row, without a shuffle.
 
 Edges: null texts count as empty; an item of fewer than five words can't be told
 from ordinary text and never matches; repeated items and documents each get their
-own result; an empty benchmark leaves all documents clean.
+own result; items without an id or text are left out; an empty benchmark leaves all
+documents clean; input columns named like added ones give way to them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import folded_words, map_arrow, mix64, table, with_fields
+from docmill.llm.common import folded_words, map_arrow, mix64, room_for, table
 
 SEED, COVERAGE, BLOCK_BYTES = 5, 0.5, 16_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -166,8 +167,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    with_fields(docs.schema, "items array<long>, coverage double, contaminated boolean")  # refuses clashing names
-    out = docs.withColumns({"items": F.array().cast("array<long>"), "coverage": F.lit(0.0)})
+    own = room_for(docs.columns, "items array<long>, coverage double, contaminated boolean")
+    out = docs.select(*own, F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("coverage"))
     names = out.columns
     at = names.index(text)
     for b in range(blocks):

@@ -19,7 +19,7 @@ begins the next range, so all texts are shuffled once and no window spans the ta
 Edges: null texts count as empty; a text without units has an empty fingerprint,
 alike only to another such; a text of one unit has one k-mer.  Null ids come
 before all others; rows that share an id follow each other by text.  A single row
-follows itself.
+follows itself; an empty table gives no rows; further columns are left out.
 """
 
 from __future__ import annotations

@@ -28,7 +28,8 @@ transitively linked group), ``copy_of`` (smallest id with the same shingle set),
 
 Edges: null texts count as empty; empty texts have no shingles and are copies of
 each other only; rows with a null id are returned without a class and with no
-links; rows that repeat an id count as further documents of their text's class.
+links; rows that repeat an id count as further documents of their text's class;
+further columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -152,11 +153,11 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         values = [shingles(t.as_py() or "", hashes) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v in values], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], names=["class_id", "key", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v in values], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], names=["doc_id", "key", "shingles"])
 
 
 def _bucket_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, i, j, class_id, signature), sorted by group -> edges to the smallest class of each part."""
+    """(bucket, i, j, node, signature), sorted by group -> edges to the smallest node of each part."""
     least, a, b = least_matches(), [], []
 
     def flush() -> pa.RecordBatch:
@@ -178,7 +179,8 @@ def _bucket_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def verified(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray], across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Linked documents and root of every row; ``across``: only pairs of different sides count."""
+    """Linked documents of every row, and the number of the row of smallest id that its links
+    lead to; ``across``: only pairs of different sides count."""
     m, least, threshold = len(ids), least_matches(), THRESHOLD
     sizes = np.array([len(s) for s in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -215,23 +217,23 @@ def verified(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, signatures:
             x, y = find(i), find(j)
             if x != y:
                 parent[max(x, y, key=lambda r: ids[r])] = min(x, y, key=lambda r: ids[r])
-    return links, np.array([ids[find(i)] for i in range(m)])
+    return links, np.array([find(i) for i in range(m)])
 
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(component, i, j, side, blocks, class_id, copies, signature, shingles) -> links and roots."""
+    """(component, i, j, side, blocks, node, class_id, copies, signature, shingles) -> links, and node and id of the roots."""
     for (_, i, j), rows in grouped(batches, 3):
-        ids, copies = rows.column(5).to_numpy(), rows.column(6).to_numpy()
-        signatures = np.frombuffer(b"".join(rows.column(7).to_pylist()), "<u4").reshape(-1, HASHES)
-        sets = [np.frombuffer(s.as_py(), np.uint64) for s in rows.column(8)]
+        nodes, ids, copies = rows.column(5).to_numpy(), rows.column(6).to_numpy(), rows.column(7).to_numpy()
+        signatures = np.frombuffer(b"".join(rows.column(8).to_pylist()), "<u4").reshape(-1, HASHES)
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in rows.column(9)]
         links, roots = verified(ids, copies, rows.column(3).to_numpy(), signatures, sets, bool(i != j))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), rows.column(4).combine_chunks(), pa.array(links, pa.int64()), pa.array(roots, pa.int64())], names=["class_id", "blocks", "links", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), rows.column(4).combine_chunks(), pa.array(links, pa.int64()), pa.array(nodes[roots]), pa.array(ids[roots])], names=["node", "blocks", "links", "root", "group_id"])
 
 
-def in_blocks(rows: DataFrame, group: str, itself: bool) -> DataFrame:
+def in_blocks(rows: DataFrame, itself: bool) -> DataFrame:
     """Adds ``i``, ``j``, ``side``: members of a group of several ``blocks`` are dealt by hash and
     copied to each pair of blocks (with ``itself``, also a block with itself)."""
-    side = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("side", side)
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("__other", other).where((F.col("blocks") == 1) | (F.col("__other") != F.col("side")) | F.lit(itself))
@@ -243,35 +245,39 @@ def similar(spark: SparkSession, docs: DataFrame, *, text: str = "text") -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialize(spark, map_arrow(docs.where("doc_id is not null"), _signed, "doc_id long, key binary, n long, signature binary"), "signed")
     classes = signed.groupBy("key").agg(F.min(F.struct("doc_id", "n", "signature")).alias("own"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(spark, classes.select("key", F.col("own.doc_id").alias("class_id"), F.col("own.n").alias("n"), "copies", F.col("own.signature").alias("signature")), "classes")
+    # Ids may repeat over different texts, so classes are told apart by numbers that the written table fixes.
+    classes = classes.select("key", F.monotonically_increasing_id().alias("node"), F.col("own.doc_id").alias("class_id"), F.col("own.n").alias("n"), "copies", F.col("own.signature").alias("signature"))
+    classes = materialize(spark, classes, "classes")
 
     # Buckets of two classes or more.
     bucket = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(signature, b * {4 * ROWS} + 1, {4 * ROWS}))))")
-    banded = classes.where("n > 0").select("class_id", bucket.alias("bucket"))
+    banded = classes.where("n > 0").select("node", bucket.alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = banded.join(shared, "bucket").select("bucket", "class_id", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    members = in_blocks(members, "bucket", False).join(classes.select("class_id", "signature"), "class_id")
-    members = members.select("bucket", "i", "j", "class_id", "signature").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = components(spark, map_arrow(members, _bucket_forests, "a long, b long"))
+    members = banded.join(shared, "bucket").select("bucket", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    members = in_blocks(members, False).join(classes.select("node", "signature"), "node")
+    members = members.select("bucket", "i", "j", "node", "signature").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = components(spark, map_arrow(members, _bucket_forests, "a long, b long")).select("node", F.col("root").alias("component"))
 
     # The classes of a component with their shingles, in blocks.
-    candidates = materialize(spark, found.join(classes, found.node == classes.class_id).select("class_id", "key", "n", "copies", "signature", F.col("root").alias("component")), "candidates")
+    candidates = materialize(spark, found.join(classes, "node").select("node", "class_id", "key", "n", "copies", "signature", "component"), "candidates")
     wanted = candidates.select(F.col("class_id").alias("doc_id")).distinct()
     if candidates.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    sets = map_arrow(docs.join(wanted, "doc_id", "left_semi"), _shingled, "class_id long, key binary, shingles binary").dropDuplicates(["class_id", "key"])
+    sets = map_arrow(docs.join(wanted, "doc_id", "left_semi"), _shingled, "doc_id long, key binary, shingles binary").drop("doc_id").dropDuplicates(["key"])
     sizes = candidates.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    blocks = in_blocks(candidates.join(sizes, "component"), "component", True).join(sets, ["class_id", "key"])
-    blocks = blocks.select("component", "i", "j", "side", "blocks", "class_id", "copies", "signature", "shingles").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "class_id")
-    linked = materialize(spark, map_arrow(blocks, _block_links, "class_id long, blocks int, links long, root long"), "linked")
-    links = linked.groupBy("class_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
+    blocks = in_blocks(candidates.join(sizes, "component"), True).join(sets, "key")
+    blocks = blocks.select("component", "i", "j", "side", "blocks", "node", "class_id", "copies", "signature", "shingles").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    linked = materialize(spark, map_arrow(blocks, _block_links, "node long, blocks int, links long, root long, group_id long"), "linked")
+    links = linked.groupBy("node").agg(F.sum("links").alias("links"), F.min("group_id").alias("group_id"))
     split = linked.where("blocks > 1")
     if split.limit(1).count():
-        whole = components(spark, split.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
-        links = links.join(whole.select(F.col("node").alias("class_id"), F.col("root").alias("whole")), "class_id", "left").withColumn("root", F.coalesce("whole", "root"))
+        # Roots of blocks that share a member are one group; its id is the smallest of theirs.
+        whole = materialize(spark, components(spark, split.select(F.col("node").alias("a"), F.col("root").alias("b"))), "whole")
+        least = whole.join(links, "node").groupBy("root").agg(F.min("group_id").alias("least"))
+        links = links.join(whole.join(least, "root").select("node", "least"), "node", "left").withColumn("group_id", F.coalesce("least", "group_id"))
 
-    told = classes.join(links.select("class_id", "links", "root"), "class_id", "left").select(
-        "key", F.coalesce("root", "class_id").alias("class_id"), F.col("class_id").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("n").alias("n_shingles")
+    told = classes.join(links.select("node", "links", "group_id"), "node", "left").select(
+        "key", F.coalesce("group_id", "class_id").alias("class_id"), F.col("class_id").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("n").alias("n_shingles")
     )
     out = signed.select("doc_id", "key").join(told, "key").select("doc_id", "class_id", "copy_of", "n_links", "n_shingles")
     unnamed = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("n_shingles"))

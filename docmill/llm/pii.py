@@ -17,7 +17,9 @@ the start of a run and never backtrack, so they take linear time in texts of any
 length.
 
 Edges: null texts count as empty; without any candidate the classifier is not
-fitted and no span is added; repeated rows get equal results.
+fitted and no span is added; repeated rows get equal results; an input column named
+``pii_spans`` gives way to the added one, names that begin with two underscores are
+the operator's own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import table, with_fields
+from docmill.llm.common import room_for, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("local_phone", "national_id", "bank_account", "person")
@@ -244,8 +246,7 @@ def find(docs: DataFrame, *, text: str = "text", classifier: Classifier | None)
     listed, then start: array<struct<kind, start, end, found>>.
 
     Candidates are judged in place, as variables of a filter, so nothing is exploded or shuffled."""
-    with_fields(docs.schema, "pii_spans string, __text string, __base string, __more string")  # refuses clashing names
-    out = with_spans(docs, text)
+    out = with_spans(docs.select(*room_for(docs.columns, "pii_spans string")), text)
     kept = F.filter("__more", lambda s: classifier.probability(s) >= ACCEPT) if classifier else F.slice("__more", 1, 0)
     told = F.transform(F.concat("__base", kept), lambda s: F.struct(*(s[f].alias(f) for f in ("kind", "start", "end", "found"))))
     return out.withColumn("pii_spans", told).drop("__text", "__base", "__more")

@@ -14,7 +14,8 @@ the usual spellings.  Spans are code-point offsets, end exclusive.
 
 Edges: null texts count as empty; tokens of any length are found by the patterns
 and never cut; longer tokens than 512 are judged by the mean over their pieces;
-repeated rows get equal results.
+repeated rows get equal results; an input column named like the added one gives
+way to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm.common import map_arrow, table, with_fields
+from docmill.llm.common import map_arrow, room_for, spare_name, table, with_fields
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _NAMED = re.compile(r"password|passwd|secret|token|api_?key", re.A | re.I)
@@ -155,8 +156,9 @@ def _told(spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all but the text by default) plus ``secrets``: array<struct<kind, start, end, found>>.
     One pass, no shuffle."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    schema = with_fields(docs.select(*keep).schema, "secrets array<struct<kind:string,start:int,end:int,found:string>>")
+    added = "secrets array<struct<kind:string,start:int,end:int,found:string>>"
+    keep = room_for([c for c in docs.columns if c != text] if keep is None else keep, added)
+    schema = with_fields(docs.select(*keep).schema, added)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("found", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +170,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None)
                 rows.append([{"kind": k, "start": s, "end": e, "found": t[s:e]} for k, s, e in own.spans(t)])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, kind)], names=schema.names)
 
-    return map_arrow(docs.select(*keep, docs[text].alias("__text")), run, schema)
+    return map_arrow(docs.select(*keep, docs[text].alias(spare_name(keep))), run, schema)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ Nulls and edges: a null text counts as empty; a text without any indicative
 term gets the calibrated score of the base rate among such examples; null
 labels and null ids are never learned from; a document labelled more than once
 counts as toxic if any of its labels is; equal texts get equal scores; ties
-beyond the k-th neighbour are cut by the smallest id of an entry.  Without any
+beyond the k-th neighbour are cut by the order of entries; input columns named like
+added ones give way to them; an empty table gives no rows.  Without any
 labelled row all scores are the smoothed prior of 0.05.
 """
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import folded_words, map_arrow, table, with_fields
+from docmill.llm.common import folded_words, map_arrow, room_for, spare_name, table, with_fields
 
 MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK, POWER = 12_000, 4_096, 15, 64, 4
 FLUSH = 200_000  # distinct terms that a task counts before it hands them on
@@ -273,10 +274,11 @@ def score(spark: SparkSession, documents: DataFrame, model: Model, *, text: str
     """``keep`` columns (all but the text by default) plus ``score``, ``predicted`` and ``evidence``
     (ids of the nearest examples).  One pass without a shuffle; the model, bounded by
     ``max_examples`` and ``max_terms``, is broadcast."""
-    keep = [c for c in documents.columns if c != text] if keep is None else keep
+    added = "score double, predicted int, evidence array<long>"
+    keep = room_for([c for c in documents.columns if c != text] if keep is None else keep, added)
     shipped = spark.sparkContext.broadcast(model)
     at = keep.index(text) if text in keep else len(keep)
-    schema = with_fields(documents.select(*keep).schema, "score double, predicted int, evidence array<long>")
+    schema = with_fields(documents.select(*keep).schema, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
@@ -285,7 +287,7 @@ def score(spark: SparkSession, documents: DataFrame, model: Model, *, text: str
             values = [s for s, _ in got]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, pa.float64()), pa.array([int(s >= THRESHOLD) for s in values], pa.int32()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=schema.names)
 
-    return map_arrow(documents.select(*keep, *[documents[text].alias("__text")] * (at == len(keep))), run, schema)
+    return map_arrow(documents.select(*keep, *[documents[text].alias(spare_name(keep))] * (at == len(keep))), run, schema)
 
 
 def in_fold(c: Column | str = "doc_id") -> Column:

@@ -9,7 +9,8 @@ URL table by full-batch gradient descent, alike on every run.
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased;
 path: from there up to ``?``, ``#`` or the end.  A null URL, or one without
 ``://``, has an empty host and path, no rule and the verdict allow with
-probability 0.
+probability 0.  Repeated rows get equal results; input columns named like added
+ones give way to them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm.common import map_arrow, table, with_fields
+from docmill.llm.common import map_arrow, room_for, spare_name, table, with_fields
 
 #: (verdict, host and path), as given.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -104,8 +105,9 @@ def probability(host: str, path: str, model: tuple[np.ndarray, float]) -> float:
 def judge(pages: DataFrame, *, url: str = "url", keep: list[str] | None = None, rules=RULES) -> DataFrame:
     """``keep`` columns (all by default) plus ``host``, ``path``, ``rule``, ``probability`` and ``verdict``.
     One pass without a shuffle; the weights (2^15 numbers) travel with the function."""
-    keep = list(pages.columns) if keep is None else keep
-    schema = with_fields(pages.select(*keep).schema, "host string, path string, rule string, probability double, verdict string")
+    added = "host string, path string, rule string, probability double, verdict string"
+    keep = room_for(list(pages.columns) if keep is None else keep, added)
+    schema = with_fields(pages.select(*keep).schema, added)
     if not _model:
         _model.append(train())
     model = _model[0]
@@ -120,7 +122,7 @@ def judge(pages: DataFrame, *, url: str = "url", keep: list[str] | None = None,
             added = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(list(c), k) for c, k in zip(added, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()), strict=True))], names=schema.names)
 
-    return map_arrow(pages.select(*keep, pages[url].alias("__url")), run, schema)
+    return map_arrow(pages.select(*keep, pages[url].alias(spare_name(keep))), run, schema)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

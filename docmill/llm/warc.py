@@ -19,7 +19,8 @@ folder before anything is read back.
 Edges: a null html is an empty payload; a null URL has an empty key; payloads under
 100 bytes are all responses; pages that share the smallest id of a group are all
 responses, and so are pages without an id if no member of their group has one;
-repeated rows are records of their own.
+repeated rows are records of their own; further columns are left out; an empty table
+gives no archive and no rows.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ over all tasks.
 
 Edges: null html is empty and gives an empty text; pages without a host have no
 template and are judged by their own elements; unclosed tags close where HTML says
-so; repeated rows get equal results.
+so; repeated rows get equal results; further columns are left out; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
