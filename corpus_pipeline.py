@@ -6,7 +6,8 @@
 4. personal_data: spans are replaced by their kind, ``n_chars`` follows the text;
 5. byte_bpe: every text is encoded; the rows hold ids, counts and digests in place of the text.
 
-Every stage works on all rows that its predecessor kept.  Rows with a null id or
+Every stage works on all rows that its predecessor kept, whatever further columns
+there are: operators see the columns under other names, so none can clash.  Rows with a null id or
 text take part: a null text counts as empty; a null id is never learned from and
 never a copy.  Where ids repeat, stage 2 tells rows apart by numbers of its own.
 """
@@ -20,30 +21,43 @@ from docmill.llm import bpe, decontaminate, jaccard, pii, toxicity
 from docmill.llm.common import materialize, table
 
 
+def hidden(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """``docs`` under names of the pipeline's own, those names, and the text's."""
+    names = [f"c{i}__" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, names[docs.columns.index("text")]
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn_from=~toxicity.in_fold())
-    return toxicity.score(spark, docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    rows, names, text = hidden(docs)
+    return toxicity.score(spark, rows, model, text=text, keep=names).where("predicted = 0").select(*names).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    key, rows = "doc_id", docs
+    rows, names, text = hidden(docs)
+    key = names[docs.columns.index("doc_id")]
     if repeated:
-        key, rows = "__row", materialize(spark, docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
-    told = jaccard.similar(spark, rows.select(F.col(key).alias("doc_id"), "text"))
+        named = F.when(F.col(key).isNotNull(), F.monotonically_increasing_id())
+        key, rows = "row__", materialize(spark, rows.withColumn("row__", named), "rows")
+    told = jaccard.similar(spark, rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     copies = materialize(spark, told.where("doc_id <> class_id").select(F.col("doc_id").alias(key)), "copies")
     if copies.count() <= jaccard.BROADCAST_ROWS:
         copies = F.broadcast(copies)
-    return rows.join(copies, key, "left_anti").select(*docs.columns)
+    return rows.join(copies, key, "left_anti").select(*names).toDF(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(spark, docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    rows, names, text = hidden(docs)
+    return decontaminate.contaminated(spark, rows, table(spark, sf_dir, "benchmark"), text=text).where("not contaminated").select(*names).toDF(*docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = pii.redact(pii.find(docs, classifier=pii.fit(docs)))
-    return clean.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows, names, text = hidden(docs)
+    clean = pii.redact(pii.find(rows, text=text, classifier=pii.fit(rows, text)), text=text)
+    n_chars = names[docs.columns.index("n_chars")]
+    counted = F.when(F.size("pii_spans") > 0, F.length(text).cast("long")).otherwise(F.col(n_chars))
+    return clean.withColumn(n_chars, counted).select(*names).toDF(*docs.columns)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
