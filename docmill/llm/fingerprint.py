@@ -2,7 +2,7 @@
 
 A text is a sequence of units (words between white space, cut into pieces of 32
 characters).  Its k-mers, pairs of following units, are numbered by occurrence, so
-repeats differ.  For each of 64 hash functions the two numbered k-mers of smallest
+repeats differ.  For each of 96 hash functions the two numbered k-mers of smallest
 hash are selected, put back into text order and hashed as a tuple: a value of
 the signature.  Equal values need the same k-mers in the same order, so the share
 of equal values follows edit distance, not just content.  Two k-mers agree about
@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 from docmill.llm.common import map_arrow, mix64, table
 from docmill.llm.jaccard import WordHashes
 
-HASHES, KMER, TUPLE, PIECE = 64, 2, 2, 32
-_MULTIPLY = mix64(np.arange(5001, HASHES + 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_ADD = mix64(np.arange(7001, HASHES + 7001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+HASHES, KMER, TUPLE, PIECE = 96, 2, 2, 32
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_MOST = np.iinfo(np.uint64).max
+_MOST = np.uint32(0xFFFFFFFF)
+_HALF = np.uint64(32)
+_MULTIPLY = (mix64(np.arange(5001, HASHES + 5001, dtype=np.uint64) * _GOLDEN) >> _HALF).astype(np.uint32) | np.uint32(1)
+_ADD = (mix64(np.arange(7001, HASHES + 7001, dtype=np.uint64) * _GOLDEN) >> _HALF).astype(np.uint32)
 
 
 def units(text: str) -> list[str]:
@@ -70,16 +71,17 @@ def numbered_kmers(text: str, hashes: WordHashes) -> np.ndarray:
 
 
 def signature(text: str, hashes: WordHashes) -> np.ndarray:
-    """64 values of 32 bits; empty for a text without units."""
+    """96 values of 32 bits; empty for a text without units."""
     h = numbered_kmers(text, hashes)
     if not len(h):
         return np.empty(0, "<u4")
-    least = np.full((HASHES, TUPLE), _MOST, np.uint64)
+    short = (h >> _HALF).astype(np.uint32)  # ranks need half of the bits; ties go to the earlier place
+    least = np.full((HASHES, TUPLE), _MOST, np.uint32)
     places = np.full((HASHES, TUPLE), len(h), np.int64)
     rows = np.arange(HASHES)
     with np.errstate(over="ignore"):
         for at in range(0, len(h), 2048):
-            part = h[at : at + 2048]
+            part = short[at : at + 2048]
             values = _MULTIPLY[:, None] * part + _ADD[:, None]
             for _ in range(min(TUPLE, len(part))):
                 i = values.argmin(axis=1)
@@ -93,7 +95,7 @@ def signature(text: str, hashes: WordHashes) -> np.ndarray:
         out = np.arange(HASHES, dtype=np.uint64)
         for k in range(TUPLE):
             out = mix64(out * _GOLDEN + padded[places[:, k]])
-    return (out >> np.uint64(32)).astype("<u4")
+    return (out >> _HALF).astype("<u4")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
