@@ -27,7 +27,7 @@ from docmill.llm.common import map_arrow, room_for, spare_name, table, with_fiel
 
 #: (verdict, host and path), as given.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-BITS, GRAMS, THRESHOLD = 15, (3, 4, 5), 0.5
+BITS, GRAMS, PATH_WEIGHT, THRESHOLD = 15, (3, 4, 5), 0.3, 0.5
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -67,20 +67,26 @@ def rule_of(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
     return best
 
 
-def features(host: str, path: str) -> np.ndarray:
-    """Distinct hashed character n-grams; those of the host and of the path hash apart."""
-    grams = {f"{mark}{text[i : i + n]}" for mark, text in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in GRAMS for i in range(len(text) - n + 1)}
-    return np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for g in grams), np.int64, len(grams)))
+def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed character n-grams and their values: those of the host and of the path hash
+    apart, each side has a length of its own, and the host, which names the site, weighs more."""
+    at, values = [], []
+    for mark, text, weight in (("h", f"^{host}$", 1.0), ("p", f"^{path}$", PATH_WEIGHT)):
+        grams = {f"{mark}{text[i : i + n]}" for n in GRAMS for i in range(len(text) - n + 1)}
+        own = np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for g in grams), np.int64, len(grams)))
+        at.append(own)
+        values.append(np.full(len(own), weight / np.sqrt(max(len(own), 1))))
+    return np.concatenate(at), np.concatenate(values)
 
 
 def train(unwanted: list[str] = UNWANTED, ordinary: list[str] = ORDINARY, rounds: int = 400, rate: float = 2.0, shrink: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights by hash and the intercept; features of a URL share a unit length."""
+    """Weights by hash and the intercept."""
     rows = [(1.0, u) for u in unwanted] + [(0.0, u) for u in ordinary]
     y = np.array([label for label, _ in rows])
     x = np.zeros((len(rows), 1 << BITS))
     for i, (_, u) in enumerate(rows):
-        f = features(*parts(f"http://{u}"))
-        x[i, f] = 1 / np.sqrt(len(f))
+        at, values = features(*parts(f"http://{u}"))
+        np.add.at(x[i], at, values)
     used = np.flatnonzero(x.any(axis=0))
     x, w, b = x[:, used], np.zeros(len(used)), 0.0
     for _ in range(rounds):
@@ -98,8 +104,8 @@ _model: list[tuple[np.ndarray, float]] = []
 def probability(host: str, path: str, model: tuple[np.ndarray, float]) -> float:
     if not host and not path:
         return 0.0
-    f = features(host, path)
-    return float(1 / (1 + np.exp(-(model[0][f].sum() / np.sqrt(max(len(f), 1)) + model[1]))))
+    at, values = features(host, path)
+    return float(1 / (1 + np.exp(-(model[0][at] @ values + model[1]))))
 
 
 def judge(pages: DataFrame, *, url: str = "url", keep: list[str] | None = None, rules=RULES) -> DataFrame:
