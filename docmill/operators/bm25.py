@@ -10,6 +10,7 @@ from docmill.operators.retrieval import scoped
 
 K1, B = 1.2, 0.75
 POOL = 1000
+BROADCAST_TERMS = 200_000  # query terms that may be broadcast; beyond them the join shuffles
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,7 +47,10 @@ def search(docs: DataFrame, queries: DataFrame, top_k: int = 10, doc_id: str = "
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # The one row of statistics is a broadcast of known size.
-    scored = post.join(frequencies(post), "term").join(terms, "term").crossJoin(F.broadcast(stats))
+    asked = frequencies(post).join(terms, "term").crossJoin(F.broadcast(stats))
+    if terms.count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)  # then a frequent term's postings stay where they are
+    scored = post.join(asked, "term")
     scored = scored.groupBy("query_id", doc_id).agg(F.round(F.sum(F.col("qtf") * idf * weight), 4).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), doc_id))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.text import STORE_LIMITS
@@ -34,13 +34,14 @@ def ingest_status(files: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every file of a batch with its status and reason.
 
     ``n_chunks`` is what its parser gave and ``error`` what it raised.  A copy is skipped
-    only after an earlier copy succeeded.
+    only after an earlier copy succeeded; the first success of each content is an
+    aggregate, so many copies of one file are no hot key.
     """
     known = catalog.where("status = 'indexed'").select("file_hash", F.lit(True).alias("__known")).distinct()
     works = F.col("error").isNull() & (F.col("n_chunks") > 0)
-    earlier = F.max(F.when(works, 1).otherwise(0)).over(Window.partitionBy("file_hash").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
-    rows = files.withColumn("__earlier", F.coalesce(earlier, F.lit(0))).join(known, "file_hash", "left")
-    status = F.when(F.col("__known") | (F.col("__earlier") == 1), "skipped").when(F.col("error") == "ocr_unavailable", "ocr_unavailable").when(~works, "failed").otherwise("success")
+    first = files.where(works).groupBy("file_hash").agg(F.min("arrival").alias("__first"))
+    rows = files.join(first, "file_hash", "left").join(known, "file_hash", "left")
+    status = F.when(F.col("__known") | (F.col("__first") < F.col("arrival")), "skipped").when(F.col("error") == "ocr_unavailable", "ocr_unavailable").when(~works, "failed").otherwise("success")
     reason = F.when(status == "skipped", "already indexed").when(status == "failed", F.coalesce("error", F.lit("no content"))).when(status == "ocr_unavailable", "no OCR engine").otherwise("")
     return rows.select("file_name", "file_hash", "arrival", status.alias("status"), reason.alias("reason"))
 

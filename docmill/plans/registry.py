@@ -183,9 +183,10 @@ def pdf_body_merge(spark, sf_dir):
     return st.merge_body(lines, ["doc_id"], "ord").select("doc_id", "part", F.md5("text").alias("text"))
 
 
-@query("SELECT doc_id, CAST(greatest(1, floor(row_number() OVER (PARTITION BY source ORDER BY doc_id) / 40)) AS INTEGER) AS page FROM documents")
+@query("SELECT doc_id, CAST(i AS INTEGER) AS paragraph, CAST(greatest(1, floor(i / 40)) AS INTEGER) AS page FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)")
 def docx_pages(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", st.docx_page(F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).alias("page"))
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return lines.select("doc_id", (F.col("at") + 1).alias("paragraph"), st.docx_page(F.col("at") + 1).alias("page"))
 
 
 @query(
@@ -255,15 +256,15 @@ def ocr_table_windows(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT source, list(lang || ': ' || doc_id ORDER BY doc_id) AS rows FROM documents GROUP BY source),
-  cut AS (SELECT source, rows, unnest(CASE WHEN len(rows) <= 30 THEN [0] ELSE range(0, CAST(ceil(len(rows) / 15.0) AS BIGINT)) END) AS w FROM t)
-SELECT source, CAST(w AS INTEGER) AS part, CASE WHEN len(rows) <= 30 THEN '[表格] lang | id' || chr(10) || array_to_string(rows, chr(10))
-  ELSE '[表格第' || (w * 15 + 1) || '~' || (w * 15 + len(rows[w * 15 + 1 : w * 15 + 30])) || '行] lang | id' || chr(10) || array_to_string(rows[w * 15 + 1 : w * 15 + 30], chr(10)) END AS chunk FROM cut"""
+    """WITH t AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: 'line: ' || x) AS rows FROM documents),
+  cut AS (SELECT doc_id, rows, unnest(CASE WHEN len(rows) <= 30 THEN [0] ELSE range(0, CAST(ceil(len(rows) / 15.0) AS BIGINT)) END) AS w FROM t)
+SELECT doc_id, CAST(w AS INTEGER) AS part, md5(CASE WHEN len(rows) <= 30 THEN '[表格] line' || chr(10) || array_to_string(rows, chr(10))
+  ELSE '[表格第' || (w * 15 + 1) || '~' || (w * 15 + len(rows[w * 15 + 1 : w * 15 + 30])) || '行] line' || chr(10) || array_to_string(rows[w * 15 + 1 : w * 15 + 30], chr(10)) END) AS chunk FROM cut"""
 )
 def pdf_table_windows(spark, sf_dir):
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.concat("lang", F.lit(": "), F.col("doc_id").cast("string")).alias("line")))), lambda x: x["line"])
-    tables = documents(spark, sf_dir).groupBy("source").agg(rows.alias("rows"))
-    return tables.select("source", F.posexplode(chunking.pdf_table_chunks(F.array(F.lit("lang"), F.lit("id")), F.col("rows"))).alias("part", "chunk"))
+    rows = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("line: "), x))
+    cut = documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.pdf_table_chunks(F.array(F.lit("line")), rows)).alias("part", "c"))
+    return cut.select("doc_id", "part", F.md5("c").alias("chunk"))
 
 
 @query(
