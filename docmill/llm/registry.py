@@ -26,4 +26,29 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators hold trained models, sketches or tokenizers that SQL can't express;
+#: tests/llm holds them against brute force, exact round trips and held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+  g AS (SELECT d, min(page_id) AS first, count(*) AS k FROM p WHERE n >= 100 GROUP BY d)
+SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN g.k > 1 AND p.page_id IS DISTINCT FROM g.first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN g.k > 1 AND p.page_id IS DISTINCT FROM g.first THEN g.first END AS refers_to
+FROM p LEFT JOIN g ON g.d = p.d AND p.n >= 100 AND g.first IS NOT NULL
+""",
+    "op10_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(ws) - 4) + 1), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS ss FROM w),
+  n AS (SELECT doc_id, CAST(len(ss) AS BIGINT) AS n, md5(array_to_string(list_sort(ss), chr(10))) AS k FROM s),
+  e AS (SELECT doc_id, unnest(ss) AS x FROM s),
+  shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+  links AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 5 * c >= 4 * (na.n + nb.n - c)
+    UNION SELECT x.doc_id, y.doc_id FROM n x JOIN n y ON x.n = 0 AND y.n = 0 AND x.doc_id <> y.doc_id),
+  reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+  groups AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+  counts AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT n.doc_id, g.class_id, min(n.doc_id) OVER (PARTITION BY n.k) AS copy_of, coalesce(c.k, 0) AS n_links, n.n AS n_shingles
+FROM n JOIN groups g ON g.a = n.doc_id LEFT JOIN counts c ON c.a = n.doc_id
+""",
+}
