@@ -23,9 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
+def own_dir(spark: SparkSession, name: str) -> str:
+    """A fresh place below this application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/docmill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; results that still read it must be stored before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/docmill-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again."""
-    path = f"{shared_dir(spark).rstrip('/')}/docmill-{uuid.uuid4().hex}/{name}"
+    path = own_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

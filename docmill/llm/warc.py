@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import map_arrow, materialize, shared_dir, table
+from docmill.llm.common import map_arrow, materialize, own_dir, table
 
 BLOCK_ENTRIES, READ_AHEAD, CACHED_BLOCKS, CACHED_PAYLOADS = 256, 1 << 20, 16, 256
 LEAST_SHARED = 100  # bytes from which equal payloads are written once
@@ -298,6 +298,6 @@ def read(spark: SparkSession, shards: DataFrame, wanted: DataFrame, folder: str)
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    folder = f"{shared_dir(spark).rstrip('/')}/docmill-{uuid.uuid4().hex}/warc"
+    folder = own_dir(spark, "warc")
     shards = write(spark, pages, folder)
     return read(spark, shards, pages.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id")), folder)
