@@ -51,13 +51,13 @@ def effective_k(query: str, top_k: int) -> int:
     return min(2 * top_k, MOST) if any(w in query for w in LIST_QUERY_WORDS) else top_k
 
 
-def multi_stage(chunks: DataFrame, query: str, vector: list[float], top_k: int = 5, file_name: str | None = None, category: str | None = None, reranker: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+def multi_stage(chunks: DataFrame, query: str, vector: list[float], top_k: int = 5, file_name: str | None = None, category: str | None = None, reranker: Callable[[DataFrame, str], DataFrame] | None = None, segment=None) -> DataFrame:
     """Four times k vector hits and twice k keyword hits, fused, ranked and cut to k.
 
     ``reranker`` adds ``rerank_score`` to the candidates; if it raises, fusion scores decide.
     """
     vectors = vector_search(chunks, vector, 4 * top_k, file_name, category).drop("embedding")
-    words = keyword_search(chunks.drop("embedding"), keyword_list(chunks.sparkSession, query), 2 * top_k, file_name, category)
+    words = keyword_search(chunks.drop("embedding"), keyword_list(chunks.sparkSession, query, segment), 2 * top_k, file_name, category)
     hits = fuse(vectors, words)
     if reranker is None:
         ranked = by_fusion(hits)
@@ -74,8 +74,8 @@ def mode_of(query: str, n_hits: int, any_keyword: bool, reranked: bool) -> str:
     return f"list_{mode}" if any(w in query for w in LIST_QUERY_WORDS) else mode
 
 
-def smart_search(chunks: DataFrame, query: str, vector: list[float], top_k: int = 5, file_name: str | None = None, category: str | None = None, reranker=None) -> tuple[DataFrame, str]:
+def smart_search(chunks: DataFrame, query: str, vector: list[float], top_k: int = 5, file_name: str | None = None, category: str | None = None, reranker=None, segment=None) -> tuple[DataFrame, str]:
     """Hits and the mode that found them."""
-    hits = multi_stage(chunks, query, vector, effective_k(query, top_k), file_name, category, reranker).cache()
+    hits = multi_stage(chunks, query, vector, effective_k(query, top_k), file_name, category, reranker, segment).cache()
     n, most = hits.agg(F.count(F.lit(1)), F.max("kw_score")).first()
     return hits, mode_of(query, n, (most or 0) > 0, reranker is not None)

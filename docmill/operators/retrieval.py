@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.text import KEYWORDS_MATCHED, LEAST_TEXT, keywords, utrim
+from docmill.functions.text import KEYWORDS_MATCHED, LEAST_TEXT, keywords, keywords_of, utrim
 
 HIT_COLUMNS = ("file_name", "file_hash", "category", "page", "block_type", "heading_path", "table_headers", "chunk_index", "text")
 BROADCAST_QUERIES = 10_000
@@ -59,8 +60,10 @@ def vector_search_many(chunks: DataFrame, queries: DataFrame, top_k: int = 20) -
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
-def keyword_list(spark, query: str) -> list[str]:
-    return list(spark.range(1).select(keywords(F.lit(query)).alias("k")).first()["k"])
+def keyword_list(spark, query: str, segment: Callable[[str], list[str]] | None = None) -> list[str]:
+    """The keywords of a query, cut by ``segment`` if there is one."""
+    found = keywords_of(F.array(*map(F.lit, segment(query))).cast("array<string>")) if segment else keywords(F.lit(query))
+    return list(spark.range(1).select(found.alias("k")).first()["k"])
 
 
 def long_enough(text: Column) -> Column:

@@ -16,12 +16,13 @@ from docmill.operators.retrieval import scoped
 class Engine:
     """Search and question answering over a table of chunks and a catalog of files.
 
-    ``embed`` turns a text into a vector; ``reranker`` and ``model`` are optional.
+    ``embed`` turns a text into a vector; ``reranker``, ``model`` and
+    ``segment`` (cuts a query into words) are optional.
     """
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, catalog: DataFrame, embed: Callable[[str], list[float]], reranker=None, model: Callable[[str], str] | None = None):
+    def __init__(self, spark: SparkSession, chunks: DataFrame, catalog: DataFrame, embed: Callable[[str], list[float]], reranker=None, model: Callable[[str], str] | None = None, segment: Callable[[str], list[str]] | None = None):
         self.spark, self.chunks, self.catalog = spark, chunks, catalog
-        self.embed, self.reranker, self.model = embed, reranker, model
+        self.embed, self.reranker, self.model, self.segment = embed, reranker, model, segment
 
     def search(self, query: str, top_k: int = 5, file_name: str | None = None, category: str | None = None) -> tuple[DataFrame, str]:
         """Citations of the best hits, and the search mode."""
@@ -31,7 +32,7 @@ class Engine:
     def _hits(self, query: str, top_k: int, file_name: str | None, category: str | None) -> tuple[DataFrame, str]:
         if not 1 <= top_k <= MOST:
             raise ValueError(f"top_k must be 1 to {MOST}")
-        return smart_search(self.chunks, query, self.embed(query), top_k, file_name, category, self.reranker)
+        return smart_search(self.chunks, query, self.embed(query), top_k, file_name, category, self.reranker, self.segment)
 
     def category_of(self, query: str) -> str | None:
         """The category that the model says a question belongs to."""
