@@ -133,3 +133,29 @@ def test_stream_skips_copies(spark, folder):
     (folder / "in/late.docx").write_bytes(docx())
     watch(spark, *args, "cat").awaitTermination()
     assert first > 5 and spark.read.parquet(args[1]).count() == first
+
+
+def test_store(spark, folder):
+    from docmill.sources.store import Store
+
+    store = Store(spark, str(folder / "kb"))
+    assert store.files().count() == 0 and store.chunks().count() == 0
+    files = read_files(spark, str(folder / "in"))
+    chunks, fresh = ingest(spark, files, store.files(), "cat")
+    store.add(chunks, fresh)
+    n = store.chunks().count()
+    assert {(r.file_name, r.status, r.category) for r in store.files().collect()} == {("a.docx", "indexed", "cat"), ("b.xlsx", "indexed", "cat")}
+    assert n == sum(r.chunk_count for r in store.files().collect()) and store.chunks().select("id").distinct().count() == n
+    again, left = ingest(spark, files, store.files(), "cat")  # only the unreadable file is tried again
+    assert left.select("file_name").collect()[0][0] == "broken.xlsx" and again.count() == 0
+    store.delete_name("b.xlsx")
+    assert {r.file_name for r in store.chunks().select("file_name").distinct().collect()} == {"a.docx"}
+    with pytest.raises(KeyError):
+        store.delete_name("b.xlsx")
+    more, fresh = ingest(spark, files.where("file_name = 'b.xlsx'"), store.files(), "other")
+    store.add(more, fresh)
+    assert {r.category for r in store.chunks().where("file_name = 'b.xlsx'").collect()} == {"other"}
+    (folder / "kb/chunks/n=9").mkdir()  # a write that did not finish
+    assert store.chunks().count() == n
+    store.reset()
+    assert store.files().count() == 0 and store.chunks().count() == 0
