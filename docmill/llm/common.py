@@ -79,6 +79,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+BROADCAST_BYTES = 32_000_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if the (written) table's rows, as text, take no more than ``most`` bytes in all."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) of an undirected graph given as (a, b): root is the component's smallest node.
 

@@ -37,11 +37,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import map_arrow, materialize, own_dir, table
+from docmill.llm.common import broadcast_if_small, map_arrow, materialize, own_dir, table
 
 BLOCK_ENTRIES, READ_AHEAD, CACHED_BLOCKS, CACHED_PAYLOADS = 256, 1 << 20, 16, 256
 LEAST_SHARED = 100  # bytes from which equal payloads are written once
-BROADCAST_ROWS = 500_000  # groups of equal payloads that may be broadcast; beyond it the join shuffles
 DATE = "2024-01-01T00:00:00Z"  # the table has no capture time
 
 
@@ -102,7 +101,8 @@ class ShardWriter:
     def __init__(self, folder: str):
         self.store, path = _store(folder)
         self.store.create_dir(path, recursive=True)
-        self.names = {k: f"{path}/{uuid.uuid4().hex}.{k}" for k in ("warc.gz", "blocks")}
+        name = uuid.uuid4().hex
+        self.names = {k: f"{path}/{name}.{k}" for k in ("warc.gz", "blocks", "directory")}
         self.files = {k: self.store.open_output_stream(n, compression=None) for k, n in self.names.items()}
         self.at, self.block_at, self.entries, self.directory, self.n = 0, 0, [], [], 0
 
@@ -124,18 +124,19 @@ class ShardWriter:
             self.block_at += len(raw)
             self.entries = []
 
-    def close(self) -> tuple[dict[str, str], list[tuple]]:
+    def close(self) -> dict[str, str]:
         self._end_block()
+        self.files["directory"].write(pack(self.directory))
         for f in self.files.values():
             f.close()
-        return self.names, self.directory
+        return self.names
 
 
 class Captures:
     """The index over all shards, and range reads through it."""
 
-    def __init__(self, folder: str, shards: list[tuple[str, int | None, str, str, bytes]]):
-        """``shards``: first key, first id, archive, blocks and packed directory, in order."""
+    def __init__(self, folder: str, shards: list[tuple[str, int | None, str, str, str]]):
+        """``shards``: first key, first id, and the files of archive, blocks and directory, in order."""
         self.store, _ = _store(folder)
         self.shards = shards
         self.firsts = [(k, _order(i)) for k, i, *_ in shards]
@@ -155,7 +156,9 @@ class Captures:
         if s not in self.directories:
             if len(self.directories) >= 64:
                 self.directories.popitem(last=False)
-            rows = unpack(self.shards[s][4])
+            f = self._file(self.shards[s][4])
+            f.seek(0)
+            rows = unpack(f.read())
             self.directories[s] = ([(k, _order(i)) for k, i, _, _ in rows], rows)
         return self.directories[s]
 
@@ -219,9 +222,7 @@ def _planned(pages: DataFrame) -> DataFrame:
     large = rows.where(F.octet_length("html") >= LEAST_SHARED)
     groups = large.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "key"))).alias("first")).where("n > 1 and first is not null")
     groups = materialize(pages.sparkSession, groups.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.key").alias("first_key")), "payloads")
-    if groups.count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
-    return rows.join(groups, "digest", "left")
+    return rows.join(broadcast_if_small(groups), "digest", "left")
 
 
 def write(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
@@ -241,18 +242,18 @@ def write(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
                 payload = html[k].as_py().encode("utf-8", "surrogatepass")
                 writer.add(keys[k], ids[k], record(ids[k], urls[k], payload, digests[k], (firsts[k], first_keys[k]) if revisit else None))
         if writer:
-            names, directory = writer.close()
-            yield pa.RecordBatch.from_pydict({"first_key": pa.array([first[0]]), "first_id": pa.array([first[1]], pa.int64()), "n": pa.array([writer.n], pa.int64()), "archive": pa.array([names["warc.gz"]]), "blocks": pa.array([names["blocks"]]), "directory": pa.array([pack(directory)], pa.binary())})
+            names = writer.close()
+            yield pa.RecordBatch.from_pydict({"first_key": pa.array([first[0]]), "first_id": pa.array([first[1]], pa.int64()), "n": pa.array([writer.n], pa.int64()), "archive": pa.array([names["warc.gz"]]), "blocks": pa.array([names["blocks"]]), "directory": pa.array([names["directory"]])})
 
-    return materialize(spark, map_arrow(rows, run, "first_key string, first_id long, n long, archive string, blocks string, directory binary"), "shards")
+    return materialize(spark, map_arrow(rows, run, "first_key string, first_id long, n long, archive string, blocks string, directory string"), "shards")
 
 
 def read(spark: SparkSession, shards: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
     """Records of the distinct (key, page_id) pairs of ``wanted``, found through the index.
 
-    A directory has an entry for every ``BLOCK_ENTRIES`` records, so what is collected
-    and broadcast, sorted by first key, is a few ten-thousandths of the archives."""
-    ordered = [(_plain(r.first_key), r.first_id, r.archive, r.blocks, bytes(r.directory)) for r in shards.collect()]
+    What is collected and broadcast, sorted by first key, is one short row for each shard,
+    of which there are as many as shuffle partitions; directories are read where they are needed."""
+    ordered = [(_plain(r.first_key), r.first_id, r.archive, r.blocks, r.directory) for r in shards.collect()]
     ordered.sort(key=lambda x: (x[0], _order(x[1])))
     shipped = spark.sparkContext.broadcast(ordered)
 

@@ -32,10 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import map_arrow, materialize, table
+from docmill.llm.common import broadcast_if_small, map_arrow, materialize, table
 
 MOST, LEAST_PAGES, LEAST_MATCH = 0.6, 5, 0.3
-BROADCAST_ROWS = 200_000  # hosts whose reference or constants may be broadcast; beyond it the join shuffles
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'>]+)")
@@ -285,19 +284,14 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(parse(h.as_py())[0].packed()) for h in batch.column(1)], pa.string())], names=["host", "reference"])
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A broadcast hint if the (written) table is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) -> page_id, url, text, n_chars."""
     pages = _hosts(pages)
     named = pages.where("host <> ''")
     chosen = materialize(spark, named.groupBy("host").agg(F.min("page_id").alias("page_id")), "chosen")
-    shapes = named.join(_sized(chosen), ["host", "page_id"]).select("host", "html")
+    shapes = named.join(broadcast_if_small(chosen), ["host", "page_id"]).select("host", "html")
     references = materialize(spark, map_arrow(shapes, _shapes, "host string, reference string").groupBy("host").agg(F.min("reference").alias("reference")), "references")
-    rows = pages.join(_sized(references), "host", "left").select("page_id", "url", "host", "html", "reference")
+    rows = pages.join(broadcast_if_small(references), "host", "left").select("page_id", "url", "host", "html", "reference")
     aligned = materialize(spark, map_arrow(rows, _aligned, f"page_id long, url string, host string, content long, blocks {_SLOTS}"), "aligned")
 
     # Texts that most pages of different content have in the same slot.
@@ -307,7 +301,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     constant = counts.join(hosts, "host").where(F.col("n") >= MOST * F.col("pages"))
     constant = materialize(spark, constant.groupBy("host").agg(F.collect_set(F.struct("slot", "text")).alias("constant")), "constant")
 
-    out = aligned.join(_sized(constant), "host", "left")
+    out = aligned.join(broadcast_if_small(constant), "host", "left")
     own = F.filter("blocks", lambda b: b["own"])
     fixed = lambda b: F.exists("constant", lambda c: (c["slot"] == b["slot"]) & (c["text"] == F.xxhash64(b["text"])))
     join = lambda bs: F.array_join(F.transform(bs, lambda b: b["text"]), " ")
