@@ -29,7 +29,38 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+ROWS = 1000  # rows that a function gets at once
+
+
+def _sparing(f: Callable) -> Callable:
+    """Hands batches on in slices, so results stay small beside their input, and gives free memory
+    back when the task ends: workers stay alive, and what they hold counts against their executor."""
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        def slices():
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    yield batch.slice(at, ROWS)
+
+        try:
+            yield from f(slices())
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # no such call on this platform
+
+    return run
+
+
 def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(_sparing(f), schema)
