@@ -30,7 +30,7 @@ from docmill.llm.common import map_arrow, room_for, spare_name, table, with_fiel
 
 #: Unicode's White_Space, which \\s means in the pattern's own regex dialect.
 WHITE_SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
-CACHED_TOKENS, CACHED_LENGTH = 400_000, 48
+CACHED_TOKENS, CACHED_LENGTH = 150_000, 48
 
 
 def byte_alphabet() -> list[str]:

@@ -59,7 +59,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         if len(word) < 64:

@@ -82,7 +82,7 @@ class Features:
         for word, n in Counter(folded_words(text)).items():
             got = cache.get(word)
             if got is None:
-                if len(cache) > 500_000:
+                if len(cache) > 150_000:
                     cache.clear()
                 got = tuple(ids[t] for t in terms_of(word) if t in ids)
                 if len(word) < 64:
@@ -187,7 +187,7 @@ class Model:
             raw, ids = self.vote(vector)
             a, b = self.curve
             got = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * _logit(raw) + b)))), ids
-            if len(self.memo) > 100_000:
+            if len(self.memo) > 20_000:
                 self.memo.clear()
             self.memo[key] = got
         return got
