@@ -47,7 +47,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 OUTSIDE = frozenset("nav footer aside form button select menu dialog svg canvas object audio video map fieldset datalist head".split())
 #: Words of class, id, role or label attributes that mark what is not the article.
 OUTSIDE_WORDS = frozenset(
-    "nav navbar navigation menu menubar sidebar side rail footer header masthead banner topbar ad ads adv advert adverts advertisement sponsor sponsored promo promotion cookie cookies consent gdpr notice alert "
+    "nav navbar navigation menu menubar sidebar rail footer header masthead banner topbar ad ads adv advert adverts advertisement sponsor sponsored promo promotion cookie cookies consent gdpr notice alert "
     "popup modal overlay newsletter subscribe subscription signup login search share sharing social comment comments reply replies disqus respond related recommended recommendations breadcrumb breadcrumbs pagination pager "
     "toolbar widget skip hidden complementary contentinfo dialog outbrain taboola tags".split()
 )
@@ -173,15 +173,18 @@ def parse(source: str) -> tuple[Node, list[Block]]:
         raw = m[3] or ""
         own = attributes(raw) if raw.strip(" /") else {}
         _, node, outside, article, link, heading, in_header = stack[-1]
-        words = {w.lower() for k in ("class", "id", "role", "aria-label", "itemprop") if k in own for w in _WORD.findall(own[k])} if own else ()
+        words: set[str] = {w.lower() for k in ("class", "id", "role", "aria-label", "itemprop") if k in own for w in _WORD.findall(own[k])} if own else set()
         main = 2 if tag == "article" or "articleBody" in own.get("itemprop", "") else 1 if tag == "main" or own.get("role") == "main" else 0
         inside = tag not in ("body", "html", "article", "main")
-        gone = tag in OUTSIDE or tag == "header" and not article or inside and bool(OUTSIDE_WORDS & set(words)) or "comment" in words or "comments" in words or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
+        marks = OUTSIDE_WORDS & words
+        heads = article > 0 and (tag == "header" or marks == {"header"})  # of an article, only the headings stay
+        marks = set() if heads else marks
+        gone = tag in OUTSIDE or tag == "header" and not article or inside and bool(marks) or "comment" in words or "comments" in words or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
         if tag not in INLINE:
             node = node.child(f"{tag}.{' '.join(sorted(own['class'].split()))}" if own.get("class") else tag)
         if raw.endswith("/") and tag not in INLINE:
             continue
-        stack.append((tag, node, outside or gone, max(article, 0 if outside or gone else main), link or tag == "a", heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), in_header or tag == "header" and article > 0))
+        stack.append((tag, node, outside or gone, max(article, 0 if outside or gone else main), link or tag == "a", heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), in_header or heads))
     flush()
     return root, blocks
 

@@ -36,6 +36,7 @@ def test_copies_are_no_template(spark):
         ('<p title="unclosed>text', ""),
         ("<article><p>in</p></article><p>out</p>", "in"),
         ("<p hidden>no</p><p style='display: none'>no</p><p>&#65;&eacute;&unknown;</p>", "Aé&unknown;"),
+        ("<article><div class='entry-header'><h1>Title</h1><span>by x</span></div><p>body</p><div class='entry-footer'>filed</div></article>", "Title body"),
         ("<b>" * 3000 + "deep" + "</b>" * 3000, "deep"),
     ],
 )
