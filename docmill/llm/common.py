@@ -88,12 +88,30 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+HUB, HUBS = 1000, 100_000
+
+
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the smallest v of every u.
+
+    Nodes of more than ``HUB`` edges, and as many more as it takes that no more than
+    ``HUBS`` of the n edges' nodes are such, get theirs by a broadcast, which moves no
+    edge; only the others' edges are shuffled, so no node brings many to a task.
+    """
+    bound = max(HUB, n // HUBS)
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > bound).select("u", F.col("m").alias("h")))  # n / bound rows at most
+    seen = edges.join(hubs, "u", "left")
+    rest = seen.where("h is null").select("u", "v").join(least.where(F.col("n") <= bound).select("u", "m"), "u")
+    return rest.unionByName(seen.where("h is not null").select("u", "v", F.col("h").alias("m")))
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) of an undirected graph given as (a, b): root is the component's smallest node.
 
     Alternates large-star and small-star contraction until the edges are stars.  Each
     round is joins and minima by node, pre-aggregated before the shuffle, and is written
-    to the shared folder; a hub's edges are rows like others and can be split.
+    to the shared folder.  A hub's edges never meet in one task, see ``_with_least``.
     """
     a, b = F.col("a"), F.col("b")
     now = materialize(spark, edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
@@ -101,12 +119,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     before, u, v, m = mark(now), F.col("u"), F.col("v"), F.col("m")
     while before[0]:
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(v > u).select(v.alias("u"), m.alias("v")).where(u != v).distinct()
+        large = _with_least(both, 2 * before[0]).where(v > u).select(v.alias("u"), F.least(u, m).alias("v")).where(u != v).distinct()
         large = materialize(spark, large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(v != m).select(v.alias("u"), m.alias("v"))
-        now = materialize(spark, small.unionByName(least.select("u", m.alias("v"))).distinct(), "small")
+        small = _with_least(large, large.count())
+        small = small.where(v != m).select(v.alias("u"), m.alias("v")).unionByName(small.select("u", m.alias("v")))
+        now = materialize(spark, small.distinct(), "small")
         after = mark(now)
         if after == before:
             break

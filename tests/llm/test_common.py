@@ -2,11 +2,15 @@ import random
 from collections import defaultdict
 
 import pyarrow as pa
+import pytest
 
+from docmill.llm import common
 from docmill.llm.common import clear, components, grouped, materialize, own_dir, room_for, spare_name
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [1000, 5])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)  # the small one makes hubs of many nodes
     r = random.Random(5)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000, 1000 + i) for i in range(1, 200)] + [(i, i + 1) for i in range(2000, 2060)] + [(7, 7)]
     near = defaultdict(set)
