@@ -115,7 +115,7 @@ def edited(text: str, following: str) -> str:
 def in_id_order(spark: SparkSession, docs: DataFrame, text: str = "text", ranges: int | None = None) -> DataFrame:
     """Rows (range, guest, doc_id, text), each range in one partition and in order, ended by the row that follows it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / ranges for i in range(1, ranges)]
     bounds = (docs.agg(F.percentile_approx("doc_id", shares, 20_000)).first()[0] if shares else None) or []
     bounds = sorted(set(bounds))
@@ -128,7 +128,8 @@ def in_id_order(spark: SparkSession, docs: DataFrame, text: str = "text", ranges
     rows = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["begin_id"]), "left")
     dealt = F.explode(F.filter(F.array(F.struct(own.alias("range"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("range"), F.lit(1).alias("guest"))), lambda x: x["range"].isNotNull()))
     rows = rows.select(dealt.alias("to"), "doc_id", "text").select("to.range", "to.guest", "doc_id", "text")
-    return rows.repartition("range").sortWithinPartitions("range", "guest", "doc_id", "text")
+    # Each range is a partition by its number, so ranges, which hold about as many rows each, never pile up.
+    return rows.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", "guest", "doc_id", "text")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
