@@ -1,21 +1,23 @@
 """Toxicity scores from nearest labelled examples (operator 2).
 
-A text is a TF-IDF vector over indicative terms: lower-cased words, and word
-beginnings of four and five bytes, whose document counts among toxic examples
-are significantly raised (log-likelihood ratio above twice the logarithm of the
-number of terms tested).  Document frequencies are counted over all documents.
-The labelled examples' vectors form a block-max inverted index; a query walks
-blocks by falling upper bound and stops when no block can beat the k-th best,
-so the neighbours are the exact ones by cosine.  Neighbours vote with weight
+A text is a TF-IDF vector over all its lower-cased words.  Indicative terms weigh
+more: words, and word beginnings of four and five bytes, whose document counts among
+toxic examples are significantly raised (log-likelihood ratio above twice the
+logarithm of the number of terms tested) share ``SHARE`` of the squared length of a
+text that has any; a text without one has all its length in its words, so copies of
+any example are found.  Document frequencies are counted over all documents; a
+word that no example has counts as one of a single document, and in the length
+alone.  The neighbours are the exact ones by cosine.  They vote with weight
 ``cosine ** 4``; a logistic curve fitted to leave-one-out votes calibrates the
 score, and the neighbours' ids are returned as evidence.
 
 Fitting uses at most ``max_examples`` labelled rows (those with the smallest
-hash of the id) and ``max_terms`` terms; scoring covers every row and the whole
-text.  Learning never sees rows that ``learn_from`` excludes.
+hash of the id), with all their words, and ``max_terms`` indicative terms; scoring
+covers every row and the whole text.  Learning never sees rows that ``learn_from``
+excludes.
 
-Nulls and edges: a null text counts as empty; a text without any indicative
-term gets the calibrated score of the base rate among such examples; null
+Nulls and edges: a null text counts as empty; a text that shares no word with an
+example gets the base rate of examples without an indicative term; null
 labels and null ids are never learned from; a document labelled more than once
 counts as toxic if any of its labels is; equal texts get equal scores; ties
 beyond the k-th neighbour are cut by the order of entries; input columns named like
@@ -28,6 +30,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 from docmill.llm.common import folded_words, map_arrow, room_for, spare_name, table, with_fields
 
 MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK, POWER = 12_000, 4_096, 15, 64, 4
+SHARE, COMMON = 0.9, 384  # of the squared length for indicative terms; terms of the dense matrix
 FLUSH = 200_000  # distinct terms that a task counts before it hands them on
 THRESHOLD = 0.3
 
@@ -70,80 +74,129 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Features:
-    """Maps texts to sparse counts of the chosen terms, remembering words."""
-
-    def __init__(self, terms: list[bytes]):
-        self.ids = {t: i for i, t in enumerate(terms)}
-        self.cache: dict[bytes, tuple[int, ...]] = {}
-
-    def counts(self, text: str) -> dict[int, int]:
-        out: dict[int, int] = {}
-        cache, ids = self.cache, self.ids
-        for word, n in Counter(folded_words(text)).items():
-            got = cache.get(word)
-            if got is None:
-                if len(cache) > 150_000:
-                    cache.clear()
-                got = tuple(ids[t] for t in terms_of(word) if t in ids)
-                if len(word) < 64:
-                    cache[word] = got
-            for i in got:
-                out[i] = out.get(i, 0) + n
+    """Maps texts to counts of numbered terms: every word of the examples, then the indicative terms."""
+
+    def __init__(self, words: list[bytes], indicative: list[bytes]):
+        self.ids = {w: i for i, w in enumerate(words)}
+        self.indicative = {t: len(words) + i for i, t in enumerate(indicative)}
+        self.n = len(words) + len(indicative)
+        self.beginnings = {n: {t[1:] for t in indicative if t[:1] == b"^" and len(t) == n + 1} for n in (4, 5)}
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers, counts), where -1 stands for each word that no example has."""
+        found = Counter(folded_words(text))
+        ids = np.fromiter(map(self.ids.get, found, repeat(-1)), np.int32, len(found))
+        n = np.fromiter(found.values(), np.int32, len(found))
+        told: dict[int, int] = {}
+        if not found.keys().isdisjoint(self.indicative) or any(not known.isdisjoint([w[:k] for w in found]) for k, known in self.beginnings.items() if known):
+            for word, k in found.items():
+                for t in terms_of(word):
+                    if t in self.indicative:
+                        told[self.indicative[t]] = told.get(self.indicative[t], 0) + k
+        ids, n = np.append(ids, np.array(list(told), np.int32)), np.append(n, np.array(list(told.values()), np.int32))
+        order = np.argsort(ids, kind="stable")
+        return ids[order], n[order]
+
+
+class NeighbourIndex:
+    """Entries (unit vectors without negative weights) for exact searches by cosine.
+
+    Terms of most entries form a dense matrix that ``block`` queries at a time are multiplied
+    by; the other terms' postings are added to that.  These sums are of single precision, so
+    entries within their relative error of the k-th are summed again in double precision."""
+
+    def __init__(self, vectors: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], block: int = BLOCK):
+        pairs = [(np.array(list(v), np.int32), np.array(list(v.values()), float)) if isinstance(v, dict) else v for v in vectors]
+        self.n, self.block = len(pairs), block
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in pairs], dtype=np.int64)]) if pairs else np.zeros(1, np.int64)
+        self.terms = np.concatenate([t for t, _ in pairs]) if pairs else np.empty(0, np.int32)
+        self.weights = np.concatenate([w for _, w in pairs]) if pairs else np.empty(0)
+        self.ready = False
+
+    def entry(self, e: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.terms[self.starts[e] : self.starts[e + 1]], self.weights[self.starts[e] : self.starts[e + 1]]
+
+    def prepare(self) -> None:
+        """Builds what is not shipped to workers: the dense matrix and the postings."""
+        size = int(self.terms.max()) + 1 if len(self.terms) else 0
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.starts))
+        often = np.bincount(self.terms, minlength=size)
+        common = np.argsort(-often, kind="stable")[:COMMON]
+        self.column = np.full(size, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        at = self.column[self.terms]
+        self.dense[at[at >= 0], owner[at >= 0]] = self.weights[at >= 0]
+        rest = np.flatnonzero(at < 0)
+        rest = rest[np.argsort(self.terms[rest], kind="stable")]
+        self.first = np.concatenate([[0], np.cumsum(np.where(self.column < 0, often, 0), dtype=np.int64)])
+        self.owner, self.share = owner[rest], self.weights[rest].astype(np.float32)
+        self.query, self.ready = np.zeros(size), True
+
+    def __getstate__(self) -> dict:
+        kept = ("n", "block", "starts", "terms", "weights")
+        return {k: getattr(self, k) for k in kept} | {"ready": False}
+
+    def top(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
+        """The k entries of highest positive cosine, by falling cosine, then entry number: exact."""
+        return self.top_many([(np.array(list(query), np.int32), np.array(list(query.values()), float))], k)[0]
+
+    def top_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        if not self.ready:
+            self.prepare()
+        out: list[list[tuple[float, int]]] = []
+        for i in range(0, len(queries), self.block):
+            own = [(t[known], w[known]) for t, w in queries[i : i + self.block] for known in [(t >= 0) & (t < len(self.column))]]
+            rows = np.zeros((len(own), len(self.dense)), np.float32)
+            for row, (t, w) in zip(rows, own, strict=True):
+                at = self.column[t]
+                row[at[at >= 0]] = w[at >= 0]
+            out += [self._best(t, w, s, k) for (t, w), s in zip(own, rows @ self.dense, strict=True)]
         return out
 
+    def _best(self, terms: np.ndarray, weights: np.ndarray, sums: np.ndarray, k: int) -> list[tuple[float, int]]:
+        rare = self.column[terms] < 0
+        t, w = terms[rare], weights[rare]
+        at = _ranges(self.first[t], self.first[t + 1])
+        if len(at):
+            sums = sums + np.bincount(self.owner[at], self.share[at] * np.repeat(w, self.first[t + 1] - self.first[t]), self.n)
+        least = np.partition(sums, self.n - k)[self.n - k] * (1 - 1e-4) if self.n > k else 0.0
+        found = np.flatnonzero((sums > 0) & (sums >= least))
+        if not len(found):
+            return []
+        self.query[terms] = weights
+        starts, ends = self.starts[found], self.starts[found + 1]
+        at = _ranges(starts, ends)
+        exact = np.add.reduceat(self.query[self.terms[at]] * self.weights[at], np.cumsum(ends - starts) - (ends - starts))
+        self.query[terms] = 0.0
+        best = sorted((-round(s, 12), e) for s, e in zip(exact.tolist(), found.tolist(), strict=True))[:k]
+        return [(-s, e) for s, e in best]
 
-class BlockMaxIndex:
-    """Entries (unit vectors over the terms) in blocks of ``BLOCK``; each term has the
-    largest weight of every block that holds it and the postings of that block."""
 
-    def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        self.blocks = -(-len(vectors) // block)
-        found: dict[int, dict[int, list[tuple[int, float]]]] = {}
-        for e, vector in enumerate(vectors):
-            for t, w in vector.items():
-                found.setdefault(t, {}).setdefault(e // block, []).append((e % block, w))
-        self.postings = {t: {b: (np.array([e for e, _ in p]), np.array([w for _, w in p])) for b, p in by.items()} for t, by in found.items()}
-        self.maxima = {t: (np.array(list(by)), np.array([max(w for _, w in p) for p in by.values()])) for t, by in found.items()}
+BlockMaxIndex = NeighbourIndex  # its name while it walked blocks by their maxima
 
-    def top(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k entries of highest positive cosine, by falling cosine, then entry number: exact."""
-        bound = np.zeros(self.blocks)
-        for t, q in query.items():
-            if t in self.maxima:
-                at, most = self.maxima[t]
-                bound[at] += q * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for t, q in query.items():
-                if t in self.postings and b in self.postings[t]:
-                    at, w = self.postings[t][b]
-                    scores[at] += q * w
-            best += [(-round(float(scores[e]), 12), int(b) * self.block + int(e)) for e in np.flatnonzero(scores > 0)]
-            best = sorted(best)[:k]
-        return [(-s, e) for s, e in best]
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    lengths = ends - starts
+    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
 class Model:
-    def __init__(self, terms: list[bytes], idf: list[float], vectors: list[tuple[tuple[int, float], ...]], ids: list[int], n: list[int], toxic: list[int], base: tuple[int, int]):
-        """``vectors``: distinct unit vectors of the examples, with the smallest example id,
-        the number of examples and of toxic ones; ``base``: examples, and toxic ones, without a term."""
-        self.features, self.idf, self.ids = Features(terms), idf, ids
-        self.vectors, self.n, self.toxic = [dict(v) for v in vectors], n, toxic
-        self.index = BlockMaxIndex(self.vectors)
+    def __init__(self, features: Features, idf: np.ndarray, unseen: float, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], n: list[int], toxic: list[int], base: tuple[int, int]):
+        """``vectors``: distinct unit vectors of the examples, with the smallest example id, the number
+        of examples and of toxic ones; ``base``: examples, and toxic ones, without an indicative term."""
+        self.features, self.idf, self.unseen, self.ids = features, idf, unseen, ids
+        self.n, self.toxic = n, toxic
+        self.index = NeighbourIndex(vectors)
         self.base = (base[1] + 0.5) / (base[0] + 10)
-        self.memo: dict[tuple, tuple[float, list[int]]] = {}
         self.curve = (1.0, 0.0)
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        return unit_vector(counts, self.idf)
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return unit_vector(*self.features.counts(text), self.idf, self.unseen, len(self.features.ids))
 
-    def vote(self, vector: dict[int, float], without: tuple[int, int] | None = None) -> tuple[float, list[int]]:
+    def vote(self, top: list[tuple[float, int]], without: tuple[int, int] | None = None) -> tuple[float, list[int]]:
         """Share of distance-weighted votes for toxic; ``without`` takes one example of an entry out."""
-        top = self.index.top(vector, NEIGHBOURS)
         total, yes = 1.0, self.base
         for cosine, e in top:
             n, y = self.n[e], self.toxic[e]
@@ -156,12 +209,14 @@ class Model:
     def calibrate(self) -> None:
         """Platt scaling of leave-one-out votes by Newton steps with a little shrinkage."""
         x, y, w = [], [], []
-        for e, v in enumerate(self.vectors):
-            for label, n in ((1, self.toxic[e]), (0, self.n[e] - self.toxic[e])):
-                if n:
-                    x.append(_logit(self.vote(v, (e, label))[0]))
-                    y.append(label)
-                    w.append(n)
+        for first in range(0, self.index.n, 1024):
+            own = range(first, min(first + 1024, self.index.n))
+            for e, top in zip(own, self.index.top_many([self.index.entry(e) for e in own], NEIGHBOURS), strict=True):
+                for label, n in ((1, self.toxic[e]), (0, self.n[e] - self.toxic[e])):
+                    if n:
+                        x.append(_logit(self.vote(top, (e, label))[0]))
+                        y.append(label)
+                        w.append(n)
         if not x:
             return
         X, Y, Wt = np.stack([np.array(x), np.ones(len(x))], 1), np.array(y, float), np.array(w, float)
@@ -177,20 +232,13 @@ class Model:
         if beta[0] > 0:
             self.curve = (float(beta[0]), float(beta[1]))
 
-    def score(self, text: str) -> tuple[float, list[int]]:
-        vector = self.vector(self.features.counts(text))
-        if not vector:
-            return self.base, []
-        key = tuple(sorted(vector.items()))
-        got = self.memo.get(key)
-        if got is None:
-            raw, ids = self.vote(vector)
-            a, b = self.curve
-            got = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * _logit(raw) + b)))), ids
-            if len(self.memo) > 20_000:
-                self.memo.clear()
-            self.memo[key] = got
-        return got
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        out = []
+        a, b = self.curve
+        for top in self.index.top_many([self.vector(t) for t in texts], NEIGHBOURS):
+            raw, ids = self.vote(top)
+            out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, a * _logit(raw) + b)))), ids) if top else (self.base, []))
+        return out
 
 
 def _logit(p: float) -> float:
@@ -198,10 +246,18 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def unit_vector(counts: dict[int, int], idf: list[float]) -> dict[int, float]:
-    raw = {i: (1 + math.log(n)) * idf[i] for i, n in sorted(counts.items())}
-    norm = math.sqrt(sum(w * w for w in raw.values()))
-    return {i: w / norm for i, w in raw.items()} if norm else {}
+def unit_vector(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray, unseen: float, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(term numbers, weights) of a text.  Its words share ``1 - SHARE`` of the squared length
+    and its indicative terms the rest; without such terms, the words have all of it.  Words of
+    no example (-1) count in the length alone, since no entry holds them."""
+    raw = (1 + np.log(counts)) * np.where(ids >= 0, idf[ids] if len(idf) else 0.0, unseen)
+    cut = int(np.searchsorted(ids, words))
+    told = cut < len(ids)
+    for part, share in ((raw[:cut], 1 - SHARE if told else 1.0), (raw[cut:], SHARE)):
+        if len(part):
+            part *= math.sqrt(share / float(part @ part))
+    known = int(np.searchsorted(ids, 0))
+    return ids[known:], raw[known:]
 
 
 def _indicative(counts: DataFrame, max_terms: int) -> list[bytes]:
@@ -230,42 +286,51 @@ def fit(documents: DataFrame, labels: DataFrame, *, learn_from: Column, max_exam
     examples = documents.join(F.broadcast(chosen), "doc_id")  # ids and labels of max_examples rows at most
     counts = map_arrow(examples.select("text", "toxic"), _count_terms, "term binary, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).cache()
     try:
-        terms = _indicative(counts, max_terms)
+        indicative = _indicative(counts, max_terms)
+        words = sorted(counts.where((F.length("term") > 0) & (F.substring("term", 1, 1) != F.lit(b"^"))).select("term").toArrow().column(0).to_pylist())
     finally:
         counts.unpersist()
+    features = Features(words, indicative)
+    shipped = documents.sparkSession.sparkContext.broadcast(features)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, df, n = Features(terms), Counter(), 0
+        features = shipped.value
+        df, n = np.zeros(features.n, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                df.update(features.counts(text.as_py() or "").keys())
+                ids, _ = features.counts(text.as_py() or "")
+                df[ids[np.searchsorted(ids, 0) :]] += 1
                 n += 1
-        keys = [-1, *df]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([n, *(df[k] for k in keys[1:])], pa.int64())], names=["term", "n"])
+        found = np.flatnonzero(df).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, np.int32(-1))), pa.array(np.append(df[found], n))], names=["term", "n"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(terms)
         for batch in batches:
-            found = [sorted(features.counts(t.as_py() or "").items()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
-
-    df = {r[0]: r[1] for r in map_arrow(documents.select("text"), frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect()}
-    total = df.get(-1, 0)
-    idf = [math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))]
-    rows = map_arrow(examples.select("doc_id", "toxic", "text"), vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()
+            found = [shipped.value.counts(t.as_py() or "") for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1))], names=["doc_id", "toxic", "terms", "counts"])
+
+    df, total = np.zeros(features.n), 0
+    got = map_arrow(documents.select("text"), frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    for term, n in zip(*(got.column(i).to_numpy() for i in (0, 1)), strict=True):
+        if term < 0:
+            total = int(n)
+        else:
+            df[term] = n
+    idf, unseen = np.log((1 + total) / (1 + df)) + 1, math.log(max(1.0, (1 + total) / 2)) + 1
+    rows = map_arrow(examples.select("doc_id", "toxic", "text"), vectors, "doc_id long, toxic int, terms binary, counts binary").collect()
+    shipped.unpersist()
     base = [0, 0]
-    entries: dict[tuple, list[int]] = {}
+    entries: dict[tuple[bytes, bytes], list[int]] = {}
     for r in sorted(rows):
-        v = unit_vector(dict(zip(r.terms, r.counts, strict=True)), idf)
-        if not v:
+        terms = np.frombuffer(r.terms, np.int32)
+        if not len(terms) or terms[-1] < len(words):
             base = [base[0] + 1, base[1] + r.toxic]
-            continue
-        e = entries.setdefault(tuple(v.items()), [r.doc_id, 0, 0])
-        e[1] += 1
-        e[2] += r.toxic
-    # Entries that share their heaviest term stand together, which makes block maxima tight.
-    order = sorted(entries.items(), key=lambda x: (max(x[0], key=lambda tw: (tw[1], -tw[0]))[0], len(x[0]), x[1][0]))
-    model = Model(terms, idf, [k for k, _ in order], *([e[i] for _, e in order] for i in range(3)), (base[0], base[1]))
+        if len(terms):
+            e = entries.setdefault((bytes(r.terms), bytes(r.counts)), [r.doc_id, 0, 0])
+            e[1] += 1
+            e[2] += r.toxic
+    found = [unit_vector(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32), idf, unseen, len(words)) for t, c in entries]
+    model = Model(features, idf, unseen, found, *([e[i] for e in entries.values()] for i in range(3)), (base[0], base[1]))
     model.calibrate()
     return model
 
@@ -273,7 +338,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, learn_from: Column, max_exam
 def score(spark: SparkSession, documents: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all but the text by default) plus ``score``, ``predicted`` and ``evidence``
     (ids of the nearest examples).  One pass without a shuffle; the model, bounded by
-    ``max_examples`` and ``max_terms``, is broadcast."""
+    the texts of ``max_examples``, is broadcast."""
     added = "score double, predicted int, evidence array<long>"
     keep = room_for([c for c in documents.columns if c != text] if keep is None else keep, added)
     shipped = spark.sparkContext.broadcast(model)
@@ -283,7 +348,7 @@ def score(spark: SparkSession, documents: DataFrame, model: Model, *, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in batches:
-            got = [model.score(t.as_py() or "") for t in batch.column(at)]
+            got = model.scores([t.as_py() or "" for t in batch.column(at)])
             values = [s for s, _ in got]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, pa.float64()), pa.array([int(s >= THRESHOLD) for s in values], pa.int32()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=schema.names)
 

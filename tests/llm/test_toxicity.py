@@ -68,3 +68,19 @@ def test_edges(spark, tmp_path):
     none = fit(docs, labels.limit(0), learn_from=~in_fold())
     assert {r.score for r in score(spark, docs, none).collect()} == {0.05}
     assert score(spark, docs.limit(0), none).count() == 0
+
+
+def test_texts_without_indicative_terms_are_searched(spark):
+    docs, labels = corpus(spark)
+    r = random.Random(5)
+    plain = [" ".join(f"word{r.randrange(300)}" for _ in range(40)) for _ in range(2)]
+    near = plain[0].split()
+    near[7] = near[20] = "other"
+    rows = [(1000, plain[0]), (1001, plain[1]), (2000, plain[0]), (2001, " ".join(near)), (2002, plain[1])]
+    assert not any(zlib.crc32(str(i).encode()) % 4 == 2 for i in (1000, 1001))
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    labels = labels.unionByName(spark.createDataFrame([(1000, 1), (1001, 0)], "doc_id long, toxic int"))
+    got = {x.doc_id: x for x in score(spark, docs, fit(docs, labels, learn_from=~in_fold())).collect()}
+    assert all(len(x.evidence) == 15 for x in got.values())
+    assert [got[i].evidence[0] for i in (2000, 2001, 2002)] == [1000, 1000, 1001]
+    assert got[2000].predicted == 1 and got[2002].predicted == 0 and got[2001].score > 3 * got[2002].score
