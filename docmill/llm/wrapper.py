@@ -9,6 +9,10 @@ of different content is constant, part of the template; what varies is a slot's
 content.  Of the varying slots, those whose element or attributes say menu, header,
 footer, sidebar, notice, advert, form or comment are not the article; if a page marks
 its article (article, main), only slots inside count, else link-heavy blocks go.
+Words that speak of layout (has-sidebar, content-sidebar-wrap) and ids of headings,
+paragraphs and parts of an article mark nothing; an article within a marked element
+counts if it is longer than what stands outside, and where marks by words
+(but for adverts, notices of consent and comments) would leave nothing, they are void.
 
 Pages whose content is equal count once for constancy, and constants are kept where
 they make up most of a page's article, so copies of an article are no template.
@@ -51,6 +55,11 @@ OUTSIDE_WORDS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login search share sharing social comment comments reply replies disqus respond related recommended recommendations breadcrumb breadcrumbs pagination pager "
     "toolbar widget skip hidden complementary contentinfo dialog outbrain taboola tags".split()
 )
+#: Those that no article is inside of, whatever else the page has.
+FIRM_WORDS = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo promotion cookie cookies consent gdpr popup overlay comment comments reply replies disqus respond hidden skip".split())
+COMMENT_WORDS = frozenset("comment comments reply replies disqus respond".split())
+#: Class words that speak of the layout, not of the element: has-sidebar, content-sidebar-wrap.
+_STATES, _WRAPS, _CONTENTS = frozenset("has no with without is".split()), frozenset("wrap wrapper container layout inner outer".split()), frozenset("content main page primary article body".split())
 _CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 
 
@@ -61,6 +70,23 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def marks_of(tag: str, own: dict[str, str], within: bool) -> set[str]:
+    """Words of the attributes that mark an element as no article; ``within``: it stands in an <article>.
+
+    Ids of headings and paragraphs are link targets; so are those of other elements in an article,
+    unless they say nothing but comments."""
+    marks: set[str] = set()
+    for k in ("class", "id", "role", "aria-label", "itemprop"):
+        for value in own.get(k, "").split() if k == "class" else [own.get(k, "")]:
+            words = [w.lower() for w in _WORD.findall(value)]
+            if k == "class" and words and (words[0] in _STATES or words[-1] in _WRAPS and not _CONTENTS.isdisjoint(words)):
+                continue
+            if k == "id" and (tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or within and not COMMENT_WORDS.issuperset(words)):
+                continue
+            marks |= OUTSIDE_WORDS.intersection(words)
+    return marks
+
+
 class Node:
     """A folded element: all siblings of its label."""
 
@@ -87,17 +113,19 @@ class Node:
 
 
 class Block:
-    __slots__ = ("article", "heading", "linked", "node", "outside", "text")
+    """``outside``: 1 by words of attributes alone, 2 for certain; ``wrapped``: in an article (or main) within an element so marked."""
+
+    __slots__ = ("article", "heading", "linked", "node", "outside", "text", "wrapped")
 
-    def __init__(self, node: Node, text: str, linked: int, outside: bool, article: int, heading: bool):
-        self.node, self.text, self.linked, self.outside, self.article, self.heading = node, text, linked, outside, article, heading
+    def __init__(self, node: Node, text: str, linked: int, outside: int, article: int, heading: bool, wrapped: bool):
+        self.node, self.text, self.linked, self.outside, self.article, self.heading, self.wrapped = node, text, linked, outside, article, heading, wrapped
 
 
 def parse(source: str) -> tuple[Node, list[Block]]:
     """Folded tree and text blocks, in page order."""
     root, blocks = Node("#"), []
-    # (tag, folded node, outside the article, inside article 2 or main 1, inside a link, heading, in a header of an article)
-    stack = [("#", root, False, 0, False, False, False)]
+    # (tag, folded node, outside the article, inside article 2 or main 1, inside a link, heading, in a header of an article, in an article within a marked element)
+    stack = [("#", root, 0, 0, False, False, False, False)]
     text: list[str] = []
     linked = 0
 
@@ -106,8 +134,8 @@ def parse(source: str) -> tuple[Node, list[Block]]:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                _, node, outside, article, _, heading, in_header = next(e for e in reversed(stack) if e[0] not in INLINE)
-                blocks.append(Block(node, joined, linked, outside or in_header and not heading, article, heading))
+                _, node, outside, article, _, heading, in_header, wrapped = next(e for e in reversed(stack) if e[0] not in INLINE)
+                blocks.append(Block(node, joined, linked, 2 if in_header and not heading else outside, article, heading, wrapped))
             text.clear()
             linked = 0
 
@@ -172,19 +200,22 @@ def parse(source: str) -> tuple[Node, list[Block]]:
             flush()
         raw = m[3] or ""
         own = attributes(raw) if raw.strip(" /") else {}
-        _, node, outside, article, link, heading, in_header = stack[-1]
-        words: set[str] = {w.lower() for k in ("class", "id", "role", "aria-label", "itemprop") if k in own for w in _WORD.findall(own[k])} if own else set()
+        _, node, outside, article, link, heading, in_header, wrapped = stack[-1]
         main = 2 if tag == "article" or "articleBody" in own.get("itemprop", "") else 1 if tag == "main" or own.get("role") == "main" else 0
         inside = tag not in ("body", "html", "article", "main")
-        marks = OUTSIDE_WORDS & words
+        marks = marks_of(tag, own, article == 2) if own else set()
         heads = article > 0 and (tag == "header" or marks == {"header"})  # of an article, only the headings stay
         marks = set() if heads else marks
-        gone = tag in OUTSIDE or tag == "header" and not article or inside and bool(marks) or "comment" in words or "comments" in words or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
+        firm = tag in OUTSIDE or tag == "header" and not article or inside and not FIRM_WORDS.isdisjoint(marks) or "comment" in marks or "comments" in marks
+        firm = firm or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
+        if main and outside == 1 and not article:
+            outside, wrapped = 0, True
+        outside = max(outside, 2 if firm else int(inside and bool(marks)))
         if tag not in INLINE:
             node = node.child(f"{tag}.{' '.join(sorted(own['class'].split()))}" if own.get("class") else tag)
         if raw.endswith("/") and tag not in INLINE:
             continue
-        stack.append((tag, node, outside or gone, max(article, 0 if outside or gone else main), link or tag == "a", heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), in_header or heads))
+        stack.append((tag, node, outside, max(article, 0 if outside else main), link or tag == "a", heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), in_header or heads, wrapped))
     flush()
     return root, blocks
 
@@ -247,9 +278,17 @@ def align(page: Node, reference: Node) -> None:
 
 
 def article_blocks(blocks: list[Block]) -> list[bool]:
-    """Which blocks may be article text by the page's own elements."""
-    inner = max((b.article for b in blocks if not b.outside), default=0)
-    return [not b.outside and (b.article == inner if inner else b.heading or 2 * b.linked <= len(b.text)) for b in blocks]
+    """Which blocks may be article text by the page's own elements.
+
+    An article within a marked element counts if it is longer than what stands outside such
+    elements; where marks by words would leave nothing, what they mark stays."""
+    size = lambda bs: sum(len(b.text) for b in bs)
+    free = [b for b in blocks if not b.outside and not b.wrapped]
+    held = [b for b in blocks if not b.outside and b.wrapped]
+    whole = size(held) > size([b for b in free if b.article] or free)
+    inner = max((b.article for b in (held if whole else free)), default=0)
+    own = [not b.outside and b.wrapped == whole and (b.article == inner if inner else b.heading or 2 * b.linked <= len(b.text)) for b in blocks]
+    return own if any(own) else [b.outside < 2 and 2 * b.linked <= len(b.text) for b in blocks]
 
 
 _SLOTS = "array<struct<slot:string,text:string,own:boolean>>"

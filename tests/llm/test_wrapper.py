@@ -54,3 +54,21 @@ def test_tree_matching():
     align(a, b)
     by = {n.label: n.number for n in a.children["div"].children.values()}
     assert by["p"].startswith("~") and by["ul"] == "2" and by["h2"] == "7"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div class='has-sidebar'><p>text</p><div class='sidebar'>no</div></div>", "text"),
+        ("<div class='content-sidebar-wrap'><p>text</p></div><div class='no-sidebar'>more</div>", "text more"),
+        ("<div class='page sidebar'><article><h1>T</h1><p>text</p></article><div>no</div></div>", "T text"),
+        ("<div class='header'><main><p>text</p><p class='share'>no</p></main></div>", "text"),
+        ("<div class='sidebar-left'><p>all there is</p><p class='ad'>no</p></div>", "all there is"),
+        ("<article><h2 id='related-work'>Related work</h2><section id='search'>Search</section><p id='comments-on-x'>On x</p><div id='comments'>no</div></article>", "Related work Search On x"),
+        ("<main><p>a long text of the page</p></main><div class='related'><article>teaser</article></div>", "a long text of the page"),
+        ("<div id='comments'><article>a comment</article></div><p>x</p>", "x"),
+    ],
+)
+def test_marked_wrappers_keep_their_article(spark, html, want):
+    (row,) = extract(spark, spark.createDataFrame([(1, "http://a.b/", html)], "page_id long, url string, html string")).collect()
+    assert row.text == want
