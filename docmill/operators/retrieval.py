@@ -50,14 +50,20 @@ def vector_search(chunks: DataFrame, query: list[float], top_k: int = 20, file_n
 
 
 def vector_search_many(chunks: DataFrame, queries: DataFrame, top_k: int = 20) -> DataFrame:
-    """Top-k for every query (query_id, query_vector): queries are a stated set, broadcast in
-    bounded numbers, and each task keeps k rows a query before the shuffle."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries: search them in blocks")
-    pairs = chunks.select("id", "embedding").crossJoin(F.broadcast(queries.select("query_id", "query_vector")))
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 4).alias("score"))
+    """Top-k for every query (query_id, query_vector), in blocks by a hash of the id, of nine tenths of
+    ``BROADCAST_QUERIES`` on average: each block is broadcast and searched against all chunks, and each
+    task keeps k rows a query before the shuffle."""
+    queries = queries.select("query_id", "query_vector")
+    n = queries.count()
+    blocks = 1 if n <= BROADCAST_QUERIES else -(-10 * n // (9 * BROADCAST_QUERIES))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    found = []
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = chunks.select("id", "embedding").crossJoin(F.broadcast(own))
+        scored = pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 4).alias("score"))
+        found.append(scored.withColumn("rank", rank).where(F.col("rank") <= top_k))
+    return reduce(DataFrame.unionAll, found)
 
 
 def keyword_list(spark, query: str, segment: Callable[[str], list[str]] | None = None) -> list[str]:

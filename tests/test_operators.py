@@ -186,3 +186,13 @@ def test_segmenters(spark):
     assert retrieval.keyword_list(spark, "请问排污许可证和综合能耗，BDO？", cut()) == ["排污许可证", "综合能耗", "BDO"]
     df = spark.createDataFrame([("单位产品能耗 是 多少",), (None,)], "t string")
     assert [r.w for r in df.select(tx.keywords_of(segment_column(F.col("t"), cut)).alias("w")).collect()] == [["单位产品能耗", "多少"], []]
+
+
+def test_vector_search_takes_any_number_of_queries(spark, monkeypatch):
+    vectors = [(i, [float(i % 7 - 3), float(i % 5 + 1), float(i * i % 11)]) for i in range(60)]
+    chunks = spark.createDataFrame(vectors, "id long, embedding array<float>")
+    queries = spark.createDataFrame(vectors, "query_id long, query_vector array<float>")
+    search = lambda: sorted(tuple(r) for r in retrieval.vector_search_many(chunks, queries, 4).collect())
+    whole = search()
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 10)
+    assert len(whole) == 240 and search() == whole
