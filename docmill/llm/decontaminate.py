@@ -13,7 +13,8 @@ documents pass it, row by row, without a shuffle.
 
 Edges: null texts count as empty; an item of fewer than five words can't be told
 from ordinary text and never matches; repeated items and documents each get their
-own result; items without an id or text are left out; an empty benchmark leaves all
+own result; items without a text are left out; one without an id is searched, but not
+listed in ``items``; an empty benchmark leaves all
 documents clean; input columns named like added ones give way to them.
 """
 
@@ -108,7 +109,7 @@ def tiles(item: np.ndarray, text: Rolling, starts: np.ndarray, least: int = SEED
 class Items:
     """A block of the benchmark with its seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]], coverage: float):
+    def __init__(self, rows: list[tuple[int | None, str]], coverage: float):
         self.coverage, self.vocabulary = coverage, {}
         self.ids, self.items, self.texts = [], [], []
         number = self.vocabulary.setdefault
@@ -126,7 +127,7 @@ class Items:
         self.seeds, self.first = np.unique(every[order], return_index=True)
         self.last = np.append(self.first[1:], len(every))
 
-    def matches(self, text: str) -> list[tuple[int, float]]:
+    def matches(self, text: str) -> list[tuple[int | None, float]]:
         """(item id, share of the item's words in tiles) of every item over the coverage."""
         get = self.vocabulary.get
         found = folded_words(text)
@@ -173,19 +174,19 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     at = names.index(text)
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        shipped = spark.sparkContext.broadcast(Items(sorted((r[0], r[1]) for r in rows if r[0] is not None), coverage))
+        shipped = spark.sparkContext.broadcast(Items(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), coverage))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             block = shipped.value
             for batch in batches:
                 found = [block.matches(t.as_py() or "") for t in batch.column(at)]
                 before, most = batch.column(len(names) - 2).to_pylist(), batch.column(len(names) - 1).to_pylist()
-                ids = [sorted(x + [i for i, _ in f]) for x, f in zip(before, found, strict=True)]
+                ids = [sorted(x + [i for i, _ in f if i is not None]) for x, f in zip(before, found, strict=True)]
                 shares = [max([x, *(c for _, c in f)]) for x, f in zip(most, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(ids, pa.list_(pa.int64())), pa.array(shares, pa.float64())], names=names)
 
         out = map_arrow(out, run, out.schema)
-    return out.withColumn("contaminated", F.size("items") > 0)
+    return out.withColumn("contaminated", F.col("coverage") > 0)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,11 @@ def test_rows_and_blocks(spark):
         assert [(r.doc_id, r["items"], r.coverage) for r in got] == want and [r.contaminated for r in got] == [bool(w[1]) for w in want]
     assert contaminated(spark, docs, bench.limit(0)).where("contaminated").count() == 0
     assert contaminated(spark, docs.limit(0), bench).count() == 0
+
+
+def test_items_without_an_id_count(spark):
+    words = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"before {words} after"), (2, "nothing of it"), (3, f"{words} and {ITEMS[3][1]}")], "doc_id long, text string")
+    bench = spark.createDataFrame([*ITEMS, (None, words)], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r["items"], r.coverage) for r in contaminated(spark, docs, bench).collect()}
+    assert got == {1: (True, [], 1.0), 2: (False, [], 0.0), 3: (True, [3], 1.0)}
