@@ -5,8 +5,10 @@ assignment sign and a value of 12 characters or more), access (``AKIA`` keys) an
 hex runs.  Further spans come from two character Markov models of order two, one
 of random strings and one of ordinary identifiers, both trained from labelled
 samples: a token of 16 to 512 key characters that no base span touches is a secret if
-its log-likelihood ratio, per character, exceeds a threshold that no identifier of
-a held-out part of the samples reaches.  Base spans are always kept.
+it has two digits and three other characters at least and its log-likelihood ratio,
+per character, exceeds a threshold that no identifier of a held-out part of the
+samples reaches.  Without digits the ratio can't tell words of languages that the
+samples lack, or ruled lines, from keys.  Base spans are always kept.
 
 The random samples are drawn from the alphabets that keys use by a seeded
 generator; the ordinary ones are built from words of programming and prose in
