@@ -19,8 +19,9 @@ they make up most of a page's article, so copies of an article are no template.
 Counts are per host, slot and text and pre-aggregated; a host of any size is spread
 over all tasks.
 
-Edges: null html is empty and gives an empty text; pages without a host have no
-template and are judged by their own elements; unclosed tags close where HTML says
+Edges: null html is empty and gives an empty text; pages without a host, and those of a
+host with fewer than ``LEAST_PAGES`` different contents, have no template and are judged
+by their own elements, so unmarked template text stays there; unclosed tags close where HTML says
 so; repeated rows get equal results; further columns are left out; an empty table gives
 no rows.
 """
