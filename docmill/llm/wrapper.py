@@ -281,14 +281,18 @@ def align(page: Node, reference: Node) -> None:
 def article_blocks(blocks: list[Block]) -> list[bool]:
     """Which blocks may be article text by the page's own elements.
 
+    <article> goes before <main> if it holds most of the text of both, with main's headings before it.
     An article within a marked element counts if it is longer than what stands outside such
     elements; where marks by words would leave nothing, what they mark stays."""
     size = lambda bs: sum(len(b.text) for b in bs)
     free = [b for b in blocks if not b.outside and not b.wrapped]
     held = [b for b in blocks if not b.outside and b.wrapped]
     whole = size(held) > size([b for b in free if b.article] or free)
-    inner = max((b.article for b in (held if whole else free)), default=0)
-    own = [not b.outside and b.wrapped == whole and (b.article == inner if inner else b.heading or 2 * b.linked <= len(b.text)) for b in blocks]
+    marked = [b for b in (held if whole else free) if b.article]
+    deep = [b for b in marked if b.article == 2]
+    inner = 0 if not marked else 2 if 2 * size(deep) > size(marked) else 1
+    titles = {id(b) for b in marked[: marked.index(deep[0])] if b.heading} if inner == 2 else set()
+    own = [not b.outside and b.wrapped == whole and (b.article >= inner or id(b) in titles if inner else b.heading or 2 * b.linked <= len(b.text)) for b in blocks]
     return own if any(own) else [b.outside < 2 and 2 * b.linked <= len(b.text) for b in blocks]
 
 

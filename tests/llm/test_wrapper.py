@@ -1,6 +1,6 @@
 import pytest
 
-from docmill.llm.wrapper import Node, align, extract, matching, parse
+from docmill.llm.wrapper import Node, align, article_blocks, extract, matching, parse
 
 
 def page(i: int, extra: str = "") -> str:
@@ -72,3 +72,12 @@ def test_tree_matching():
 def test_marked_wrappers_keep_their_article(spark, html, want):
     (row,) = extract(spark, spark.createDataFrame([(1, "http://a.b/", html)], "page_id long, url string, html string")).collect()
     assert row.text == want
+
+
+def test_main_stays_around_small_articles():
+    def kept(html: str) -> str:
+        blocks = parse(html)[1]
+        return " ".join(b.text for b, own in zip(blocks, article_blocks(blocks), strict=True) if own)
+
+    assert kept("<main><h1>T</h1><p>a long text of the page</p><article class='card'>teaser</article></main>") == "T a long text of the page teaser"
+    assert kept("<main><h1>T</h1><article><p>a long text</p></article><p>more</p><h2>x</h2></main>") == "T a long text"
