@@ -71,6 +71,22 @@ def folded_words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()
 
 
+def coded_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """All folded words of the texts: the text's number and the word's code for each, and the words by code."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    folded = pa.array([t.lower().encode("utf-8", "surrogatepass").translate(WORD_TABLE).strip() for t in texts], pa.binary())
+    lists = pc.ascii_split_whitespace(folded.view(pa.string()))
+    words = lists.flatten().view(pa.binary()).dictionary_encode()
+    code, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    if b"" in distinct:  # of texts without a word
+        kept = code != distinct.index(b"")
+        text, code = text[kept], code[kept]
+    return text, code.astype(np.int64), distinct
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers (public-domain splitmix64 constants)."""
     with np.errstate(over="ignore"):

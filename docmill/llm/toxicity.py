@@ -7,9 +7,10 @@ logarithm of the number of terms tested) share ``SHARE`` of the squared length o
 text that has any; a text without one has all its length in its words, so copies of
 any example are found.  Document frequencies are counted over all documents; a
 word that no example has counts as one of a single document, and in the length
-alone.  The neighbours are the exact ones by cosine.  They vote with weight
-``cosine ** 4``; a logistic curve fitted to leave-one-out votes calibrates the
-score, and the neighbours' ids are returned as evidence.
+alone.  The neighbours are the exact ones by cosine, found in an inverted index with
+block maxima.  They vote with weight ``cosine ** 4``; a logistic curve fitted to
+leave-one-out votes calibrates the score, and the neighbours' ids are returned as
+evidence.
 
 Fitting uses at most ``max_examples`` labelled rows (those with the smallest
 hash of the id), with all their words, and ``max_terms`` indicative terms; scoring
@@ -37,10 +38,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import folded_words, map_arrow, room_for, spare_name, table, with_fields
+from docmill.llm.common import coded_words, folded_words, map_arrow, room_for, spare_name, table, with_fields
 
-MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK, POWER = 12_000, 4_096, 15, 64, 4
-SHARE, COMMON = 0.9, 384  # of the squared length for indicative terms; terms of the dense matrix
+MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, POWER = 12_000, 4_096, 15, 4
+BLOCK, HEADS, QUERIES = 8, 128, 64  # entries of a block, lists kept in blocks, queries bounded at once
+SHARE = 0.9  # of the squared length for indicative terms
 FLUSH = 200_000  # distinct terms that a task counts before it hands them on
 THRESHOLD = 0.3
 
@@ -73,127 +75,169 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+class Vectors:
+    """Sparse rows: row r has ``terms`` and ``values`` from ``starts[r]`` to ``starts[r + 1]``, by rising term."""
+
+    __slots__ = ("starts", "terms", "values")
+
+    def __init__(self, starts: np.ndarray, terms: np.ndarray, values: np.ndarray):
+        self.starts, self.terms, self.values = starts, terms, values
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def row(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.starts[r], self.starts[r + 1])
+        return self.terms[own], self.values[own]
+
+    def rows(self) -> np.ndarray:
+        """The row of every term."""
+        return np.repeat(np.arange(len(self)), np.diff(self.starts))
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Vectors:
+        starts = np.cumsum([0, *(len(t) for t, _ in rows)], dtype=np.int64)
+        return cls(starts, np.concatenate([t for t, _ in rows] or [np.empty(0, np.int32)]), np.concatenate([v for _, v in rows] or [np.empty(0)]))
+
+
 class Features:
     """Maps texts to counts of numbered terms: every word of the examples, then the indicative terms."""
 
     def __init__(self, words: list[bytes], indicative: list[bytes]):
+        self.words, self.told = words, indicative
         self.ids = {w: i for i, w in enumerate(words)}
-        self.indicative = {t: len(words) + i for i, t in enumerate(indicative)}
         self.n = len(words) + len(indicative)
-        self.beginnings = {n: {t[1:] for t in indicative if t[:1] == b"^" and len(t) == n + 1} for n in (4, 5)}
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers, counts), where -1 stands for each word that no example has."""
-        found = Counter(folded_words(text))
-        ids = np.fromiter(map(self.ids.get, found, repeat(-1)), np.int32, len(found))
-        n = np.fromiter(found.values(), np.int32, len(found))
-        told: dict[int, int] = {}
-        if not found.keys().isdisjoint(self.indicative) or any(not known.isdisjoint([w[:k] for w in found]) for k, known in self.beginnings.items() if known):
-            for word, k in found.items():
-                for t in terms_of(word):
-                    if t in self.indicative:
-                        told[self.indicative[t]] = told.get(self.indicative[t], 0) + k
-        ids, n = np.append(ids, np.array(list(told), np.int32)), np.append(n, np.array(list(told.values()), np.int32))
-        order = np.argsort(ids, kind="stable")
-        return ids[order], n[order]
-
-
-class NeighbourIndex:
-    """Entries (unit vectors without negative weights) for exact searches by cosine.
-
-    Terms of most entries form a dense matrix that ``block`` queries at a time are multiplied
-    by; the other terms' postings are added to that.  These sums are of single precision, so
-    entries within their relative error of the k-th are summed again in double precision."""
-
-    def __init__(self, vectors: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], block: int = BLOCK):
-        pairs = [(np.array(list(v), np.int32), np.array(list(v.values()), float)) if isinstance(v, dict) else v for v in vectors]
-        self.n, self.block = len(pairs), block
-        self.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in pairs], dtype=np.int64)]) if pairs else np.zeros(1, np.int64)
-        self.terms = np.concatenate([t for t, _ in pairs]) if pairs else np.empty(0, np.int32)
-        self.weights = np.concatenate([w for _, w in pairs]) if pairs else np.empty(0)
-        self.ready = False
-
-    def entry(self, e: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.terms[self.starts[e] : self.starts[e + 1]], self.weights[self.starts[e] : self.starts[e + 1]]
+        number = {t: len(words) + i for i, t in enumerate(indicative)}
+        self.whole = {t: i for t, i in number.items() if t[:1] != b"^"}
+        self.beginnings = {n: {t[1:]: i for t, i in number.items() if t[:1] == b"^" and len(t) == n + 1} for n in (4, 5)}
+
+    def __reduce__(self):
+        return _features, (b" ".join(self.words), b" ".join(self.told))  # no term holds a space
+
+    def counts(self, texts: list[str]) -> tuple[Vectors, np.ndarray]:
+        """Counts of the known terms, and by text the sum of ``(1 + log(count)) ** 2`` over words that no example has."""
+        text, code, distinct = coded_words(texts)
+        size = max(len(distinct), 1)
+        key, n = np.unique(text * size + code, return_counts=True)
+        text, code = key // size, key % size
+        ids = np.fromiter(map(self.ids.get, distinct, repeat(-1)), np.int64, len(distinct))[code] if len(distinct) else code
+        new = ids < 0
+        unseen = np.bincount(text[new], (1 + np.log(n[new])) ** 2, len(texts)).astype(float)
+        parts = [(text[~new], ids[~new], n[~new])]
+        told = [np.fromiter(map(self.whole.get, distinct, repeat(-1)), np.int64, len(distinct))] if self.whole else []
+        told += [np.array([known.get(w[:k], -1) if len(w) > k else -1 for w in distinct], np.int64) for k, known in self.beginnings.items() if known]
+        parts += [(text[has], t[code[has]], n[has]) for t in told if len(distinct) for has in [t[code] >= 0]]
+        text, ids, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, place = np.unique(text * max(self.n, 1) + ids, return_inverse=True)
+        total = np.bincount(place, n, len(key)).astype(np.int32)
+        starts = np.searchsorted(key // max(self.n, 1), np.arange(len(texts) + 1))
+        return Vectors(starts, (key % max(self.n, 1)).astype(np.int32), total), unseen
+
+
+def _features(words: bytes, indicative: bytes) -> Features:
+    return Features(words.split(b" ") if words else [], indicative.split(b" ") if indicative else [])
+
+
+class BlockMaxIndex:
+    """An inverted index of entries (rows without negative weights) for exact searches by cosine.
+
+    Entries stand by their number of terms, so that those of a block weigh their terms
+    alike.  The ``HEADS`` longest lists are cut into blocks of ``BLOCK`` entries with the
+    block's largest weight.  A search adds up the short lists of a query's terms and bounds
+    the rest by the block maxima; the best entries of the blocks with the highest sums so far
+    are scored in full and give a threshold, and of all others only blocks whose bound reaches
+    it are.  Entries have weights of single precision; sums are of double precision, and bounds
+    have room for their rounding."""
+
+    ERROR = 1e-5
+
+    def __init__(self, entries: Vectors, block: int = BLOCK, heads: int = HEADS):
+        self.entries, self.block, self.heads, self.ready = Vectors(entries.starts, entries.terms, entries.values.astype(np.float32)), block, heads, False
+
+    def __getstate__(self) -> dict:
+        return {"entries": self.entries, "block": self.block, "heads": self.heads, "ready": False}
 
     def prepare(self) -> None:
-        """Builds what is not shipped to workers: the dense matrix and the postings."""
-        size = int(self.terms.max()) + 1 if len(self.terms) else 0
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.starts))
-        often = np.bincount(self.terms, minlength=size)
-        common = np.argsort(-often, kind="stable")[:COMMON]
+        """Builds what is not shipped to workers: the lists."""
+        own, lengths = self.entries, np.diff(self.entries.starts)
+        n = len(own)
+        blocks = max(1, -(-n // self.block))
+        # Of the entries by length, each ``block`` make a block; its first ones stand first, then all second ones, and so on.
+        self.order = np.full(blocks * self.block, -1)
+        rank = np.arange(n)
+        place = np.empty(n, np.int32)
+        place[np.argsort(lengths, kind="stable")] = rank % self.block * blocks + rank // self.block
+        self.order[place] = rank
+        size = int(own.terms.max()) + 1 if len(own.terms) else 0
+        often = np.bincount(own.terms, minlength=size)
+        longest = np.argsort(-often, kind="stable")[: self.heads]
         self.column = np.full(size, -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.n), np.float32)
-        at = self.column[self.terms]
-        self.dense[at[at >= 0], owner[at >= 0]] = self.weights[at >= 0]
-        rest = np.flatnonzero(at < 0)
-        rest = rest[np.argsort(self.terms[rest], kind="stable")]
+        self.column[longest] = np.arange(len(longest))
+        owner, at = place[own.rows()], self.column[own.terms]
+        self.long = np.zeros((blocks * self.block, len(longest)), np.float32)
+        self.long[owner[at >= 0], at[at >= 0]] = own.values[at >= 0]
+        self.maxima = np.ascontiguousarray(self.long.reshape(self.block, blocks, -1).max(axis=0).T)
+        short = np.flatnonzero(at < 0)
+        short = short[np.argsort(own.terms[short], kind="stable")]
         self.first = np.concatenate([[0], np.cumsum(np.where(self.column < 0, often, 0), dtype=np.int64)])
-        self.owner, self.share = owner[rest], self.weights[rest].astype(np.float32)
-        self.query, self.ready = np.zeros(size), True
-
-    def __getstate__(self) -> dict:
-        kept = ("n", "block", "starts", "terms", "weights")
-        return {k: getattr(self, k) for k in kept} | {"ready": False}
+        pairs = np.stack([owner[short], own.values[short].view(np.int32)], axis=1)
+        self.lists = pairs.view(np.int64).ravel()  # owner and bits of the weight, which are copied as one
+        self.ready = True
 
-    def top(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k entries of highest positive cosine, by falling cosine, then entry number: exact."""
-        return self.top_many([(np.array(list(query), np.int32), np.array(list(query.values()), float))], k)[0]
-
-    def top_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+    def top(self, queries: Vectors, k: int) -> list[list[tuple[float, int]]]:
+        """For each query the k entries of highest positive cosine, by falling cosine, then entry number: exact."""
         if not self.ready:
             self.prepare()
         out: list[list[tuple[float, int]]] = []
-        for i in range(0, len(queries), self.block):
-            own = [(t[known], w[known]) for t, w in queries[i : i + self.block] for known in [(t >= 0) & (t < len(self.column))]]
-            rows = np.zeros((len(own), len(self.dense)), np.float32)
-            for row, (t, w) in zip(rows, own, strict=True):
+        for i in range(0, len(queries), QUERIES):
+            own = [(t[known], w[known]) for t, w in map(queries.row, range(i, min(i + QUERIES, len(queries)))) for known in [t < len(self.column)]]
+            heads = np.zeros((len(own), len(self.maxima)))
+            for row, (t, w) in zip(heads, own, strict=True):
                 at = self.column[t]
                 row[at[at >= 0]] = w[at >= 0]
-            out += [self._best(t, w, s, k) for (t, w), s in zip(own, rows @ self.dense, strict=True)]
+            bounds = heads.astype(np.float32) @ self.maxima
+            out += [self._best(t, w, q, bound, k) for (t, w), q, bound in zip(own, heads, bounds, strict=True)]
         return out
 
-    def _best(self, terms: np.ndarray, weights: np.ndarray, sums: np.ndarray, k: int) -> list[tuple[float, int]]:
-        rare = self.column[terms] < 0
-        t, w = terms[rare], weights[rare]
-        at = _ranges(self.first[t], self.first[t + 1])
-        if len(at):
-            sums = sums + np.bincount(self.owner[at], self.share[at] * np.repeat(w, self.first[t + 1] - self.first[t]), self.n)
-        least = np.partition(sums, self.n - k)[self.n - k] * (1 - 1e-4) if self.n > k else 0.0
-        found = np.flatnonzero((sums > 0) & (sums >= least))
-        if not len(found):
-            return []
-        self.query[terms] = weights
-        starts, ends = self.starts[found], self.starts[found + 1]
-        at = _ranges(starts, ends)
-        exact = np.add.reduceat(self.query[self.terms[at]] * self.weights[at], np.cumsum(ends - starts) - (ends - starts))
-        self.query[terms] = 0.0
-        best = sorted((-round(s, 12), e) for s, e in zip(exact.tolist(), found.tolist(), strict=True))[:k]
+    def _best(self, terms: np.ndarray, weights: np.ndarray, heads: np.ndarray, bound: np.ndarray, k: int) -> list[tuple[float, int]]:
+        short = self.column[terms] < 0
+        t, w = terms[short], weights[short]
+        starts, ends = self.first[t], self.first[t + 1]
+        sums = np.zeros(len(self.long))
+        if len(t):
+            found = np.concatenate([self.lists[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+            sums = np.bincount(found.view(np.int32)[::2], np.repeat(w, ends - starts) * found.view(np.float32)[1::2], len(self.long))
+        by_block = sums.reshape(self.block, -1)
+        highest = by_block.max(axis=0)
+        least, tried = 0.0, 2 * k + 2
+        if len(highest) > tried:
+            blocks = np.argpartition(highest, len(highest) - tried)[len(highest) - tried :]
+            first = by_block[:, blocks].argmax(axis=0) * len(highest) + blocks
+            least = float(np.partition(sums[first] + self.long[first] @ heads, tried - k)[tried - k]) - self.ERROR
+        most = highest + bound
+        blocks = np.flatnonzero((most > 0) & (most >= least))
+        slot, at = np.nonzero(by_block[:, blocks] + bound[blocks] >= least)
+        found = slot * len(highest) + blocks[at]
+        scores = sums[found] + self.long[found] @ heads
+        if len(found) > k:
+            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - self.ERROR
+            found, scores = found[near], scores[near]
+        best = sorted((-round(s, 12), e) for s, e in zip(scores[scores > 0].tolist(), self.order[found[scores > 0]].tolist(), strict=True))[:k]
         return [(-s, e) for s, e in best]
 
 
-BlockMaxIndex = NeighbourIndex  # its name while it walked blocks by their maxima
-
-
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after the other."""
-    lengths = ends - starts
-    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-
-
 class Model:
-    def __init__(self, features: Features, idf: np.ndarray, unseen: float, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], n: list[int], toxic: list[int], base: tuple[int, int]):
-        """``vectors``: distinct unit vectors of the examples, with the smallest example id, the number
+    def __init__(self, features: Features, idf: np.ndarray, unseen: float, entries: Vectors, ids: list[int], n: list[int], toxic: list[int], base: tuple[int, int]):
+        """``entries``: distinct unit vectors of the examples, with the smallest example id, the number
         of examples and of toxic ones; ``base``: examples, and toxic ones, without an indicative term."""
         self.features, self.idf, self.unseen, self.ids = features, idf, unseen, ids
         self.n, self.toxic = n, toxic
-        self.index = NeighbourIndex(vectors)
+        self.index = BlockMaxIndex(entries)
         self.base = (base[1] + 0.5) / (base[0] + 10)
         self.curve = (1.0, 0.0)
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        return unit_vector(*self.features.counts(text), self.idf, self.unseen, len(self.features.ids))
+    def vectors(self, texts: list[str]) -> Vectors:
+        return unit_vectors(*self.features.counts(texts), self.idf, self.unseen, len(self.features.words))
 
     def vote(self, top: list[tuple[float, int]], without: tuple[int, int] | None = None) -> tuple[float, list[int]]:
         """Share of distance-weighted votes for toxic; ``without`` takes one example of an entry out."""
@@ -206,28 +250,41 @@ class Model:
             yes += y * cosine**POWER
         return yes / total, [self.ids[e] for _, e in top]
 
-    def calibrate(self) -> None:
-        """Platt scaling of leave-one-out votes by Newton steps with a little shrinkage."""
-        x, y, w = [], [], []
-        for first in range(0, self.index.n, 1024):
-            own = range(first, min(first + 1024, self.index.n))
-            for e, top in zip(own, self.index.top_many([self.index.entry(e) for e in own], NEIGHBOURS), strict=True):
-                for label, n in ((1, self.toxic[e]), (0, self.n[e] - self.toxic[e])):
-                    if n:
-                        x.append(_logit(self.vote(top, (e, label))[0]))
-                        y.append(label)
-                        w.append(n)
-        if not x:
+    def left_out(self, first: int, end: int) -> list[tuple[float, int, int]]:
+        """(logit of the vote, label, examples) of the entries in a range, each by the votes of all others."""
+        out, index = [], self.index
+        starts = index.entries.starts
+        own = Vectors(starts[first : end + 1] - starts[first], index.entries.terms[starts[first] : starts[end]], index.entries.values[starts[first] : starts[end]])
+        for e, top in zip(range(first, end), index.top(own, NEIGHBOURS), strict=True):
+            out += [(_logit(self.vote(top, (e, label))[0]), label, n) for label, n in ((1, self.toxic[e]), (0, self.n[e] - self.toxic[e])) if n]
+        return out
+
+    def calibrate(self, spark: SparkSession) -> None:
+        """Platt scaling of leave-one-out votes, which the workers count, by Newton steps with a little shrinkage."""
+        n = len(self.index.entries)
+        if not n:
             return
-        X, Y, Wt = np.stack([np.array(x), np.ones(len(x))], 1), np.array(y, float), np.array(w, float)
+        shipped, step = spark.sparkContext.broadcast(self), 256
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first in batch.column(0).to_pylist():
+                    found = shipped.value.left_out(first, min(first + step, n))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), (pa.float64(), pa.int32(), pa.int64()), strict=True)], names=["vote", "label", "n"])
+
+        parts = max(1, min(spark.sparkContext.defaultParallelism, -(-n // step)))
+        got = map_arrow(spark.range(0, n, step, parts), votes, "vote double, label int, n long").groupBy("vote", "label").agg(F.sum("n").alias("n")).orderBy("vote", "label").toArrow()
+        shipped.unpersist()
+        x, y, w = (got.column(i).to_numpy().astype(float) for i in range(3))
+        X = np.stack([x, np.ones(len(x))], 1)
         beta, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(X @ beta, -30, 30)))
-            grad = X.T @ (Wt * (p - Y)) + (beta - prior)
-            hess = (X * (Wt * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ X + np.eye(2)
-            step = np.linalg.solve(hess, grad)
-            beta -= np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-9:
+            grad = X.T @ (w * (p - y)) + (beta - prior)
+            hess = (X * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ X + np.eye(2)
+            move = np.linalg.solve(hess, grad)
+            beta -= np.clip(move, -2, 2)
+            if np.abs(move).max() < 1e-9:
                 break
         if beta[0] > 0:
             self.curve = (float(beta[0]), float(beta[1]))
@@ -235,7 +292,7 @@ class Model:
     def scores(self, texts: list[str]) -> list[tuple[float, list[int]]]:
         out = []
         a, b = self.curve
-        for top in self.index.top_many([self.vector(t) for t in texts], NEIGHBOURS):
+        for top in self.index.top(self.vectors(texts), NEIGHBOURS):
             raw, ids = self.vote(top)
             out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, a * _logit(raw) + b)))), ids) if top else (self.base, []))
         return out
@@ -246,18 +303,22 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def unit_vector(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray, unseen: float, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(term numbers, weights) of a text.  Its words share ``1 - SHARE`` of the squared length
-    and its indicative terms the rest; without such terms, the words have all of it.  Words of
-    no example (-1) count in the length alone, since no entry holds them."""
-    raw = (1 + np.log(counts)) * np.where(ids >= 0, idf[ids] if len(idf) else 0.0, unseen)
-    cut = int(np.searchsorted(ids, words))
-    told = cut < len(ids)
-    for part, share in ((raw[:cut], 1 - SHARE if told else 1.0), (raw[cut:], SHARE)):
-        if len(part):
-            part *= math.sqrt(share / float(part @ part))
-    known = int(np.searchsorted(ids, 0))
-    return ids[known:], raw[known:]
+def unit_vectors(counts: Vectors, unseen: np.ndarray, idf: np.ndarray, unseen_idf: float, words: int) -> Vectors:
+    """Weights from counts.  A text's words share ``1 - SHARE`` of its squared length and its
+    indicative terms the rest; without such terms, the words have all of it.  Words of
+    no example count in the length alone, since no entry holds them."""
+    row, told = counts.rows(), counts.terms >= words
+    raw = (1 + np.log(counts.values)) * idf[counts.terms]
+    square = [np.bincount(row[part], raw[part] ** 2, len(counts)).astype(float) for part in (~told, told)]
+    square[0] += unseen * unseen_idf**2
+    share = [np.where(square[1] > 0, 1 - SHARE, 1.0), SHARE]
+    own, telling = (np.sqrt(s / np.where(q > 0, q, 1.0)) for s, q in zip(share, square, strict=True))
+    return Vectors(counts.starts, counts.terms, raw * np.where(told, telling[row], own[row]))
+
+
+def _idf(total: int, df: np.ndarray | float):
+    """Inverse document frequency; the little that every term has keeps texts of nothing but common words apart from empty ones."""
+    return np.log((1 + total) / (1 + df)) + 0.01
 
 
 def _indicative(counts: DataFrame, max_terms: int) -> list[bytes]:
@@ -278,9 +339,23 @@ def _indicative(counts: DataFrame, max_terms: int) -> list[bytes]:
     return [bytes(r[0]) for r in kept.orderBy(F.desc("g"), "term").limit(max_terms).collect()]
 
 
+def _pieces(texts: pa.Array, most: int = 4_000_000) -> Iterator[list[str]]:
+    """The texts in lists of no more than ``most`` characters, or of one text."""
+    held, size = [], 0
+    for value in texts:
+        text = value.as_py() or ""
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def fit(documents: DataFrame, labels: DataFrame, *, learn_from: Column, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
     """``documents`` (doc_id, text), ``labels`` (doc_id, toxic); ``learn_from`` is a condition on doc_id."""
-    documents = documents.select("doc_id", "text")
+    spark, documents = documents.sparkSession, documents.select("doc_id", "text")
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn_from).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     examples = documents.join(F.broadcast(chosen), "doc_id")  # ids and labels of max_examples rows at most
@@ -291,47 +366,46 @@ def fit(documents: DataFrame, labels: DataFrame, *, learn_from: Column, max_exam
     finally:
         counts.unpersist()
     features = Features(words, indicative)
-    shipped = documents.sparkSession.sparkContext.broadcast(features)
+    shipped = spark.sparkContext.broadcast(features)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = shipped.value
         df, n = np.zeros(features.n, np.int64), 0
         for batch in batches:
-            for text in batch.column(0):
-                ids, _ = features.counts(text.as_py() or "")
-                df[ids[np.searchsorted(ids, 0) :]] += 1
-                n += 1
+            for texts in _pieces(batch.column(0)):
+                df += np.bincount(features.counts(texts)[0].terms, minlength=features.n)
+                n += len(texts)
         found = np.flatnonzero(df).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, np.int32(-1))), pa.array(np.append(df[found], n))], names=["term", "n"])
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shipped.value.counts(t.as_py() or "") for t in batch.column(2)]
+            found = [own.row(r) for texts in _pieces(batch.column(2)) for own, _ in [shipped.value.counts(texts)] for r in range(len(own))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1))], names=["doc_id", "toxic", "terms", "counts"])
 
     df, total = np.zeros(features.n), 0
     got = map_arrow(documents.select("text"), frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    for term, n in zip(*(got.column(i).to_numpy() for i in (0, 1)), strict=True):
-        if term < 0:
-            total = int(n)
-        else:
-            df[term] = n
-    idf, unseen = np.log((1 + total) / (1 + df)) + 1, math.log(max(1.0, (1 + total) / 2)) + 1
-    rows = map_arrow(examples.select("doc_id", "toxic", "text"), vectors, "doc_id long, toxic int, terms binary, counts binary").collect()
+    at, n = (got.column(i).to_numpy() for i in (0, 1))
+    df[at[at >= 0]], total = n[at >= 0], int(n[at < 0].sum())
+    idf, unseen = _idf(total, df), float(_idf(total, min(1, total)))
+    rows = map_arrow(examples.select("doc_id", "toxic", "text"), counted, "doc_id long, toxic int, terms binary, counts binary").toArrow()
     shipped.unpersist()
     base = [0, 0]
     entries: dict[tuple[bytes, bytes], list[int]] = {}
-    for r in sorted(rows):
-        terms = np.frombuffer(r.terms, np.int32)
-        if not len(terms) or terms[-1] < len(words):
-            base = [base[0] + 1, base[1] + r.toxic]
-        if len(terms):
-            e = entries.setdefault((bytes(r.terms), bytes(r.counts)), [r.doc_id, 0, 0])
+    for doc, toxic, terms, own in sorted(zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True)):
+        last = int(np.frombuffer(terms, np.int32)[-1]) if terms else -1
+        if last < len(words):
+            base = [base[0] + 1, base[1] + toxic]
+        if terms:
+            e = entries.setdefault((terms, own), [doc, 0, 0])
             e[1] += 1
-            e[2] += r.toxic
-    found = [unit_vector(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32), idf, unseen, len(words)) for t, c in entries]
-    model = Model(features, idf, unseen, found, *([e[i] for e in entries.values()] for i in range(3)), (base[0], base[1]))
-    model.calibrate()
+            e[2] += toxic
+    del rows
+    found = Vectors.of([(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32)) for t, c in entries])
+    told = list(entries.values())
+    del entries
+    model = Model(features, idf, unseen, unit_vectors(found, np.zeros(len(found)), idf, unseen, len(words)), *([e[i] for e in told] for i in range(3)), (base[0], base[1]))
+    model.calibrate(spark)
     return model
 
 
@@ -346,9 +420,8 @@ def score(spark: SparkSession, documents: DataFrame, model: Model, *, text: str
     schema = with_fields(documents.select(*keep).schema, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
         for batch in batches:
-            got = model.scores([t.as_py() or "" for t in batch.column(at)])
+            got = [g for texts in _pieces(batch.column(at)) for g in shipped.value.scores(texts)]
             values = [s for s, _ in got]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, pa.float64()), pa.array([int(s >= THRESHOLD) for s in values], pa.int32()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=schema.names)
 

@@ -1,24 +1,68 @@
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from docmill.llm.toxicity import BlockMaxIndex, fit, in_fold, op2_toxicity, score
+from docmill.llm.toxicity import BlockMaxIndex, Vectors, fit, in_fold, op2_toxicity, score
+
+
+def rows_of(vectors, kind=float):
+    return Vectors.of([(np.array(sorted(v), np.int32), np.array([v[t] for t in sorted(v)], kind)) for v in vectors])
 
 
 def test_index_is_exact():
     r = random.Random(3)
-    vectors = []
-    for _ in range(700):
-        v = {r.randrange(40): r.random() for _ in range(r.randrange(1, 6))}
+    for heads, terms, longest in ((16, 40, 6), (0, 40, 6), (8, 400, 60)):
+        vectors = []
+        for _ in range(700):
+            v = {r.randrange(terms): r.random() for _ in range(r.randrange(1, longest))}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            vectors.append({t: float(np.float32(x / norm)) for t, x in v.items()})
+        vectors += vectors[:20]  # ties
+        index = BlockMaxIndex(rows_of(vectors), heads=heads)
+        queries = [{r.randrange(terms + 5): r.random() for _ in range(r.randrange(1, longest))} for _ in range(200)]
+        for q, got in zip(queries, index.top(rows_of(queries), 7), strict=True):
+            brute = sorted((-round(s, 12), e) for e, v in enumerate(vectors) if (s := sum(w * v.get(t, 0.0) for t, w in q.items())) > 0)[:7]
+            assert [(round(-s, 9), e) for s, e in brute] == [(round(s, 9), e) for s, e in got]
+    assert BlockMaxIndex(rows_of([])).top(rows_of([{1: 1.0}, {}]), 3) == [[], []]
+    assert BlockMaxIndex(rows_of([{1: 1.0}])).top(rows_of([{1: 0.5}, {2: 1.0}, {}]), 3) == [[(0.5, 0)], [], []]
+
+
+def folded(text):
+    return re.sub(r"[\x00-\x1f!-/:-@\[-`{-~]", " ", text.lower()).encode().split()
+
+
+def test_neighbours_equal_brute_force_cosine_of_whole_texts(spark):
+    """Neighbours of documents, against plain sums over whole texts in dictionaries."""
+    from docmill.llm.common import table
+
+    docs, labels = (table(spark, "/root/testdata/sf0.001", name) for name in ("documents", "labels"))
+    model = fit(docs, labels, learn_from=~in_fold())
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    learned = sorted({r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in texts})
+    held = {w for i in learned for w in folded(texts[i])}
+    df = Counter(w for t in texts.values() for w in set(folded(t)))
+    told = set(model.features.told)
+    assert not told  # at this scale no term is raised beyond chance, so weights are plain TF-IDF
+
+    def vector(text):
+        v = {w: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + (df[w] if w in held else 1))) + 0.01) for w, n in Counter(folded(text)).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
-        vectors.append({t: x / norm for t, x in v.items()})
-    index = BlockMaxIndex(vectors, 32)
-    for _ in range(200):
-        q = {r.randrange(45): r.random() for _ in range(r.randrange(1, 5))}
-        brute = sorted((-round(s, 12), e) for e, v in enumerate(vectors) if (s := sum(w * v.get(t, 0.0) for t, w in q.items())) > 0)[:7]
-        assert [(round(-s, 9), e) for s, e in brute] == [(round(s, 9), e) for s, e in index.top(q, 7)]
+        return {w: x / norm for w, x in v.items()}
+
+    examples = {i: vector(texts[i]) for i in learned if folded(texts[i])}
+    ids = list(texts)
+    for i, got in zip(ids, model.index.top(model.vectors([texts[i] for i in ids]), 5), strict=True):
+        v = vector(texts[i]) if folded(texts[i]) else {}
+        by_text = {}
+        for e, own in examples.items():
+            by_text.setdefault(tuple(sorted(Counter(folded(texts[e])).items())), sum(w * own.get(t, 0.0) for t, w in v.items()))
+        brute = sorted((s for s in by_text.values() if s > 0), reverse=True)[:5]
+        assert np.allclose([s for s, _ in got], brute, atol=1e-6), i
 
 
 def corpus(spark, n=600, seed=1):
