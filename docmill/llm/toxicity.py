@@ -1,10 +1,10 @@
 """Toxicity scores from nearest labelled examples (operator 2).
 
 A text is a TF-IDF vector over all its lower-cased words.  Indicative terms weigh
-more: words, and word beginnings of four and five bytes, whose document counts among
-toxic examples are significantly raised (log-likelihood ratio above twice the
-logarithm of the number of terms tested) share ``SHARE`` of the squared length of a
-text that has any; a text without one has all its length in its words, so copies of
+more: words, and word beginnings of four and five bytes, that distinct toxic examples
+have ``LIFT`` times as often as clean ones, and significantly so (log-likelihood ratio above
+twice the logarithm of the number of terms tested), share ``SHARE`` of the squared length
+of a text that has any; a text without one has all its length in its words, so copies of
 any example are found.  Document frequencies are counted over all documents; a
 word that no example has counts as one of a single document, and in the length
 alone.  The neighbours are the exact ones by cosine, found in an inverted index with
@@ -42,7 +42,7 @@ from docmill.llm.common import coded_words, folded_words, map_arrow, room_for, s
 
 MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, POWER = 12_000, 4_096, 15, 4
 BLOCK, HEADS, QUERIES = 8, 128, 64  # entries of a block, lists kept in blocks, queries bounded at once
-SHARE = 0.9  # of the squared length for indicative terms
+SHARE, LIFT = 0.9, 3  # indicative terms' part of the squared length; how many times as often toxic examples hold one
 FLUSH = 200_000  # distinct terms that a task counts before it hands them on
 THRESHOLD = 0.3
 
@@ -335,7 +335,7 @@ def _indicative(counts: DataFrame, max_terms: int) -> list[bytes]:
 
     share = (a + b) / (p + n)
     g = 2 * (part(a, share * p) + part(b, share * n) + part(p - a, (1 - share) * p) + part(n - b, (1 - share) * n))
-    kept = counts.where((F.length("term") > 0) & (a >= 2) & (a * n > b * p)).select("term", g.alias("g")).where(F.col("g") >= 2 * math.log(max(tested, 2)))
+    kept = counts.where((F.length("term") > 0) & (a >= 2) & (a * n >= LIFT * b * p)).select("term", g.alias("g")).where(F.col("g") >= 2 * math.log(max(tested, 2)))
     return [bytes(r[0]) for r in kept.orderBy(F.desc("g"), "term").limit(max_terms).collect()]
 
 
@@ -359,7 +359,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, learn_from: Column, max_exam
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn_from).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     examples = documents.join(F.broadcast(chosen), "doc_id")  # ids and labels of max_examples rows at most
-    counts = map_arrow(examples.select("text", "toxic"), _count_terms, "term binary, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).cache()
+    distinct = examples.groupBy("text").agg(F.max("toxic").alias("toxic"))  # else the words of a text with many copies would all seem telling
+    counts = map_arrow(distinct, _count_terms, "term binary, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).cache()
     try:
         indicative = _indicative(counts, max_terms)
         words = sorted(counts.where((F.length("term") > 0) & (F.substring("term", 1, 1) != F.lit(b"^"))).select("term").toArrow().column(0).to_pylist())
