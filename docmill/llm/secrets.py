@@ -3,26 +3,25 @@
 Base spans are pattern matches of three kinds: assign (a password-like name, an
 assignment sign and a value of 12 characters or more), access (``AKIA`` keys) and
 hex runs.  Further spans come from two character Markov models of order two, one
-of random strings and one of ordinary identifiers, both trained from labelled
-samples: a token of 16 to 512 key characters that no base span touches is a secret if
-it has two digits and three other characters at least and its log-likelihood ratio,
-per character, exceeds a threshold that no identifier of a held-out part of the
-samples reaches.  Without digits the ratio can't tell words of languages that the
-samples lack, or ruled lines, from keys.  Base spans are always kept.
+of random strings and one of ordinary strings, both trained from labelled samples.
+In every run of 16 key characters or more that is left between base spans, each
+character adds its log-likelihood ratio less ``DRIFT``; a piece of 12 characters or more
+whose sum exceeds a threshold that no ordinary string of a held-out part of the samples
+reaches is a secret, wherever in the run it stands.  The ratio alone decides.  Base spans
+are always kept.
 
 The random samples are drawn from the alphabets that keys use by a seeded
 generator; the ordinary ones are built from words of programming and prose in
-the usual spellings.  Spans are code-point offsets, end exclusive.
+the usual spellings, from syllables, dates, numbers and ruled lines.  Spans are
+code-point offsets, end exclusive, by start, then kind as listed.
 
 Edges: null texts count as empty; tokens of any length are found by the patterns
-and never cut; longer tokens than 512 are judged by the mean over their pieces;
-repeated rows get equal results; an input column named like the added one gives
-way to it; an empty table gives no rows.
+and scored in one pass, never cut; repeated rows get equal results; an input column
+named like the added one gives way to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
@@ -30,6 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docmill.llm.common import map_arrow, room_for, spare_name, table, with_fields
 
@@ -41,6 +41,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 BASE = ("assign", "access", "hex")
 METHOD = "markov"
 ORDER = BASE + (METHOD,)
+LEAST, PIECE = 16, 12  # characters of a run that is scored, and of a piece of it
+DRIFT, DROP = 0.5, 12.0  # nats a character; a fall from the best sum that ends a piece
 
 _WORDS = (
     "get set user name value index count list item node data file path text line word page size code type key map string number result error event "
@@ -54,10 +56,26 @@ _WORDS = (
 ).split()
 
 
+_ONSETS = " b c d f g h j k l m n p qu r s t v w y z bl br ch cl cr dr fl fr gl gn gr kn ph pl pr sch schl schm schw sh sk sl sm sn sp spr st str th tr wh wr zw".split(" ")
+_NUCLEI = "a e i o u a e i o ai au ea ee ei eu ie io oa oi oo ou ue ui".split()
+_CODAS = "   b ch cht ck d f ft g k l ld ll lt m mp n nd ng ns nt p r rd rn rs rt s ss st t th tz x".split(" ")
+
+
+def _ordinary(r: random.Random) -> str:
+    """A made-up word of syllables, a compound of such words, a date or number in groups, or a ruled line."""
+    kind = r.random()
+    if kind < 0.6:
+        words = ["".join(r.choice(_ONSETS) + r.choice(_NUCLEI) + r.choice(_CODAS) for _ in range(r.randint(2, 7))) for _ in range(r.choice((1, 1, 1, 2, 3)))]
+        return r.choice(("", "", "-", "_", "/")).join(r.choice((str.lower, str.lower, str.lower, str.title, str.upper))(w) for w in words)
+    if kind < 0.8:
+        return r.choice("-/_").join(str(r.randrange(10 ** r.randint(1, 4))) for _ in range(r.randint(4, 9)))
+    return r.choice(("".join(r.choice("-=_/+") for _ in range(r.choice((1, 1, 2, 3)))), r.choice("xXoO0aA"))) * r.randint(16, 60)
+
+
 def samples(seed: int = 7, n: int = 4000) -> tuple[list[str], list[str]]:
-    """Labelled samples: (random strings, ordinary identifiers)."""
+    """Labelled samples: (random strings, ordinary strings)."""
     r = random.Random(seed)
-    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"]
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"]
     keys = ["".join(r.choice(a) for _ in range(r.randint(16, 48))) for a in alphabets for _ in range(n // len(alphabets))]
     joins = [lambda w: "_".join(w), lambda w: "-".join(w), lambda w: "/".join(w), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "".join(x.title() for x in w), lambda w: "_".join(w).upper(), lambda w: "".join(w)]
     plain = []
@@ -66,9 +84,8 @@ def samples(seed: int = 7, n: int = 4000) -> tuple[list[str], list[str]]:
         if r.random() < 0.4:
             words.insert(r.randrange(1, len(words) + 1), str(r.choice([r.randrange(10), r.randrange(100), r.randint(1990, 2030), r.randrange(10**6)])))
         token = r.choice(joins)(words)
-        if len(token) >= 16:
-            plain.append(token)
-    return keys, plain
+        plain += [t for t in (token, _ordinary(r)) if len(t) >= LEAST]
+    return keys, plain[:n]
 
 
 class Markov:
@@ -109,18 +126,35 @@ class Scanner:
         cut = lambda x: ([v for i, v in enumerate(x) if i % 4], x[::4])
         (keys, _), (plain, held) = cut(keys), cut(plain)
         self.random, self.ordinary = Markov(keys), Markov(plain)
-        #: Above the ratio of every held-out identifier, and half a nat a character at least.
-        self.threshold = max(0.5, max(map(self.ratio, held)) + 0.05)
-
-    def ratio(self, token: str) -> float:
-        """Log-likelihood ratio of random against ordinary, a character."""
-        pieces = [token[i : i + 512] for i in range(0, len(token), 512)]
-        return sum(self.random.score(p) - self.ordinary.score(p) for p in pieces) / len(token)
+        self.cache: dict[tuple[str, str], float] = {}
+        #: Above the best sum of every held-out ordinary string.
+        self.threshold = 1.0 + max(x for t in held for x, _, _ in self.pieces(t))
+
+    def pieces(self, token: str) -> Iterator[tuple[float, int, int]]:
+        """(sum of ratios less the drift, start, end) of the pieces that a running sum, which starts anew
+        when it is used up or has fallen by ``DROP`` from its best, rises on."""
+        context, cache, total, best, start, end = "^^", self.cache, 0.0, 0.0, 0, 0
+        for i, c in enumerate(token):
+            key = context, c
+            ratio = cache.get(key)
+            if ratio is None:
+                ratio = cache[key] = self.random.log_probability(context, c) - self.ordinary.log_probability(context, c) - DRIFT
+            context = context[1] + c
+            total += ratio
+            if total > best:
+                best, end = total, i + 1
+            elif total <= 0 or best - total > DROP:
+                if best > 0:
+                    yield best, start, end
+                total, best, start = 0.0, 0.0, i + 1
+        yield best, start, end
+
+    def found(self, token: str) -> list[tuple[int, int]]:
+        """Pieces of a token that are secrets."""
+        return [(s, e) for x, s, e in self.pieces(token) if x > self.threshold and e - s >= PIECE] if len(token) >= LEAST else []
 
     def likely(self, token: str) -> bool:
-        """Digits and letters must mix; what is left is decided by the ratio."""
-        digits = sum(c.isdigit() for c in token)
-        return 2 <= digits < len(token) - 2 and self.ratio(token) > self.threshold
+        return bool(self.found(token))
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) by start, then kind as listed."""
@@ -133,11 +167,15 @@ class Scanner:
         base = sorted((s, e) for _, s, e in found)
         at, reach = 0, 0
         for m in TOKEN.finditer(text):
-            while at < len(base) and base[at][0] < m.end():
+            begin, end = max(m.start(), reach), m.end()
+            while at < len(base) and base[at][0] < end:  # what base spans leave of the run
+                if base[at][0] > begin:
+                    found += [(METHOD, begin + s, begin + e) for s, e in self.found(text[begin : base[at][0]])]
                 reach = max(reach, base[at][1])
+                begin = max(begin, reach)
                 at += 1
-            if reach <= m.start() and self.likely(m[0]):
-                found.append((METHOD, m.start(), m.end()))
+            if begin < end:
+                found += [(METHOD, begin + s, begin + e) for s, e in self.found(text[begin:end])]
         return sorted(found, key=lambda x: (x[1], ORDER.index(x[0])))
 
 
@@ -151,10 +189,6 @@ def scanner() -> Scanner:
     return _scanner[0]
 
 
-def _told(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-
-
 def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all but the text by default) plus ``secrets``: array<struct<kind, start, end, found>>.
     One pass, no shuffle."""
@@ -177,12 +211,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None)
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [[(s["kind"], s["start"], s["end"]) for s in r] for r in batch.column(1).to_pylist()]
-            counts = [pa.array([sum(s[0] == k for s in r) for r in rows], pa.int64()) for k in BASE]
-            base = [hashlib.sha256(_told([s for s in r if s[0] in BASE]).encode()).hexdigest() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base), pa.array([_told(r) for r in rows])], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
-
-    return map_arrow(found, digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    base = F.filter("secrets", lambda s: s["kind"] != METHOD)
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"))

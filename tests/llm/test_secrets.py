@@ -1,8 +1,10 @@
+import base64
 import hashlib
+import math
 import random
 import re
 
-from docmill.llm.secrets import BASE, METHOD, ORDER, samples, scan, scanner
+from docmill.llm.secrets import BASE, METHOD, ORDER, Scanner, samples, scan, scanner
 
 
 def brute(t):
@@ -29,6 +31,58 @@ def test_held_out_accuracy():
     assert sum(map(s.likely, plain)) / len(plain) < 0.002
 
 
+def test_strings_from_elsewhere():
+    """Keys from digests, with and without digits, and names of the standard library: neither comes from the samples' generator."""
+    import argparse
+    import email.message
+    import logging
+    import sys
+    import xml.dom.minidom
+
+    assert argparse and email and logging and xml
+    s = scanner()
+    digests = [base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode() for i in range(2000)]
+    letters = [re.sub("[^A-Za-z]", "", d) for d in digests]
+    for keys, n, least in ((digests, 20, 0.95), (digests, 32, 0.99), (letters, 20, 0.85), (letters, 28, 0.97)):
+        assert sum(s.likely(k[:n]) for k in keys) / sum(len(k) >= n for k in keys) > least, (n, least)
+    names = {n for m in list(sys.modules.values()) for n in dir(m) if len(n) >= 16 and not re.search("[0-9a-f]{8}", n)}
+    assert len(names) > 1000 and sum(map(s.likely, names)) / len(names) < 0.003
+
+
+def test_sums_equal_brute_force():
+    """The best pieces against the log-likelihood ratio of every piece, added up from the counts of the models."""
+    keys, plain = samples(5, 400)
+    s, r = Scanner(keys, plain), random.Random(8)
+
+    def log_p(model, context, c):
+        p = 1 / 66
+        for k in ("", context[1:], context):
+            row = model.counts.get(k, {})
+            n = sum(v for x, v in row.items() if x)
+            p = (row.get(c, 0) + 0.2 * 66 * p) / (n + 0.2 * 66)
+        return math.log(p)
+
+    for token in [r.choice(keys)[:20] for _ in range(20)] + [r.choice(plain)[:20] + r.choice(keys)[:20] for _ in range(20)]:
+        t = "^^" + token
+        gain = [log_p(s.random, t[i : i + 2], c) - log_p(s.ordinary, t[i : i + 2], c) - 0.5 for i, c in enumerate(token)]
+        for x, i, j in s.pieces(token):
+            assert abs(x - sum(gain[i:j])) < 1e-9
+        if max(x for x, _, _ in s.pieces(token)) < 12:
+            continue  # a fall may have cut it
+        best = max(sum(gain[i:j]) for i in range(len(token)) for j in range(i + 1, len(token) + 1))
+        assert best - max(x for x, _, _ in s.pieces(token)) < 12 + 1e-9
+
+
+def test_secrets_within_longer_runs():
+    s, key = scanner(), "jjXCzTv2ZBvbDiBQt2kyy7Lm"
+    for before, after in (("my_very_long_identifier_name_that_goes_on_and_on_", ""), ("", "/path/to/the/customer/description"), ("password=aB3dE5fG7hJ9kL1m ", "")):
+        t = before + key + after
+        (found,) = [x for x in s.spans(t) if x[0] == METHOD]
+        assert abs(found[1] - len(before)) <= 2 and abs(found[2] - len(before) - len(key)) <= 2
+    assert [k for k, _, _ in s.spans("x/" + key + "/" + "0123456789abcdef" * 2 + "/" + key)] == [METHOD, "hex", METHOD]
+    assert s.spans("-" * 500 + "\n" + "=" * 90 + " aianmentiereuxier 2024-11-27/12-30-00") == []
+
+
 def test_method_adds_and_keeps():
     s = scanner()
     spans = s.spans("see xK9fQ2mPz7Lw4RtYb8Nc1Vd6 and password=aB3dE5fG7hJ9kL1m, get_user_name_value_2020")
