@@ -8,8 +8,8 @@ URL table by full-batch gradient descent, alike on every run.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased;
 path: from there up to ``?``, ``#`` or the end.  A null URL, or one without
-``://``, has an empty host and path, no rule and the verdict allow with
-probability 0.  Repeated rows get equal results; input columns named like added
+``://``, has an empty host and path and no rule; the model judges it like any
+other, by its intercept alone.  Repeated rows get equal results; input columns named like added
 ones give way to them; an empty table gives no rows.
 """
 
@@ -28,27 +28,32 @@ from docmill.llm.common import map_arrow, room_for, spare_name, table, with_fiel
 #: (verdict, host and path), as given.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 BITS, GRAMS, PATH_WEIGHT, THRESHOLD = 15, (3, 4, 5), 0.3, 0.5
+PRIOR = -1.0  # the intercept: most sites are ordinary, and so is what tells nothing
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-#: Labelled URLs without scheme: hosts and paths of unwanted sites, and of ordinary ones.
+#: Labelled URLs without scheme: hosts and paths of unwanted sites (medicine spam, gambling, adult, search-engine
+#: spam, fraud, tracking, piracy), and of ordinary ones.
 UNWANTED = """
-cheap-pills.example.com/en/12 www.buy-cheap-pills.example/shop pills-online.example/order cheap-meds.example.org/de/7 discount-pharmacy.example/viagra online-pharmacy.example.com/cheap
-free-bets.example.com/en/44 m.free-bets.example.org/play bet-now.example/odds best-casino.example.com/bonus online-casino.example.net/slots casino-bonus.example/free-spins poker-win.example.com/jackpot lucky-slots.example.org/spin sports-betting.example/free
-adult-x.example.net/en/9 www.adult-x.example.com/video adult-video.example/xxx sex-cams.example.com/live hot-girls-xxx.example/cams porn-tube.example.org/watch xxx-clips.example/adult escort-adult.example.com/de/3
-spam-farm.example.org/en/100 link-farm.example.com/page spam-links.example/buy seo-spam.example.net/backlinks buy-backlinks.example.com/cheap content-farm.example.org/fr/8
-get-rich-quick.example.com/money free-money.example/win win-iphone.example.com/prize fast-loans.example.net/payday crypto-doubler.example/invest replica-watches.example.com/sale fake-rolex.example/replica cheap-replica.example.org/bags
-ads-track.example.com/en/5 ad-server.example.net/track click-tracker.example.com/pixel banner-ads.example.org/click casino-win.example.com/de/4 www.win-casino.example/play
-warez-crack.example.com/keygen free-keygen.example/download torrent-crack.example.net/serial phishing-login.example/verify-account malware-download.example.com/setup.exe work-from-home-cash.example/earn miracle-weight-loss.example.com/diet
+viagra-online.com/buy buyviagra.net/order-now cialis-discount.info/cheap generic-cialis.org/pills xanax-no-prescription.com/shop pharmacy-discount.net/cheap-meds canadian-pharmacy.biz/pills diet-pills-now.com/order slimming-pills.info/offer cheapmeds24.net/checkout
+online-casino.biz/bonus casinoslots.com/free-spins vegas-casino-bonus.net/jackpot royalcasino.info/slots poker-bonus.org/deposit pokerstake.com/win sports-betting.biz/odds betting-tips.info/free bets24.net/live win-big-bets.com/bonus roulette-winner.net/play lottery-winner.info/claim bingo-jackpot.com/win
+porn-videos.com/watch freeporn.net/clips xxx-movies.org/hd xxxcams.com/live sex-chat.net/girls hot-sex-videos.info/watch adultdating.biz/meet adult-webcams.com/live nude-girls.net/gallery escort-girls.org/city milf-cams.net/live erotic-stories.info/read
+spam-blast.com/send bulk-email-spam.net/lists buy-backlinks.biz/seo cheap-backlinks.com/order linkfarm.net/directory link-farm-seo.info/page article-spinner.org/seo auto-content-spam.net/post buy-followers.com/likes rank-fast-seo.biz/links
+get-rich-fast.com/money easy-money-online.net/earn free-money-now.info/win payday-loans-fast.com/apply instant-loans.biz/cash bitcoin-doubler.org/invest crypto-giveaway.net/claim free-iphone-winner.com/prize replica-watches.biz/sale replica-handbags.net/cheap work-at-home-cash.info/earn
+ads-server.com/track adserver.net/click adtracker.biz/pixel click-tracker.net/redirect banner-ads.info/click popup-ads.com/serve tracking-pixel.org/track trackclicks.net/go doubleads.com/impression affiliate-tracker.biz/click
+free-cracks.net/keygen warez-download.com/serial keygen-crack.info/download torrent-pirate.org/free account-verify-login.com/signin paypal-secure-verify.net/account malware-setup.biz/install.exe free-antivirus-scan.info/alert miracle-cure.com/secret weight-loss-miracle.net/order
 """.split()
 ORDINARY = """
-www.theran.example.com/en/12 blog.ththon.example.net/de/7 m.theres.example.org/fr/44 thered.example.com/es/9 news.example.org/en/2020/world blog.example.com/posts/spring-walk
-docs.example.org/guide/install www.university.example/research library.example.org/catalogue museum.example.com/en/exhibitions weather.example.net/forecast travel.example.com/fr/paris
-recipes.example.org/soup/onion sports.example.com/results/football health.example.org/advice/sleep school.example.net/timetable city.example.org/de/rathaus government.example/forms/tax
-science.example.com/articles/cells history.example.org/es/roma music.example.net/reviews books.example.com/novels/12 cinema.example.org/listings garden.example.com/roses
-tionble.example.com/en/814 ingther.example.org/de/63 www.ouath.example.com/fr/5 ereshion.example.net/en/310 blog.handst.example.org/es/88 erwhnt.example.com/en/page.html
-shop.example.com/basket store.example.org/shoes/42 jobs.example.net/engineer forum.example.com/thread/9 wiki.example.org/page/Tree code.example.com/project/readme
-maps.example.org/route photos.example.net/album/3 mail.example.com/inbox support.example.org/contact about.example.com/team status.example.net/history
+news.com/world/2020/election blog.com/posts/spring-walk docs.org/guide/install university.edu/research library.org/catalogue museum.com/en/exhibitions weather.net/forecast travel.com/fr/paris recipes.org/soup/onion sports.com/results/football
+health.org/advice/sleep school.net/timetable city.org/de/rathaus government.gov/forms/tax science.com/articles/cells history.org/es/roma music.net/reviews books.com/novels/12 cinema.org/listings garden.com/roses
+shop.com/basket store.org/shoes/42 jobs.net/engineer forum.com/thread/9 wiki.org/page/Tree code.com/project/readme maps.org/route photos.net/album/3 mail.com/inbox support.org/contact
+about.com/team status.net/history city-council.org/en/meetings new-york-travel.com/hotels daily-news.net/politics open-source-software.org/download state-library.edu/search national-park.org/trails language-school.com/es/courses art-gallery.net/de/paintings
+m.weather-report.com/today www.daily-recipes.org/fr/bread blog.data-science.net/en/regression www.car-repair.com/brakes history-of-music.org/baroque www.town-hall.net/de/termine books-and-maps.com/atlas blog.travel-stories.org/es/lima kitchen-garden.net/herbs www.children-hospital.org/visit
+hamilton.com/en/1 richter.net/de/22 moreau.org/fr/43 castillo.com/es/64 blog.henderson.net/en/85 www.lindqvist.org/de/106 m.beaumont.com/fr/127 oliveira.net/es/148 www.thornbury.org/en/169 ashford.com/en/190
+www.berliner-zeitung.com/de/kultur lemonde-info.org/fr/culture elpais-diario.net/es/deportes guardian-post.com/en/opinion blog.winterfell.net/en/snow www.oakland-theatre.org/en/tickets riverside-clinic.com/en/doctors northern-railway.net/en/timetable blog.mountain-hiking.org/de/alpen physics-institute.edu/en/lectures
+bakery.com/bread airport.org/departures orchestra.net/concerts stadium.com/matches theatre.org/tickets village.net/market harbour.com/ferries castle.org/tours observatory.edu/stars bridge.net/history
+power-company.com/tariffs tower.org/visit answers.net/questions farmers-market.org/stalls newspapers.com/archive teachers.org/lessons computers.net/laptops writers-club.org/poems winter-sports.com/skiing betterhomes.net/kitchens
+sea-life.org/whales sussex-county.org/roads alphabet.net/letters cashmere-knitting.com/patterns seoul-guide.net/markets linked-data.org/ontology trackfield.com/races adventure.org/climbing executive-education.edu/courses advice-bureau.org/housing
 """.split()
 
 
@@ -79,20 +84,28 @@ def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(values)
 
 
+def variants(url: str) -> list[str]:
+    """The URL under several subdomains and top domains, which say nothing of the site and are then learned as such."""
+    host, slash, path = url.partition("/")
+    name = host.removeprefix("www.").removeprefix("blog.").removeprefix("m.")
+    name = name.rpartition(".")[0] or name
+    return [url, *(f"{before}{name}.{after}{slash}{path}" for before, after in (("", "com"), ("www.", "com"), ("m.", "net"), ("blog.", "org"), ("", "example.com"), ("www.", "example.org"), ("m.", "example.net"), ("shop.", "info")))]
+
+
 def train(unwanted: list[str] = UNWANTED, ordinary: list[str] = ORDINARY, rounds: int = 400, rate: float = 2.0, shrink: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights by hash and the intercept."""
-    rows = [(1.0, u) for u in unwanted] + [(0.0, u) for u in ordinary]
+    rows = [(1.0, v) for u in unwanted for v in variants(u)] + [(0.0, v) for u in ordinary for v in variants(u)]
     y = np.array([label for label, _ in rows])
     x = np.zeros((len(rows), 1 << BITS))
     for i, (_, u) in enumerate(rows):
         at, values = features(*parts(f"http://{u}"))
         np.add.at(x[i], at, values)
     used = np.flatnonzero(x.any(axis=0))
-    x, w, b = x[:, used], np.zeros(len(used)), 0.0
+    x, w, b = x[:, used], np.zeros(len(used)), PRIOR
+    share = np.where(y > 0, 7.0 / max(y.sum(), 1), 7.0 / max(len(y) - y.sum(), 1))  # both classes weigh alike
     for _ in range(rounds):
         error = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= rate * (x.T @ error / 10 + shrink * w)
-        b -= rate * error.mean()
+        w -= rate * (x.T @ (error * share) + shrink * w)
     out = np.zeros(1 << BITS)
     out[used] = w
     return out, float(b)
@@ -102,8 +115,6 @@ _model: list[tuple[np.ndarray, float]] = []
 
 
 def probability(host: str, path: str, model: tuple[np.ndarray, float]) -> float:
-    if not host and not path:
-        return 0.0
     at, values = features(host, path)
     return float(1 / (1 + np.exp(-(model[0][at] @ values + model[1]))))
 
