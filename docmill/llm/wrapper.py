@@ -8,14 +8,16 @@ slots.  Over all pages of a host, a text that stands in the same slot of most pa
 of different content is constant, part of the template; what varies is a slot's
 content.  Of the varying slots, those whose element or attributes say menu, header,
 footer, sidebar, notice, advert, form or comment are not the article; if a page marks
-its article (article, main), only slots inside count, else link-heavy blocks go.
+its article (article, main), only slots inside count, else link-heavy blocks that are no
+headings or paragraphs go.
 Words that speak of layout (has-sidebar, content-sidebar-wrap) and ids of headings,
 paragraphs and parts of an article mark nothing; an article within a marked element
 counts if it is longer than what stands outside, and where marks by words
 (but for adverts, notices of consent and comments) would leave nothing, they are void.
 
-Pages whose content is equal count once for constancy, and constants are kept where
-they make up most of a page's article, so copies of an article are no template.
+Pages whose content is equal count once for constancy, so copies of an article are no
+template.  A tree of any depth is walked without recursion, and siblings are aligned in
+``n log n`` steps.
 Counts are per host, slot and text and pre-aggregated; a host of any size is spread
 over all tasks.
 
@@ -50,6 +52,8 @@ RAW = frozenset("script style noscript template title textarea iframe xmp nofram
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Elements that are never part of an article.
 OUTSIDE = frozenset("nav footer aside form button select menu dialog svg canvas object audio video map fieldset datalist head".split())
+#: Elements whose text stays however much of it is linked.
+PROSE = frozenset("p blockquote pre dd figcaption".split())
 #: Words of class, id, role or label attributes that mark what is not the article.
 OUTSIDE_WORDS = frozenset(
     "nav navbar navigation menu menubar sidebar rail footer header masthead banner topbar ad ads adv advert adverts advertisement sponsor sponsored promo promotion cookie cookies consent gdpr notice alert "
@@ -99,18 +103,27 @@ class Node:
     def child(self, label: str) -> Node:
         return self.children.setdefault(label, Node(label))
 
+    def walk(self) -> Iterator[tuple[int, Node]]:
+        """(depth, node) of the whole tree, parents first, in page order."""
+        stack = [(0, self)]
+        while stack:
+            depth, node = stack.pop()
+            yield depth, node
+            stack += [(depth + 1, c) for c in reversed(node.children.values())]
+
     def size(self) -> int:
-        return 1 + sum(c.size() for c in self.children.values())
+        return sum(1 for _ in self.walk())
 
     def packed(self) -> list:
-        return [self.label, [c.packed() for c in self.children.values()]]
+        return [[depth, node.label] for depth, node in self.walk()]
 
     @staticmethod
-    def unpacked(x: list) -> Node:
-        node = Node(x[0])
-        for c in x[1]:
-            node.children[c[0]] = Node.unpacked(c)
-        return node
+    def unpacked(rows: list) -> Node:
+        above: list[Node] = []
+        for depth, label in rows:
+            node = above[depth - 1].child(label) if depth else Node(label)
+            above[depth:] = [node]
+        return above[0]
 
 
 class Block:
@@ -223,59 +236,72 @@ def parse(source: str) -> tuple[Node, list[Block]]:
 
 def matching(a: Node, b: Node) -> int:
     """Simple tree matching: the size of the largest order-keeping alignment of two trees."""
-    return _match(a, b, {})
+    return _match(a, b)[0]
+
 
+def _match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """The size of the alignment, and its pairs of nodes, parents first.
 
-def _match(a: Node, b: Node, memo: dict) -> int:
+    Labels differ among siblings, so a child has one partner at most, and the best order-keeping
+    choice of a node's children is the heaviest rising sequence of their partners' places."""
     if a.label != b.label:
-        return 0
-    key = id(a), id(b)
-    if key not in memo:
-        xs, ys = list(a.children.values()), list(b.children.values())
-        rows = [[0] * (len(ys) + 1)]
-        for i, x in enumerate(xs):
-            row = [0]
-            for j, y in enumerate(ys):
-                row.append(max(row[j], rows[i][j + 1], rows[i][j] + _match(x, y, memo)))
-            rows.append(row)
-        memo[key] = (1 + rows[-1][-1], rows)
-    return memo[key][0]
+        return 0, []
+    pairs = [(a, b)]
+    for x, y in pairs:  # grows as it is read
+        pairs += [(c, y.children[c.label]) for c in x.children.values() if c.label in y.children]
+    size: dict[Node, int] = {}
+    chosen: dict[Node, list[tuple[Node, Node]]] = {}
+    for x, y in reversed(pairs):
+        place = {label: j for j, label in enumerate(y.children)}
+        own = [(c, y.children[c.label], place[c.label]) for c in x.children.values() if c.label in place]
+        total, picked = _heaviest([(j, size[c]) for c, _, j in own], len(place))
+        size[x], chosen[x] = 1 + total, [own[i][:2] for i in picked]
+    kept = [(a, b)]
+    for x, _ in kept:
+        kept += chosen[x]
+    return size[a], kept
+
+
+def _heaviest(items: list[tuple[int, int]], n: int) -> tuple[int, list[int]]:
+    """Of (place below n, weight) items in order, the largest weight of a choice with rising places, and that choice."""
+    best, last, before = [0] * (n + 1), [-1] * (n + 1), []  # by prefixes of places, as a binary indexed tree
+    most, end = 0, -1
+    for i, (place, weight) in enumerate(items):
+        at, total, link = place, 0, -1
+        while at > 0:
+            if best[at] > total:
+                total, link = best[at], last[at]
+            at -= at & -at
+        total += weight
+        before.append(link)
+        at = place + 1
+        while at <= n:
+            if total > best[at]:
+                best[at], last[at] = total, i
+            at += at & -at
+        if total > most:
+            most, end = total, i
+    out = []
+    while end >= 0:
+        out.append(end)
+        end = before[end]
+    return most, out[::-1]
 
 
 def align(page: Node, reference: Node) -> None:
-    """Numbers the page's nodes by the reference's slots; unmatched nodes go by their own path."""
-
-    def path(node: Node, prefix: str) -> None:
-        node.number = f"{prefix}/{node.label}"
-        for c in node.children.values():
-            path(c, node.number)
-
-    def number(node: Node, at: list[int]) -> None:
-        node.number = str(at[0])
-        at[0] += 1
-        for c in node.children.values():
-            number(c, at)
-
-    def trace(a: Node, b: Node) -> None:
-        a.number = b.number
-        xs, ys = list(a.children.values()), list(b.children.values())
-        rows = memo[id(a), id(b)][1]
-        i, j = len(xs), len(ys)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                trace(xs[i], ys[j])
-
-    memo: dict = {}
-    path(page, "~")
-    number(reference, [0])
-    matched = _match(page, reference, memo)
+    """Numbers the page's nodes by the reference's slots; unmatched nodes go by a hash of their own path."""
+    import xxhash
+
+    above: list[str] = []
+    for depth, node in page.walk():
+        node.number = "~" + xxhash.xxh3_128_hexdigest(f"{above[depth - 1] if depth else ''}/{node.label}".encode("utf-8", "surrogatepass"))
+        above[depth:] = [node.number]
+    for i, (_, node) in enumerate(reference.walk()):
+        node.number = str(i)
+    matched, pairs = _match(page, reference)
     if matched and 2 * matched >= LEAST_MATCH * (page.size() + reference.size()):
-        trace(page, reference)
+        for x, y in pairs:
+            x.number = y.number
 
 
 def article_blocks(blocks: list[Block]) -> list[bool]:
@@ -285,6 +311,7 @@ def article_blocks(blocks: list[Block]) -> list[bool]:
     An article within a marked element counts if it is longer than what stands outside such
     elements; where marks by words would leave nothing, what they mark stays."""
     size = lambda bs: sum(len(b.text) for b in bs)
+    prose = lambda b: b.heading or 2 * b.linked <= len(b.text) or b.node.label.partition(".")[0] in PROSE
     free = [b for b in blocks if not b.outside and not b.wrapped]
     held = [b for b in blocks if not b.outside and b.wrapped]
     whole = size(held) > size([b for b in free if b.article] or free)
@@ -292,8 +319,8 @@ def article_blocks(blocks: list[Block]) -> list[bool]:
     deep = [b for b in marked if b.article == 2]
     inner = 0 if not marked else 2 if 2 * size(deep) > size(marked) else 1
     titles = {id(b) for b in marked[: marked.index(deep[0])] if b.heading} if inner == 2 else set()
-    own = [not b.outside and b.wrapped == whole and (b.article >= inner or id(b) in titles if inner else b.heading or 2 * b.linked <= len(b.text)) for b in blocks]
-    return own if any(own) else [b.outside < 2 and 2 * b.linked <= len(b.text) for b in blocks]
+    own = [not b.outside and b.wrapped == whole and (b.article >= inner or id(b) in titles if inner else prose(b)) for b in blocks]
+    return own if any(own) else [b.outside < 2 and prose(b) for b in blocks]
 
 
 _SLOTS = "array<struct<slot:string,text:string,own:boolean>>"
@@ -352,10 +379,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     own = F.filter("blocks", lambda b: b["own"])
     fixed = lambda b: F.exists("constant", lambda c: (c["slot"] == b["slot"]) & (c["text"] == F.xxhash64(b["text"])))
     join = lambda bs: F.array_join(F.transform(bs, lambda b: b["text"]), " ")
-    every = join(own)
-    varying = F.when(F.col("constant").isNull(), every).otherwise(join(F.filter(own, lambda b: ~fixed(b))))
-    out = out.withColumns({"__all": every, "__varying": varying})
-    text = F.when(2 * F.length("__varying") < F.length("__all"), F.col("__all")).otherwise(F.col("__varying"))
+    text = F.when(F.col("constant").isNull(), join(own)).otherwise(join(F.filter(own, lambda b: ~fixed(b))))
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
