@@ -1,7 +1,8 @@
 """Order MinHash fingerprints (operator 8).
 
-A text is a sequence of units (words between white space, cut into pieces of 32
-characters).  Its k-mers, pairs of following units, are numbered by occurrence, so
+A text is a sequence of units: words between white space; words of more than 32
+characters and those of scripts without spaces are cut into pieces of some four
+characters, where the characters themselves say so.  Its k-mers, pairs of following units, are numbered by occurrence, so
 repeats differ.  For each of 96 hash functions the two numbered k-mers of smallest
 hash are selected, put back into text order and hashed as a tuple: a value of
 the signature.  Equal values need the same k-mers in the same order, so the share
@@ -25,17 +26,20 @@ follows itself; an empty table gives no rows; further columns are left out.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.common import map_arrow, mix64, table
 from docmill.llm.jaccard import WordHashes
 
 HASHES, KMER, TUPLE, PIECE = 96, 2, 2, 32
+#: Letters of scripts that are written without spaces: Thai, Lao, Burmese, Khmer, Chinese, Japanese.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MOST = np.uint32(0xFFFFFFFF)
 _HALF = np.uint64(32)
@@ -44,12 +48,23 @@ _ADD = (mix64(np.arange(7001, HASHES + 7001, dtype=np.uint64) * _GOLDEN) >> _HAL
 
 
 def units(text: str) -> list[str]:
+    """Words; those of more than ``PIECE`` characters, or of scripts without spaces, are cut where their
+    characters say so, so that pieces far from an edit stay as they are."""
     words = text.split()
-    if len(text) > PIECE and any(len(w) > PIECE for w in words):
-        words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+    if len(text) > PIECE and any(len(w) > PIECE for w in words) or _UNSPACED.search(text):
+        words = [u for w in words for u in (_pieces(w) if len(w) > PIECE or _UNSPACED.search(w) else (w,))]
     return words
 
 
+def _pieces(word: str) -> list[str]:
+    """Pieces that begin where the hash of two neighbouring characters is divisible by four, of ``PIECE`` characters at most."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        begins = np.flatnonzero(mix64(codes[1:] * _GOLDEN + codes[:-1]) & np.uint64(3) == 0) + 1
+    begins = np.concatenate([[0], begins, [len(codes)]]).tolist()
+    return [word[j : min(j + PIECE, end)] for i, end in zip(begins, begins[1:], strict=False) for j in range(i, end, PIECE)]
+
+
 def numbered_kmers(text: str, hashes: WordHashes) -> np.ndarray:
     """Hashes of the k-mers with their occurrence numbers, in text order."""
     found = units(text)
@@ -112,6 +127,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _below(bounds: list[int], value: Column) -> Column:
+    """How many of the rising bounds are below a value, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    n, given = len(bounds), F.array(*map(F.lit, bounds)).cast("array<long>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.element_at(given, F.least(at + step, F.lit(n))) < value), at + step).otherwise(at))
+
+
 def in_id_order(spark: SparkSession, docs: DataFrame, text: str = "text", ranges: int | None = None) -> DataFrame:
     """Rows (range, guest, doc_id, text), each range in one partition and in order, ended by the row that follows it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -119,8 +143,7 @@ def in_id_order(spark: SparkSession, docs: DataFrame, text: str = "text", ranges
     shares = [i / ranges for i in range(1, ranges)]
     bounds = (docs.agg(F.percentile_approx("doc_id", shares, 20_000)).first()[0] if shares else None) or []
     bounds = sorted(set(bounds))
-    own = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    own = F.when(F.col("doc_id").isNull(), 0).otherwise(own)
+    own = F.when(F.col("doc_id").isNull(), 0).otherwise(_below(bounds, F.col("doc_id")))
     begins = docs.select("doc_id", own.alias("range")).groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"))).alias("first")).collect()
     begins = sorted((r[0], r[1][1]) for r in begins)  # a row for each range
     before = [(begins[i][1], begins[i - 1][0]) for i in range(len(begins))]
