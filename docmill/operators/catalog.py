@@ -19,15 +19,15 @@ def parser_of(file_name: Column) -> Column:
     return out
 
 
-def new_files(files: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Files whose content is neither indexed nor earlier in the batch (by ``arrival``).
+def new_files(files: DataFrame, catalog: DataFrame, by: tuple[str, ...] = ("file_hash",)) -> DataFrame:
+    """Files whose content is neither indexed nor earlier in the batch (by ``arrival``), one for each value of ``by``.
 
     The anti join and the pick of the earliest copy stand before any parsing.  The pick
     is an aggregate, combined before the shuffle, so one often repeated file is no hot key.
     """
     known = catalog.where("status = 'indexed'").select("file_hash").distinct()
-    first = files.groupBy("file_hash").agg(F.min("arrival").alias("arrival"))
-    return files.join(first, ["file_hash", "arrival"], "left_semi").join(known, "file_hash", "left_anti")
+    first = files.groupBy(*by).agg(F.min("arrival").alias("arrival"))
+    return files.join(first, [*by, "arrival"], "left_semi").join(known, "file_hash", "left_anti")
 
 
 def ingest_status(files: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -56,10 +56,6 @@ def stored(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({c: F.substring(c, 1, n) for c, n in STORE_LIMITS.items() if c in chunks.columns})
 
 
-def append_chunks(chunks: DataFrame, path: str) -> None:
-    stored(chunks).write.mode("append").partitionBy("category").parquet(path)
-
-
 def upsert(catalog: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` replace those of the same content; their creation time is that of the update."""
     fresh = new.withColumns({"status": F.lit("indexed"), "created_at": F.col("updated_at")})

@@ -47,25 +47,35 @@ def row_windows(rows: Column, size: int, step: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(rows, s + 1, F.lit(size)).alias("rows")))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, where an expression named within a lambda is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ocr_table_chunks(text: Column, size: int = OCR_WINDOW, step: int = OCR_STEP) -> Column:
     """Windows of table lines, the first two lines on each; a small table stays whole."""
     lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]", -1), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: x != "")
-    rows = F.slice(lines, 3, 1_000_000_000)
-    head = F.array_join(F.slice(lines, 1, 2), "\n")
-    cut = F.transform(row_windows(rows, size, step), lambda w: F.concat(head, F.lit("\n"), F.array_join(w["rows"], "\n")))
-    return F.when(F.size(lines) == 0, F.array().cast("array<string>")).when(F.size(rows) <= size, F.array(text)).otherwise(cut)
+    parts = lambda x: F.struct(F.size(x).alias("n"), F.slice(x, 3, 1_000_000_000).alias("rows"), F.concat(F.array_join(F.slice(x, 1, 2), "\n"), F.lit("\n")).alias("head"))
+
+    def cut(t: Column) -> Column:
+        windows = F.transform(row_windows(t["rows"], size, step), lambda w: F.concat(t["head"], F.array_join(w["rows"], "\n")))
+        return F.when(t["n"] == 0, F.array().cast("array<string>")).when(F.size(t["rows"]) <= size, F.array(text)).otherwise(windows)
+
+    return bound(lines, lambda x: bound(parts(x), cut))
 
 
 def pdf_table_chunks(headers: Column, rows: Column, size: int = PDF_WINDOW) -> Column:
     """Formatted rows under the header line; beyond ``size`` rows in half-overlapping, labelled windows."""
-    head = F.array_join(headers, " | ")
-    whole = F.concat(F.lit("[表格] "), head, F.lit("\n"), F.array_join(rows, "\n"))
 
-    def labelled(w: Column) -> Column:
-        label = F.concat(F.lit("第"), (w["start"] + 1).cast("string"), F.lit("~"), (w["start"] + F.size(w["rows"])).cast("string"), F.lit("行"))
-        return F.concat(F.lit("[表格"), label, F.lit("] "), head, F.lit("\n"), F.array_join(w["rows"], "\n"))
+    def cut(t: Column) -> Column:
+        def labelled(w: Column) -> Column:
+            label = F.concat(F.lit("第"), (w["start"] + 1).cast("string"), F.lit("~"), (w["start"] + F.size(w["rows"])).cast("string"), F.lit("行"))
+            return F.concat(F.lit("[表格"), label, F.lit("] "), t["head"], F.lit("\n"), F.array_join(w["rows"], "\n"))
+
+        whole = F.concat(F.lit("[表格] "), t["head"], F.lit("\n"), F.array_join(t["rows"], "\n"))
+        return F.when(F.size(t["rows"]) == 0, F.array().cast("array<string>")).when(F.size(t["rows"]) <= size, F.array(whole)).otherwise(F.transform(row_windows(t["rows"], size, size // 2), labelled))
 
-    return F.when(F.size(rows) == 0, F.array().cast("array<string>")).when(F.size(rows) <= size, F.array(whole)).otherwise(F.transform(row_windows(rows, size, size // 2), labelled))
+    return bound(F.struct(rows.alias("rows"), F.array_join(headers, " | ").alias("head")), cut)
 
 
 def sheet_batches(rows: DataFrame, size: int = SHEET_ROWS) -> DataFrame:

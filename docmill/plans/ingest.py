@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.structure import docx_level, merge_body, pdf_level, with_heading_path
 from docmill.functions.text import clean_text, format_row, header_names, utrim
-from docmill.operators.catalog import new_files
+from docmill.operators.catalog import ingest_status, new_files, parser_of
 from docmill.operators.chunking import docx_table, image_text_chunks, pdf_table_chunks, sheet_batches, smart_chunk
 from docmill.operators.layout import is_table_text
 
@@ -114,8 +114,6 @@ def pdf_chunks(blocks: DataFrame) -> DataFrame:
 
 def chunk_blocks(blocks: DataFrame) -> DataFrame:
     """Chunks of all files of a block stream, each by its format's rules."""
-    from docmill.operators.catalog import parser_of
-
     blocks = blocks.where("error is null").withColumn("__parser", parser_of(F.col("file_name")))
     by = {"docx": docx_chunks, "sheet": sheet_chunks, "image": image_chunks, "pdf": pdf_chunks}
     out = None
@@ -125,21 +123,55 @@ def chunk_blocks(blocks: DataFrame) -> DataFrame:
     return out
 
 
-def ingest(spark: SparkSession, files: DataFrame, catalog: DataFrame, category: str = "", embed=None, extractors=None, recognise=None) -> tuple[DataFrame, DataFrame]:
-    """(chunks, files of the batch): deduplicate, extract, recognise images, chunk, embed.
+def extracted(files: DataFrame, catalog: DataFrame, extractors=None, recognise=None) -> tuple[DataFrame, DataFrame]:
+    """(blocks, files that they come from): copies of known content, further copies of a batch and
+    files that nothing reads never reach an extractor.
 
-    ``files`` comes from ``read_files``; copies of known content never reach an extractor.
+    Of equal contents the earliest by path is read, once for each parser that the copies' names
+    ask for, so a copy that can't be read hides none that can.  Image files without a recogniser
+    give the error ``ocr_unavailable``.
     """
+    from docmill.sources.files import EXTRACTORS
     from docmill.sources.files import blocks as extract
 
-    batch = files.withColumn("arrival", F.col("file_path"))
-    fresh = new_files(batch, catalog)
+    readable = files.where(F.col("parser").isin(sorted({*EXTRACTORS, *(extractors or {})})))
+    fresh = new_files(readable.withColumn("arrival", F.col("file_path")), catalog, ("file_hash", "parser"))
     found = extract(fresh, extractors)
+    image = F.col("kind") == "image"
     if recognise is not None:
-        found = found.withColumn("text", F.when((F.col("kind") == "image") & F.col("image").isNotNull(), recognise(F.col("image"), F.col("text"))).otherwise(F.col("text")))
+        found = found.withColumn("text", F.when(image & F.col("image").isNotNull(), recognise(F.col("image"), F.col("text"))).otherwise(F.col("text")))
     else:
-        found = found.withColumn("text", F.when(F.col("kind") == "image", F.lit("")).otherwise(F.col("text")))
-    chunks = chunk_blocks(found.drop("image")).withColumns({"category": F.lit(category), "table_headers": F.array_join("table_headers", "|")})
-    if embed is not None:
-        chunks = chunks.withColumn("embedding", embed(F.col("text")))
-    return chunks, fresh.drop("content")
+        alone = image & (parser_of(F.col("file_name")) == "image")
+        found = found.withColumns({"text": F.when(image, F.lit("")).otherwise(F.col("text")), "error": F.when(alone, F.lit("ocr_unavailable")).otherwise(F.col("error"))})
+    return found.drop("image"), fresh.drop("content")
+
+
+def chunked(blocks: DataFrame, category: str = "", embed=None) -> DataFrame:
+    """Chunks of blocks as the store takes them, embedded if there is an embedder."""
+    chunks = chunk_blocks(blocks).withColumns({"category": F.lit(category), "table_headers": F.array_join("table_headers", "|")})
+    return chunks if embed is None else chunks.withColumn("embedding", embed(F.col("text")))
+
+
+def ingest(spark: SparkSession, files: DataFrame, catalog: DataFrame, category: str = "", embed=None, extractors=None, recognise=None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, files of the batch): deduplicate, extract, recognise images, chunk, embed.  ``files`` comes from ``read_files``."""
+    found, fresh = extracted(files, catalog, extractors, recognise)
+    return chunked(found, category, embed), fresh
+
+
+def ingest_into(store, files: DataFrame, category: str = "", embed=None, extractors=None, recognise=None, batch: str | None = None) -> DataFrame:
+    """Ingests files into a ``Store`` and returns every file's status and reason.
+
+    Files are extracted once: their blocks are written beside the store before they are
+    chunked.  A file is entered in the catalog only if it gave chunks, so failures are tried
+    again.  ``batch`` names the batch: one that is run again replaces what its first run wrote.
+    """
+    number, catalog = store.begin(batch)
+    found, fresh = extracted(files, catalog, extractors, recognise)
+    blocks, fresh = store.stage(found, "blocks", number), store.stage(fresh, "batch", number)
+    store.add(chunked(blocks, category, embed), fresh, number)
+    counts = store.batch(number).groupBy("file_hash", "file_name").agg(F.count(F.lit(1)).alias("n_chunks"))
+    errors = blocks.groupBy("file_hash", "file_name").agg(F.max("error").alias("error"))
+    told = fresh.join(counts, ["file_hash", "file_name"], "left").join(errors, ["file_hash", "file_name"], "left").select("file_hash", "parser", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "error")
+    every = files.select("file_name", "file_hash", "parser", F.col("file_path").alias("arrival")).join(told, ["file_hash", "parser"], "left")
+    every = every.withColumn("error", F.coalesce("error", F.when(F.col("n_chunks").isNull(), F.lit("no parser for this type"))))
+    return ingest_status(every, catalog)

@@ -4,7 +4,9 @@ Chunks are only ever appended, in numbered batches by category; a deletion is a
 that hides a content's chunks up to a batch.  The catalog is small and is written
 anew, as a numbered version, by every change.  A batch or version counts once its
 writer has finished (``_SUCCESS``), so a failed or lost write is never seen and the
-next one takes its number.
+next one takes its number.  There is one writer at a time.  A named batch notes its
+number and the catalog that it starts from before it writes anything, so when it is run
+again it replaces its own chunks, whatever the first run came to.
 """
 
 from __future__ import annotations
@@ -35,29 +37,46 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return sorted(int(n[2:]) for n in names if n.startswith("n=") and self._fs.exists(self._path(f"{self.root}/{kind}/{n}/_SUCCESS")))
 
-    def _write(self, df: DataFrame, kind: str, *partitions: str) -> int:
-        n = max(self._finished(kind), default=0) + 1
+    def _write(self, df: DataFrame, kind: str, *partitions: str, n: int | None = None) -> int:
+        n = n or max(self._finished(kind), default=0) + 1
         df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.root}/{kind}/n={n}")
         return n
 
+    def begin(self, batch: str | None = None) -> tuple[int, DataFrame]:
+        """The number of a new batch of chunks, or of the one of that name, and the catalog that it starts from."""
+        number, version = max(self._finished("chunks"), default=0) + 1, self._finished("files")[-1]
+        if batch is not None:
+            path = f"{self.root}/begun/{batch}"
+            if not self._fs.exists(self._path(f"{path}/_SUCCESS")):
+                self.spark.createDataFrame([(number, version)], "number int, version int").write.mode("overwrite").parquet(path)
+            number, version = self.spark.read.schema("number int, version int").parquet(path).first()
+        return number, self.files(version)
+
+    def stage(self, df: DataFrame, name: str, number: int) -> DataFrame:
+        """``df`` as written beside the store for the batch of a number, so that it is computed once."""
+        path = f"{self.root}/staged/{name}/n={number}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def ensure(self) -> None:
         """Creates an empty catalog if there is none; the chunk table needs no creation."""
         if not self._finished("files"):
             self._write(self.spark.createDataFrame([], FILES), "files")
 
-    def files(self) -> DataFrame:
-        """The latest catalog.  A column that an older version lacks reads as null."""
-        return self.spark.read.schema(FILES).parquet(f"{self.root}/files/n={self._finished('files')[-1]}")
+    def files(self, version: int | None = None) -> DataFrame:
+        """The latest catalog, or one of its versions.  A column that an older version lacks reads as null."""
+        return self.spark.read.schema(FILES).parquet(f"{self.root}/files/n={version or self._finished('files')[-1]}")
 
-    def _batch(self, n: int) -> DataFrame:
+    def batch(self, n: int) -> DataFrame:
+        """The chunks of one batch, deletions aside."""
         path = f"{self.root}/chunks/n={n}"
         return self.spark.read.schema(f"{STORED_CHUNK}, category string").option("basePath", path).parquet(path)
 
     def chunks(self) -> DataFrame:
-        """All chunks that no later deletion hides."""
-        out = self.spark.createDataFrame([], f"{STORED_CHUNK}, category string, batch int")
-        for n in self._finished("chunks"):
-            out = out.unionByName(self._batch(n).withColumn("batch", F.lit(n)))
+        """All chunks that no later deletion hides: one table, partitioned by batch and category."""
+        schema, done = f"{STORED_CHUNK}, n int, category string", self._finished("chunks")
+        found = self.spark.read.schema(schema).option("basePath", f"{self.root}/chunks").parquet(*(f"{self.root}/chunks/n={n}" for n in done)) if done else self.spark.createDataFrame([], schema)
+        out = found.withColumnRenamed("n", "batch")
         gone = self._finished("deleted")
         if gone:
             hidden = self.spark.read.schema("file_hash string, upto int").parquet(*(f"{self.root}/deleted/n={n}" for n in gone))
@@ -65,20 +84,28 @@ class Store:
             out = out.join(hidden, "file_hash", "left").where("upto is null or batch > upto").drop("upto")
         return out.drop("batch")
 
-    def add(self, chunks: DataFrame, files: DataFrame) -> None:
-        """Appends the chunks of a batch, cut to the columns' lengths, and enters its files."""
-        last = self.spark.createDataFrame([(max(self._finished("chunks"), default=0),)], "n long")
-        numbered = chunks.crossJoin(F.broadcast(last)).withColumn("id", (F.col("n") + 1) * F.lit(1 << 44) + F.monotonically_increasing_id())
+    def add(self, chunks: DataFrame, files: DataFrame, number: int | None = None) -> None:
+        """Appends the chunks of a batch, cut to the columns' lengths, and enters its files that have any."""
+        number = number or max(self._finished("chunks"), default=0) + 1
+        numbered = chunks.withColumn("id", F.lit(number << 44) + F.monotonically_increasing_id())
         names = [f.split()[0] for f in STORED_CHUNK.split(", ")]
         for name, kind in (f.split() for f in STORED_CHUNK.split(", ")):
             if name not in numbered.columns:
                 numbered = numbered.withColumn(name, F.lit(None).cast(kind))
-        n = self._write(stored(numbered.select(*names, F.coalesce("category", F.lit("")).alias("category"))), "chunks", "category")
+        # Of a content that several parsers read, the first file's chunks count.
+        if "file_path" in numbered.columns:
+            numbered = stored(numbered.select(*names, "file_path", F.coalesce("category", F.lit("")).alias("category")))
+            staged = self.stage(numbered, "chunks", number)
+            first = staged.groupBy("file_hash").agg(F.min("file_path").alias("file_path"))
+            numbered = staged.join(first, ["file_hash", "file_path"], "left_semi").drop("file_path")
+        else:
+            numbered = stored(numbered.select(*names, F.coalesce("category", F.lit("")).alias("category")))
+        self._write(numbered.select(*names, "category"), "chunks", "category", n=number)
         # Counted on what was written: extraction and embedding run once.
-        counts = self._batch(n).groupBy("file_hash").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"), F.min("category").alias("category"))
+        counts = self.batch(number).groupBy("file_hash", "file_name").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"), F.min("category").alias("category"))
         first = max(self._finished("files")) * (1 << 40)
         added = {"id": F.monotonically_increasing_id() + F.lit(first), "file_type": file_type("file_name"), "status": F.lit("indexed"), "created_at": F.lit(None).cast("timestamp"), "updated_at": F.current_timestamp()}
-        entered = files.select("file_name", "file_path", "file_hash").join(counts, "file_hash").withColumns(added)
+        entered = files.select("file_name", "file_path", "file_hash").join(counts, ["file_hash", "file_name"]).withColumns(added)
         self._write(upsert(self.files(), entered), "files")
 
     def delete(self, file_hash: str) -> None:

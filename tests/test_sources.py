@@ -6,9 +6,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from docmill.plans.ingest import chunk_blocks, ingest
+from docmill.plans.ingest import chunk_blocks, ingest, ingest_into
 from docmill.schemas import BLOCKS
 from docmill.sources.files import blocks, docx_blocks, read_files, sheet_blocks
+from docmill.sources.store import Store
 from docmill.streaming.ingest import watch
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -126,18 +127,49 @@ def test_pdf_blocks(spark):
     ]
 
 
-def test_stream_skips_copies(spark, folder):
-    args = (str(folder / "in"), str(folder / "store"), str(folder / "catalog"), str(folder / "ck"))
+def test_stream_skips_copies_and_tries_failures_again(spark, folder):
+    store = Store(spark, str(folder / "kb"))
+    args = (str(folder / "in"), str(folder / "kb"), str(folder / "ck"))
     watch(spark, *args, "cat").awaitTermination()
-    first = spark.read.parquet(args[1]).count()
+    first = store.chunks().count()
+    assert {r.file_name for r in store.files().collect()} == {"a.docx", "b.xlsx"}  # neither the broken nor the unread one
+    status = {r.file_name: (r.status, r.reason) for r in spark.read.parquet(f"{args[1]}/status").collect()}
+    assert {n: s for n, (s, _) in status.items()} == {"a.docx": "success", "copy.docx": "skipped", "b.xlsx": "success", "broken.xlsx": "failed", "c.txt": "failed"}
+    assert "BadZipFile" in status["broken.xlsx"][1] and status["c.txt"][1] == "no parser for this type"
     (folder / "in/late.docx").write_bytes(docx())
     watch(spark, *args, "cat").awaitTermination()
-    assert first > 5 and spark.read.parquet(args[1]).count() == first
+    assert first > 5 and store.chunks().count() == first
+
+
+def test_unreadable_copies_hide_none(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, data in (("a.txt", docx()), ("b.xlsx", docx()), ("c.docx", docx()), ("d.docx", docx()), ("e.png", b"picture"), ("f.docx", zipped({"word/document.xml": f"<w:document {NS}><w:body/></w:document>"}))):
+        (tmp_path / "in" / name).write_bytes(data)
+    store, files = Store(spark, str(tmp_path / "kb")), read_files(spark, str(tmp_path / "in"))
+    status = {r.file_name: (r.status, r.reason) for r in ingest_into(store, files, "x").collect()}
+    assert {n: s for n, (s, _) in status.items()} == {"a.txt": "failed", "b.xlsx": "failed", "c.docx": "success", "d.docx": "skipped", "e.png": "ocr_unavailable", "f.docx": "failed"}
+    assert status["f.docx"][1] == "no content" and status["e.png"][1] == "no OCR engine"
+    assert [r.file_name for r in store.files().collect()] == ["c.docx"]
+    again = {r.file_name: r.status for r in ingest_into(store, files, "x").collect()}
+    assert again == {"a.txt": "skipped", "b.xlsx": "skipped", "c.docx": "skipped", "d.docx": "skipped", "e.png": "ocr_unavailable", "f.docx": "failed"}
+    assert {r.status for r in ingest_into(store, files.where("file_name = 'e.png'"), "x", recognise=lambda image, name: F.lit("words")).collect()} == {"success"}
+
+
+def test_a_batch_run_again_replaces_itself(spark, folder):
+    store, files = Store(spark, str(folder / "kb")), read_files(spark, str(folder / "in"))
+    one = {r.file_name: r.status for r in ingest_into(store, files, "cat", batch="s-0").collect()}
+    n, catalog = store.chunks().count(), {(r.file_name, r.chunk_count) for r in store.files().collect()}
+    assert {r.file_name: r.status for r in ingest_into(store, files, "cat", batch="s-0").collect()} == one
+    assert store.chunks().count() == n and {(r.file_name, r.chunk_count) for r in store.files().collect()} == catalog
+    (folder / "kb/chunks/n=1/_SUCCESS").unlink()  # the first run was lost before its end
+    assert store.chunks().count() == 0
+    ingest_into(store, files, "cat", batch="s-0")
+    assert store.chunks().count() == n
+    ingest_into(store, files, "cat", batch="s-1")
+    assert store.chunks().count() == n
 
 
 def test_store(spark, folder):
-    from docmill.sources.store import Store
-
     store = Store(spark, str(folder / "kb"))
     assert store.files().count() == 0 and store.chunks().count() == 0
     files = read_files(spark, str(folder / "in"))
