@@ -45,7 +45,7 @@ def normalised(v: Column) -> Column:
 def vector_search(chunks: DataFrame, query: list[float], top_k: int = 20, file_name: str | None = None, category: str | None = None) -> DataFrame:
     """The exact top-k by cosine, filters first: one scan and a bounded heap per task."""
     vector = F.array(*(F.lit(float(x)) for x in query))
-    rows = scoped(chunks, file_name, category)
+    rows = scoped(chunks, file_name, category).where("embedding is not null")
     return rows.withColumn("score", F.round(cosine(F.col("embedding"), vector), 4)).orderBy(F.desc("score"), "id").limit(top_k)
 
 

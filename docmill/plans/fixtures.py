@@ -178,11 +178,11 @@ FILES_SQL = "(SELECT doc_id AS id, 'doc_' || doc_id AS file_name, sha256(text) A
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chunk per document that has an embedding."""
+    """One chunk per document, with its embedding if it has one."""
     own = files(spark, sf_dir).select("id", "file_name", "file_hash", "category", "text")
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     defaults = {"page": F.lit(1), "block_type": F.lit("text"), "heading_path": F.lit(""), "table_headers": F.lit(""), "chunk_index": F.lit(0)}
-    return own.join(vectors, "id").withColumns(defaults)
+    return own.join(vectors, "id", "left").withColumns(defaults)
 
 
-CHUNKS_SQL = f"(SELECT f.id, f.file_name, f.file_hash, f.category, 1 AS page, 'text' AS block_type, '' AS heading_path, '' AS table_headers, 0 AS chunk_index, f.text, e.embedding FROM {FILES_SQL} f JOIN embeddings e ON e.vec_id = f.id)"
+CHUNKS_SQL = f"(SELECT f.id, f.file_name, f.file_hash, f.category, 1 AS page, 'text' AS block_type, '' AS heading_path, '' AS table_headers, 0 AS chunk_index, f.text, e.embedding FROM {FILES_SQL} f LEFT JOIN embeddings e ON e.vec_id = f.id)"

@@ -491,7 +491,7 @@ def lsh_knn(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.linalg import Vectors
 
-    rows = chunks(spark, sf_dir).select("id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+    rows = chunks(spark, sf_dir).where("embedding is not null").select("id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=2.0, numHashTables=8, seed=7).fit(rows)
     found = model.approxNearestNeighbors(rows, Vectors.dense(_vector(spark, sf_dir)), 20)
     return found.select("id", F.round(1 - F.col("distCol") * F.col("distCol") / 2, 4).alias("score"))
