@@ -11,7 +11,9 @@ and span features is fitted to these probabilities.  Its weights become a column
 expression.
 
 Positions are native too: the pieces between matches and the matches themselves
-give each span's start by their lengths in code points.  The patterns match
+give each span's start by their lengths in code points.  A text is swept once for runs
+of the characters of numbers, and kinds made of these are sought in the runs; other
+kinds only in texts that hold what they need.  The patterns match
 what the plain definitions match, leftmost and without overlap, but anchor at
 the start of a run and never backtrack, so they take linear time in texts of any
 length.
@@ -38,7 +40,29 @@ ADDED = ("local_phone", "national_id", "bank_account", "person")
 KINDS = BASE + ADDED
 ACCEPT = 0.9  # probability from which a span of an added kind is kept
 
-_GIVEN_NAMES = "Anna|Maria|Sofia|Laura|Julia|Sarah|Emma|Marie|Claire|Carmen|Lucia|Elena|Petra|Sabine|John|James|Robert|Michael|David|Thomas|Peter|Paul|Hans|Karl|Jean|Pierre|Louis|Juan|Carlos|Pedro|Miguel"
+#: Common given names of English, German, French and Spanish, of which persons are candidates.
+_GIVEN_NAMES = (
+    "Adam|Agnes|Alan|Albert|Alejandro|Alexander|Alice|Amy|Ana|Andrea|Andreas|Andrew|Angela|Anna|Anne|Antoine|Antonio|Arthur|Barbara|Beatriz|Ben|Bernard|Brian|Camille|Carl|Carlos|Carmen|Caroline|Catherine|"
+    "Charles|Charlotte|Christian|Christina|Christine|Claire|Claudia|Daniel|David|Diana|Diego|Dieter|Dominique|Edward|Elena|Elizabeth|Emily|Emma|Eric|Eva|Felix|Fernando|Florian|Francisco|Frank|Friedrich|Georg|"
+    "George|Grace|Guillaume|Hannah|Hans|Heinrich|Helen|Helga|Henri|Henry|Ines|Isabel|Jack|Jacques|James|Jane|Javier|Jean|Jennifer|Jessica|Joan|Johann|John|Jorge|Joseph|Juan|Julia|Julien|Karen|Karin|Karl|Kate|"
+    "Katharina|Klaus|Laura|Laurent|Linda|Lisa|Louis|Louise|Lucas|Lucia|Luis|Lukas|Manuel|Margaret|Maria|Marie|Mark|Martin|Mary|Matthew|Max|Michael|Michel|Miguel|Monika|Nathalie|Nicolas|Nicole|Nina|Oliver|Olivia|"
+    "Pablo|Patricia|Patrick|Paul|Paula|Pedro|Peter|Petra|Philippe|Pierre|Rachel|Rafael|Raul|Rebecca|Richard|Robert|Rosa|Sabine|Samuel|Sandra|Sarah|Sofia|Sophie|Stefan|Stephen|Susan|Susanne|Teresa|Thomas|Ursula|"
+    "Victor|Walter|William|Wolfgang"
+)
+#: Common surnames, which vote on them.
+_SURNAMES = (
+    "Adams|Allen|Anderson|Bailey|Baker|Bauer|Becker|Bell|Bennett|Bernard|Bertrand|Brooks|Brown|Campbell|Carter|Castro|Clark|Collins|Cook|Cooper|Cruz|Davis|Delgado|Diaz|Dubois|Dupont|Durand|Edwards|Evans|"
+    "Fernandez|Fischer|Flores|Fontaine|Foster|Fournier|Garcia|Girard|Gomez|Gonzalez|Gray|Green|Hall|Harris|Hernandez|Hill|Hoffmann|Howard|Huber|Hughes|Jackson|Jimenez|Johnson|Jones|Kaiser|Keller|Kelly|King|Klein|"
+    "Koch|Lambert|Lee|Lefebvre|Leroy|Lewis|Long|Lopez|Martin|Martinez|Mayer|Meyer|Miller|Mitchell|Moore|Morales|Moreau|Morgan|Morris|Mueller|Murphy|Murray|Navarro|Nelson|Neumann|Ortiz|Parker|Perez|Peterson|Petit|"
+    "Phillips|Powell|Price|Ramirez|Ramos|Reed|Reyes|Richard|Richter|Rivera|Roberts|Robinson|Rodriguez|Rogers|Romero|Ross|Roux|Ruiz|Russell|Sanchez|Schmidt|Schneider|Schroeder|Schulz|Schwarz|Scott|Silva|Simon|Smith|"
+    "Stewart|Sullivan|Taylor|Thompson|Torres|Turner|Vargas|Vincent|Wagner|Walker|Ward|Watson|Weber|Werner|White|Williams|Wilson|Wolf|Wood|Wright|Young|Zimmermann"
+)
+#: Telephone area codes of large North American cities.
+_AREA_CODES = "202|203|206|212|213|214|215|216|234|240|248|267|301|302|303|304|305|310|312|313|314|315|317|323|347|401|402|404|405|408|410|412|413|414|415|416|425|469|480|501|502|503|504|505|510|512|513|514|516|518|519|520|559|561|585|602|603|604|608|609|610|612|614|615|616|617|619|626|650|702|703|704|713|714|716|717|718|720|732|757|763|770|773|775|801|802|803|804|808|813|816|818|832|847|858|860|901|902|904|907|913|914|915|916|917|918|919|925|949|954|970|972|973|978|979"
+#: Maximal runs of the characters that numbers are written in; everything of the ``NUMERIC`` kinds, and what
+#: their patterns look at around them, lies within one.
+_RUN = r"(?<![0-9().+\x20-])[().+\x20-]*+[0-9][0-9().+\x20-]*+"
+NUMERIC, _LEAST_RUN = ("ip", "card", "phone", "local_phone", "national_id"), 7
 #: Each pattern begins at the start of a run of its characters, or where the last match ended.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -55,7 +79,7 @@ _STRICT = {
     "ip": r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
     "card": r"^[3-6][0-9]{3}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$",
     "phone": r"^\+[1-9][0-9]{0,2}[\x20(.-].*$",
-    "local_phone": r"^\(?[2-9]",
+    "local_phone": r"^(?:\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})$",
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
     "bank_account": r"^[A-Z]{2}(?:0[2-9]|[1-8][0-9]|9[0-8])[A-Z]{0,4}[0-9]{10,}$",
     "person": r"^[A-Z][a-z]+\x20[A-Z][a-z]{3,}$",
@@ -65,10 +89,10 @@ _GAZETTEER = {
     "ip": r"^(?:10|127|169\.254|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168)\.",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^\+(?:1|7|20|27|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "local_phone": r"^\(?(?:2|3|4|5|6|7|8|9)[0-9]{2}",
+    "local_phone": rf"^\(?(?:{_AREA_CODES})",
     "national_id": r"^(?:[0-5]|6[0-57-9]|7[0-2])",
     "bank_account": r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
-    "person": rf"^(?:{_GIVEN_NAMES})",
+    "person": rf"\x20(?:{_SURNAMES})$",
 }
 _CONTEXT_FOR = r"(?i)(?:e-?mail|mail|contact|kontakt|contacto|write to|reach|call|phone|tel|fon|mobile|fax|card|karte|carte|tarjeta|visa|credit|ip|host|login|ssn|social security|iban|account|konto|compte|cuenta|name|mr|mrs|ms|herr|frau|dr)[.:\x20]*$"
 _CONTEXT_AGAINST = r"(?i)(?:version|release|isbn|issn|order|invoice|sku|part|section|chapter|page|figure|table|v|no|nr|id)[.:#\x20]*$"
@@ -104,22 +128,41 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, found, before, after>> of a kind, ascending: code points, end
-    exclusive; before and after are up to 40 and 1 code points from the text between spans of the kind."""
-    pieces, found = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+_SPANS = "array<struct<kind:string,start:int,end:int,found:string,before:string,after:string>>"
+
+
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """array<struct<piece, found, next, at>>: every match with the text before and after it, and where that before begins."""
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("found"), F.slice(pieces, 2, F.size(found)).alias("next"))
+    return _once(parts, lambda p: F.zip_with(p, _running(F.transform(p, lambda x: F.length(x["piece"]) + F.length(x["found"]))), lambda x, at: F.struct(x["piece"].alias("piece"), x["found"].alias("found"), x["next"].alias("next"), at.alias("at"))))
+
+
+def _spans(text: Column, kind: str, offset: Column | None = None, ahead: Column | None = None, behind: Column | None = None) -> Column:
+    """array<struct<kind, start, end, found, before, after>> of a kind, ascending: code points, end
+    exclusive; before and after are up to 40 and 1 code points from the text between spans of the kind.
+    ``text`` may be a stretch of a longer one that begins at ``offset`` between ``ahead`` and ``behind``."""
+    offset, ahead, behind = offset if offset is not None else F.lit(0), ahead if ahead is not None else F.lit(""), behind if behind is not None else F.lit("")
+
+    def span(x: Column, i: Column) -> Column:
+        begin = offset + x["at"] + F.length(x["piece"])
+        before = F.when(i == 0, F.concat(F.substring(ahead, -40, 40), x["piece"])).otherwise(x["piece"])
+        after = F.when(x["next"] == "", F.substring(behind, 1, 1)).otherwise(F.substring(x["next"], 1, 1))
+        return F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + F.length(x["found"])).alias("end"), x["found"].alias("found"), F.substring(before, -40, 40).alias("before"), after.alias("after"))
 
-    def place(parts: Column, starts: Column) -> Column:
-        def span(x: Column) -> Column:
-            begin = x["at"] + F.length(x["p"]["piece"])
-            return F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + F.length(x["p"]["found"])).alias("end"), x["p"]["found"].alias("found"), F.substring(x["p"]["piece"], -40, 40).alias("before"), F.substring(x["p"]["next"], 1, 1).alias("after"))
+    return F.filter(F.transform(_parts(text, PATTERNS[kind]), span), lambda x: _valid(kind, x["found"]))
 
-        return F.filter(F.transform(F.arrays_zip(parts.alias("p"), starts.alias("at")), span), lambda x: _valid(kind, x["found"]))
 
-    with_starts = F.transform(F.array(parts), lambda p: place(p, _running(F.transform(p, lambda x: F.length(x["piece"]) + F.length(x["found"])))))
-    needs = {"email": text.contains("@"), "phone": text.contains("+"), "person": text.rlike(rf"(?:{_GIVEN_NAMES})\x20[A-Z]")}.get(kind, F.col("__digits"))
-    return F.when(needs, with_starts[0]).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,found:string,before:string,after:string>>"))
+def _numeric(runs: Column, kind: str) -> Column:
+    """The spans of a kind in the runs of a text."""
+    may = {"phone": "+", "ip": ".", "national_id": "-"}.get(kind, "")
+    within = F.filter(runs, lambda r: r["found"].contains(may)) if may else runs
+    return F.flatten(F.transform(within, lambda r: _spans(r["found"], kind, r["at"] + F.length(r["piece"]), r["piece"], r["next"])))
 
 
 def _running(lengths: Column) -> Column:
@@ -135,14 +178,19 @@ def _running(lengths: Column) -> Column:
     return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), within)))
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+def with_spans(docs: DataFrame, docs_text: str = "text") -> DataFrame:
     """Adds ``__text`` (null: empty), ``__base`` (base spans) and ``__more`` (candidates that overlap
     none of them), both by kind as listed, then start."""
-    out = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__digits", F.col("__text").rlike("[0-9]"))
-    out = out.withColumns({f"__{k}": _spans(F.col("__text"), k) for k in KINDS})
+    none = F.array().cast(_SPANS)
+    text = F.col("__text")
+    out = docs.withColumn("__text", F.coalesce(F.col(docs_text), F.lit("")))
+    runs = F.filter(_parts(text, _RUN), lambda r: F.length(r["found"]) >= _LEAST_RUN)
+    out = out.withColumn("__runs", F.when(text.rlike("[0-9]"), runs).otherwise(F.array().cast("array<struct<piece:string,found:string,next:string,at:int>>")))
+    needs = {"email": text.contains("@"), "bank_account": text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"), "person": text.rlike(rf"(?:{_GIVEN_NAMES})\x20[A-Z]")}
+    out = out.withColumns({f"__{k}": _numeric(F.col("__runs"), k) if k in NUMERIC else F.when(needs[k], _spans(text, k)).otherwise(none) for k in KINDS})
     out = out.withColumn("__base", F.concat(*(F.col(f"__{k}") for k in BASE)))
     more = F.filter(F.concat(*(F.col(f"__{k}") for k in ADDED)), lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return out.withColumn("__more", more).drop("__digits", *(f"__{k}" for k in KINDS))
+    return out.withColumn("__more", more).drop("__runs", *(f"__{k}" for k in KINDS))
 
 
 def judge(span: Column) -> dict[str, Column]:
