@@ -72,8 +72,10 @@ PATTERNS = {
     "local_phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "bank_account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
-    "person": rf"(?<![A-Za-z])(?:{_GIVEN_NAMES})\x20[A-Z][a-z]{{2,20}}+(?![A-Za-z])",
+    "person": rf"(?<![A-Za-z])(?=[A-Z][a-z]{{1,15}}+\x20[A-Z][a-z]{{2}})(?:{_GIVEN_NAMES})\x20[A-Z][a-z]{{2,20}}+(?![A-Za-z])",
 }
+#: Two capitalised words: only where these stand are names compared, one after the other.
+_NAMED = r"(?<![A-Za-z])[A-Z][a-z]{1,15}+\x20[A-Z][a-z]{2}"
 _STRICT = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@.*\.[A-Za-z]{2,24}$",
     "ip": r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
@@ -183,14 +185,14 @@ def with_spans(docs: DataFrame, docs_text: str = "text") -> DataFrame:
     none of them), both by kind as listed, then start."""
     none = F.array().cast(_SPANS)
     text = F.col("__text")
-    out = docs.withColumn("__text", F.coalesce(F.col(docs_text), F.lit("")))
+    out = docs.withColumn("__text", F.coalesce(F.col(docs_text), F.lit(""))).withColumn("__digits", F.col("__text").rlike("[0-9]"))
     runs = F.filter(_parts(text, _RUN), lambda r: F.length(r["found"]) >= _LEAST_RUN)
-    out = out.withColumn("__runs", F.when(text.rlike("[0-9]"), runs).otherwise(F.array().cast("array<struct<piece:string,found:string,next:string,at:int>>")))
-    needs = {"email": text.contains("@"), "bank_account": text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"), "person": text.rlike(rf"(?:{_GIVEN_NAMES})\x20[A-Z]")}
+    out = out.withColumn("__runs", F.when(F.col("__digits"), runs).otherwise(F.array().cast("array<struct<piece:string,found:string,next:string,at:int>>")))
+    needs = {"email": text.contains("@"), "bank_account": F.col("__digits") & text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"), "person": text.rlike(_NAMED)}
     out = out.withColumns({f"__{k}": _numeric(F.col("__runs"), k) if k in NUMERIC else F.when(needs[k], _spans(text, k)).otherwise(none) for k in KINDS})
     out = out.withColumn("__base", F.concat(*(F.col(f"__{k}") for k in BASE)))
     more = F.filter(F.concat(*(F.col(f"__{k}") for k in ADDED)), lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return out.withColumn("__more", more).drop("__runs", *(f"__{k}" for k in KINDS))
+    return out.withColumn("__more", more).drop("__runs", "__digits", *(f"__{k}" for k in KINDS))
 
 
 def judge(span: Column) -> dict[str, Column]:
