@@ -164,6 +164,7 @@ def encode(spark: SparkSession, docs: DataFrame, *, vocabulary: str, pattern: st
             out = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             out += [pa.array(all_ids, ids_type)] * with_ids + [pa.array(texts, pa.string())] * bool(decoded)
             yield pa.RecordBatch.from_arrays(out, names=names)
+        _codecs.clear()  # the worker lives on, and what it holds counts against its executor
 
     schema = with_fields(docs.select(*keep).schema, added)
     names = schema.names
