@@ -157,8 +157,8 @@ class BlockMaxIndex:
     def __getstate__(self) -> dict:
         return {"entries": self.entries, "block": self.block, "heads": self.heads, "ready": False}
 
-    def prepare(self) -> None:
-        """Builds what is not shipped to workers: the lists."""
+    def prepare(self, keep: bool = True) -> None:
+        """Builds what is not shipped to workers: the lists, which may take the entries' place."""
         own, lengths = self.entries, np.diff(self.entries.starts)
         n = len(own)
         blocks = max(1, -(-n // self.block))
@@ -173,15 +173,20 @@ class BlockMaxIndex:
         longest = np.argsort(-often, kind="stable")[: self.heads]
         self.column = np.full(size, -1, np.int32)
         self.column[longest] = np.arange(len(longest))
-        owner, at = place[own.rows()], self.column[own.terms]
+        owner = np.repeat(place, lengths)
+        long = np.flatnonzero(self.column[own.terms] >= 0)
         self.long = np.zeros((blocks * self.block, len(longest)), np.float32)
-        self.long[owner[at >= 0], at[at >= 0]] = own.values[at >= 0]
+        self.long[owner[long], self.column[own.terms[long]]] = own.values[long]
         self.maxima = np.ascontiguousarray(self.long.reshape(self.block, blocks, -1).max(axis=0).T)
-        short = np.flatnonzero(at < 0)
+        del long
+        short = np.flatnonzero(self.column[own.terms] < 0).astype(np.int32)
         short = short[np.argsort(own.terms[short], kind="stable")]
         self.first = np.concatenate([[0], np.cumsum(np.where(self.column < 0, often, 0), dtype=np.int64)])
-        pairs = np.stack([owner[short], own.values[short].view(np.int32)], axis=1)
+        pairs = np.empty((len(short), 2), np.int32)
+        pairs[:, 0], pairs[:, 1] = owner[short], own.values[short].view(np.int32)
         self.lists = pairs.view(np.int64).ravel()  # owner and bits of the weight, which are copied as one
+        if not keep:
+            self.entries = Vectors.of([])
         self.ready = True
 
     def top(self, queries: Vectors, k: int) -> list[list[tuple[float, int]]]:
@@ -264,7 +269,9 @@ class Model:
         n = len(self.index.entries)
         if not n:
             return
+        features, self.features = self.features, None  # votes need the index alone
         shipped, step = spark.sparkContext.broadcast(self), 256
+        self.features = features
 
         def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -292,6 +299,8 @@ class Model:
     def scores(self, texts: list[str]) -> list[tuple[float, list[int]]]:
         out = []
         a, b = self.curve
+        if not self.index.ready:
+            self.index.prepare(keep=False)
         for top in self.index.top(self.vectors(texts), NEIGHBOURS):
             raw, ids = self.vote(top)
             out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, a * _logit(raw) + b)))), ids) if top else (self.base, []))
@@ -339,7 +348,7 @@ def _indicative(counts: DataFrame, max_terms: int) -> list[bytes]:
     return [bytes(r[0]) for r in kept.orderBy(F.desc("g"), "term").limit(max_terms).collect()]
 
 
-def _pieces(texts: pa.Array, most: int = 4_000_000) -> Iterator[list[str]]:
+def _pieces(texts: pa.Array, most: int = 1_000_000) -> Iterator[list[str]]:
     """The texts in lists of no more than ``most`` characters, or of one text."""
     held, size = [], 0
     for value in texts:
