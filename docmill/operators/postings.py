@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from docmill.functions.text import bm25_tokens
 from docmill.operators.bm25 import K1, B
 from docmill.operators.chunking import bound
-from docmill.sources.tables import read_or_empty
+from docmill.sources.tables import if_small, read_or_empty
 
 BUCKETS = 64  # partitions of the terms
 BLOCK = 64  # documents of a block, on average
@@ -52,7 +52,7 @@ def term_counts(tokens: Column) -> Column:
 
 
 def _if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+    return if_small(df, SMALL)
 
 
 def bucket_of(term: str) -> Column:

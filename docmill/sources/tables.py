@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL = 1_000_000  # rows of ids that may be broadcast; beyond them joins shuffle
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +30,8 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A broadcast hint if there are at most so many (narrow) rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
