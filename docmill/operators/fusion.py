@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.text import LIST_QUERY_WORDS
+from docmill.functions.text import is_list_query
 from docmill.operators.retrieval import keyword_list, keyword_search, long_enough, vector_search
 
 FLOOR, FLOOR_FROM, MOST = 0.85, 0.5, 20
@@ -47,8 +47,9 @@ def by_rerank(hits: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rerank_score"), "id")))
 
 
-def effective_k(query: str, top_k: int) -> int:
-    return min(2 * top_k, MOST) if any(w in query for w in LIST_QUERY_WORDS) else top_k
+def effective_k(query: Column, top_k: Column) -> Column:
+    """Twice as many hits, twenty at most, where a list is asked for."""
+    return F.when(is_list_query(query), F.least(2 * top_k, F.lit(MOST))).otherwise(top_k)
 
 
 def multi_stage(chunks: DataFrame, query: str, vector: list[float], top_k: int = 5, file_name: str | None = None, category: str | None = None, reranker: Callable[[DataFrame, str], DataFrame] | None = None, segment=None) -> DataFrame:
@@ -69,13 +70,18 @@ def multi_stage(chunks: DataFrame, query: str, vector: list[float], top_k: int =
     return ranked.where(F.col("rank") <= top_k)
 
 
-def mode_of(query: str, n_hits: int, any_keyword: bool, reranked: bool) -> str:
-    mode = "empty" if not n_hits else "rerank" if reranked else "hybrid" if any_keyword else "vector"
-    return f"list_{mode}" if any(w in query for w in LIST_QUERY_WORDS) else mode
+def mode_of(query: Column, n_hits: Column, any_keyword: Column, reranked: Column) -> Column:
+    """What found the hits, and whether a list was asked for."""
+    mode = F.when(n_hits == 0, "empty").when(reranked, "rerank").when(any_keyword, "hybrid").otherwise("vector")
+    return F.concat(F.when(is_list_query(query), "list_").otherwise(""), mode)
 
 
 def smart_search(chunks: DataFrame, query: str, vector: list[float], top_k: int = 5, file_name: str | None = None, category: str | None = None, reranker=None, segment=None) -> tuple[DataFrame, str]:
     """Hits and the mode that found them."""
-    hits = multi_stage(chunks, query, vector, effective_k(query, top_k), file_name, category, reranker, segment).cache()
-    n, most = hits.agg(F.count(F.lit(1)), F.max("kw_score")).first()
-    return hits, mode_of(query, n, (most or 0) > 0, reranker is not None)
+    spark, asked = chunks.sparkSession, F.lit(query)
+    k = spark.range(1).select(effective_k(asked, F.lit(top_k))).first()[0]
+    found = multi_stage(chunks, query, vector, k, file_name, category, reranker, segment)
+    rows = found.collect()  # k at most
+    held = any(r["kw_score"] > 0 for r in rows)
+    mode = spark.range(1).select(mode_of(asked, F.lit(len(rows)), F.lit(held), F.lit(reranker is not None))).first()[0]
+    return spark.createDataFrame(rows, found.schema), mode

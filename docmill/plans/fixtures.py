@@ -1,166 +1,73 @@
-"""Small literal tables that both engines read, and views over the driver's tables."""
+"""Inputs of the queries: views over the driver's tables, the same in Spark and in SQL.
+
+Documents, their lines, conversations and orders take the parts of files, headings,
+table cells, recognised boxes, questions and replies; by number and length they get the
+marks that the rules look at.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: name -> (DDL, rows).  Times, pages and boxes are made up; texts show what the rules look at.
-FIXTURES: dict[str, tuple[str, list[tuple]]] = {
-    "texts": (
-        "id int, text string",
-        [
-            (1, "中 文 字 符 and  words"),
-            (2, "  a\n\n\n\nb \t"),
-            (3, ""),
-            (4, "温 度　上升\n\n\n25 度"),
-            (5, "x"),
-            (6, "　第一章 总则　"),
-            (7, "列 1\n\n\n\n\n列 2"),
-        ],
-    ),
-    "cells": (
-        "id int, text string, number double, day string",
-        [(1, None, None, None), (2, " a b ", None, None), (3, None, 3.0, None), (4, None, 3.25, None), (5, None, -0.5, None), (6, None, None, "2024-02-29"), (7, None, 1200.0, None), (8, None, 1234567.125, None), (9, "", None, None)],
-    ),
-    "grids": (
-        "id int, headers array<string>, cells array<string>",
-        [(1, ["名", "值", "单位"], ["温度", "25", ""]), (2, ["a", "b"], ["1", "2", "3"]), (3, ["a", "", "c\nd"], [" x ", "y\nz", None]), (4, ["a"], [""])],
-    ),
-    "headings": (
-        "id int, text string, style string, outline int, size double, bold boolean",
-        [
-            (1, "1.2.3 Scope of work", "", None, 12.0, False),
-            (2, "1.2 Scope", "", None, 12.0, False),
-            (3, "1、范围和目的", "", None, 12.0, False),
-            (4, "1.1: has a colon", "", None, 12.0, False),
-            (5, "1.1", "", None, 12.0, False),
-            (6, "第一章 总则", "", None, 12.0, False),
-            (7, "一、范围", "", None, 12.0, False),
-            (8, "plain body text", "Heading 3", None, 12.0, False),
-            (9, "plain body text", "Subtitle", None, 12.0, False),
-            (10, "plain body text", "标题 2", None, 12.0, False),
-            (11, "plain body text", "Normal", 0, 12.0, False),
-            (12, "plain body text", "Normal", 7, 12.0, False),
-            (13, "big letters", "", None, 18.0, False),
-            (14, "large letters", "", None, 16.0, False),
-            (15, "bold letters", "", None, 14.0, True),
-            (16, "bold letters 13", "", None, 13.0, True),
-            (17, "2024 年度报告", "", None, 15.0, True),
-            (18, "3.14 pi", "", None, 17.0, False),
-            (19, "words " * 30, "Heading 1", 1, 20.0, True),
-            (20, "plain body", "", None, 12.0, True),
-            (21, "2.1 Methods", "", None, 20.0, True),
-        ],
-    ),
-    "outline": (
-        "doc int, ord int, level int, text string",
-        [(1, 1, 1, "A"), (1, 2, 2, "B"), (1, 3, 3, "C"), (1, 4, 0, "body"), (1, 5, 2, "D"), (1, 6, 1, "E"), (1, 7, 3, "F"), (1, 8, 2, "G"), (1, 9, 0, "tail"), (2, 1, 0, "none"), (2, 2, 4, "H"), (2, 3, 4, "I"), (2, 4, 1, "J")],
-    ),
-    "paragraphs": (
-        "doc int, ord int, kind string, text string",
-        [(1, 1, "list", "a"), (1, 2, "blank", ""), (1, 3, "list", "b"), (1, 4, "plain", "c"), (1, 5, "list", "d"), (1, 6, "heading", "E"), (1, 7, "list", "f"), (2, 1, "plain", "x"), (2, 2, "plain", "y"), (2, 3, "list", "z")],
-    ),
-    "captions": (
-        "doc int, ord int, kind string, text string",
-        [(1, 1, "paragraph", "表 1 能耗"), (1, 2, "table", "a | b"), (1, 3, "table", "c | d"), (1, 4, "paragraph", "see Table 2"), (1, 5, "paragraph", " "), (1, 6, "table", " "), (1, 7, "table", "e | f"), (1, 8, "paragraph", "no number"), (1, 9, "table", "g"), (2, 1, "table", "h"), (2, 2, "paragraph", "表三"), (2, 3, "table", "i")],
-    ),
-    "sheet": (
-        "file_name string, sheet string, row int, cells array<string>",
-        [("f.xlsx", "S1", 1, ["h1", "h2"]), *[("f.xlsx", "S1", r, [str(r), ""] if r % 7 else ["", ""]) for r in range(2, 122)], ("f.xlsx", "S2", 1, ["only", "head"]), ("f.xlsx", "S3", 1, ["", ""])],
-    ),
-    "merged_cells": ("sheet string, row int, col int, value string", [("s", r, c, f"v{r}{c}" if (r, c) not in ((1, 2), (2, 1), (2, 2), (3, 3)) else None) for r in range(1, 4) for c in range(1, 4)]),
-    "merged_ranges": ("sheet string, r1 int, c1 int, r2 int, c2 int", [("s", 1, 1, 2, 2), ("s", 3, 2, 3, 3)]),
-    "boxes": (
-        "image int, ord int, x1 double, y1 double, x2 double, y2 double, text string",
-        [
-            (1, 1, 0.0, 0.0, 20.0, 20.0, "A"),
-            (1, 2, 100.0, 0.0, 120.0, 20.0, "B"),
-            (1, 3, 200.0, 2.0, 220.0, 22.0, "C"),
-            (1, 4, 0.0, 50.0, 20.0, 70.0, "1"),
-            (1, 5, 200.0, 50.0, 220.0, 70.0, "3"),
-            (2, 1, 50.0, 10.0, 90.0, 30.0, "right"),
-            (2, 2, 0.0, 12.0, 40.0, 30.0, "left"),
-            (2, 3, 0.0, 24.0, 40.0, 42.0, "low"),
-            (2, 4, 5.0, 80.0, 45.0, 99.0, "end"),
-            (3, 1, 0.0, 0.0, 30.0, 10.0, "one"),
-            (3, 2, 40.0, 1.0, 70.0, 11.0, "row"),
-            *[(4, r * 2 + k, 100.0 + 80 * k, 30.0 * r, 150.0 + 80 * k, 30.0 * r + 12, f"{'v' if r > 3 else 't'}{r}{k}") for r in range(18) for k in range(2)],
-        ],
-    ),
-    "ocr_texts": (
-        "id int, first string, second string, third string",
-        [(1, "a 1 x\nb 2 y\ntitle", None, None), (2, " ", "plain text\nmore\nlines", "x"), (3, None, "", "  a,1\nb.2\nc 3\n d "), (4, None, None, None), (5, "1 2 3\n4 5 6\n7 8 9\n1 1 1\n2 2 2\n3 3 3\n4 4 4\n5 5 5\n6 6 6", None, None)],
-    ),
-    "images": (
-        "file_hash string, page int, xref int, file_name string, width int, height int",
-        [("h", 1, 1, "x.png", 500, 200), ("h", 1, 1, "x.png", 500, 200), ("h", 1, 2, "y.png", 300, 300), ("h", 1, 3, "统计.png", 10, 10), ("h", 2, 1, "x.png", 99, 400), ("g", 1, 1, "Table1.PNG", 120, 100), ("g", 1, 2, "z.jpg", 400, 330)],
-    ),
-    "hits": (
-        "id int, file_name string, category string, page int, block_type string, heading_path string, text string, score double, kw_score double, rerank double",
-        [
-            (1, "a.pdf", "法规", 1, "text", "", "alpha text one", 0.9, 0.2, 0.9),
-            (2, "b.pdf", "", 2, "table", "A > B", "beta text two", 0.1, 1.0, 0.1),
-            (3, "c.pdf", "报告", 3, "text", "C", "gamma text three", 0.5, 0.9, 0.5),
-            (4, "d.pdf", "法规", 4, "text", "", "delta " * 80, 0.3, 0.0, 0.7),
-            (5, "e.pdf", "报告", 5, "image", "", "epsilon text", 0.3, 0.5, 0.2),
-        ],
-    ),
-    "replies": (
-        "id int, reply string, categories array<string>",
-        [(1, "B", ["A", "B"]), (2, "全部", ["A", "B"]), (3, "类别A", ["A", "B"]), (4, "", ["A", "B"]), (5, "zzz", ["A", "B"]), (6, "anything", ["only"]), (7, '"B"', ["A", "B"]), (8, "无法判断", ["A", "B"]), (9, "法", ["报告", "法规"])],
-    ),
-    "queries": ("id int, query string", [(1, "列出所有排污许可证"), (2, "what is the limit, and the value?"), (3, "请问 温度 2023 BDO 指标？"), (4, "统计 汇总"), (5, ""), (6, "a b c"), (7, "aa bbb cccc aa ddddd ee ff gg hh ii jj")]),
-    "modes": ("id int, query string, n_hits int, any_keyword boolean, reranked boolean, top_k int", [(1, "列表", 3, True, False, 5), (2, "q", 0, False, False, 5), (3, "q", 2, False, True, 15), (4, "有哪些 x", 0, False, True, 15), (5, "q", 2, True, False, 5), (6, "q", 2, False, False, 20)]),
-    "batch": (
-        "file_name string, file_hash string, arrival int, n_chunks int, error string",
-        [("a.pdf", "h1", 1, 3, None), ("b.pdf", "h1", 2, 3, None), ("c.doc", "h2", 3, 0, "bad zip"), ("d.doc", "h2", 4, 2, None), ("e.doc", "h2", 5, 2, None), ("f.png", "h3", 6, 0, "ocr_unavailable"), ("g.pdf", "h4", 7, 5, None), ("h.pdf", "h5", 8, 0, None)],
-    ),
-    "known": ("file_hash string, status string", [("h4", "indexed"), ("h5", "pending")]),
-    "names": ("id int, file_name string", [(1, "a.PDF"), (2, "b.docx"), (3, "c.tar.xlsx"), (4, "d.xls"), (5, "e.jpeg"), (6, "f.txt"), (7, "noext"), (8, ".hidden")]),
-    "tables": ("file_name string, page int, text string", [("a.pdf", 1, "h1 | h2"), ("a.pdf", 2, "x" * 250)]),
-    "text_blocks": ("file_name string, page int, ord int, text string", [("a.pdf", 1, 1, "h1 | h2"), ("a.pdf", 1, 2, "body"), ("a.pdf", 2, 3, "x" * 300), ("a.pdf", 2, 4, "h1 | h2"), ("b.pdf", 1, 5, "h1 | h2")]),
-    "long_texts": (
-        "id int, text string",
-        [
-            (1, ""),
-            (2, "aaaa\n\nbbbb\n\ncccc"),
-            (3, "一二三。四五六。七八九。"),
-            (4, "abcdefghijkl"),
-            (5, "para one is here\n\n\n  para two is longer and longer;\nwith lines。and ends！ok\n\n \n\nlast"),
-            (6, "甲。乙。丙。丁。戊。己。庚。辛。壬。癸。"),
-        ],
-    ),
-}
-
-
-def frame(spark: SparkSession, name: str) -> DataFrame:
-    ddl, rows = FIXTURES[name]
-    return spark.createDataFrame(rows, ddl)
 
+def _pick(number: str, *texts: str, other: str) -> str:
+    """One of the expressions, by remainder; beyond them the other."""
+    return f"CASE {number} " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts)) + f" ELSE {other} END"
+
+
+_TURN = "conv_id * 1000 + turn AS id"
+_QUESTION = _pick("(conv_id + turn) % 7", "'列出所有' || text", "'请问 温度 2023 BDO 指标？' || text", "'统计 汇总，' || text", "''", "'有哪些 ' || text", other="text")
+_WORDS = " || ' ' || ".join(f"split_part(line, ' ', {i})" for i in (1, 2, 3))
+
+#: name -> SQL in the words that both engines have; lists, splits and digests are written LIST(..), SPLIT(.., ..) and SHA(..).
+VIEWS: dict[str, str] = {
+    "texts": "SELECT doc_id AS id, " + _pick("doc_id % 7", "'中 文 字 符 and ' || text || ' 温 度　上升'", "'  ' || text || chr(10) || chr(10) || chr(10) || chr(10) || 'b ' || chr(9)", "''", "'　第一章 总则　' || text || '　'", "'列 1' || chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || text", other="text") + " AS text FROM documents",
+    "cells": "SELECT l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_orderkey % 7 = 0 THEN ' ' || l_returnflag || ' b ' WHEN l_orderkey % 7 = 6 THEN '' END AS text, " + _pick("l_orderkey % 7", "NULL", "floor(l_extendedprice)", "floor(l_extendedprice) + l_linenumber * 0.125", "-(l_linenumber * 0.5)", other="NULL") + " AS number, CASE WHEN l_orderkey % 7 = 4 THEN CAST(CAST(l_shipdate AS DATE) AS STRING) END AS day FROM lineitem",
+    "grids": "SELECT doc_id AS id, SPLIT('名 ' || split_part(text, chr(10), 1), ' ') AS headers, SPLIT(split_part(text, chr(10), 2), ' ') AS cells FROM documents",
+    "headings": "SELECT doc_id * 100000 + ord AS id, " + _pick("(doc_id + ord) % 14", f"'1.2.3 ' || {_WORDS}", f"'1.2 ' || {_WORDS}", f"'1、' || {_WORDS}", f"'1.1: ' || {_WORDS}", "'1.1'", "'第一章 总则' || line", "'一、范围' || line", f"'2024 ' || {_WORDS}", "'3.14 ' || line", f"'第十 ' || {_WORDS}", _WORDS, other="line")
+    + " AS text, " + _pick("doc_id % 7", "'Heading 3'", "'Subtitle'", "'标题 2'", "'Normal'", other="''") + " AS style, CAST(CASE WHEN (doc_id + ord) % 5 = 0 THEN (doc_id + ord) % 9 END AS INT) AS outline, CAST(10 + length(line) % 10 AS DOUBLE) AS size, length(line) % 2 = 0 AS bold FROM lines",
+    "outline": "SELECT doc_id AS doc, ord, CAST(length(line) % 5 AS INT) AS level, line AS text FROM lines",
+    "paragraphs": "SELECT doc_id AS doc, ord, CASE WHEN line = '' THEN 'blank' WHEN length(line) % 3 = 0 THEN 'list' WHEN length(line) % 7 = 1 THEN 'heading' ELSE 'plain' END AS kind, line AS text FROM lines",
+    "captions": "SELECT doc_id AS doc, ord, CASE WHEN length(line) % 3 = 0 THEN 'table' ELSE 'paragraph' END AS kind, " + _pick("(doc_id + ord) % 6", "'表 1 ' || line", "'see Table 2 ' || line", "' '", "'表三 ' || line", other="line") + " AS text FROM lines",
+    "sheet": "SELECT 'orders_' || (o_orderkey - o_orderkey % 500) || '.xlsx' AS file_name, o_orderstatus AS sheet, o_orderkey AS row, CASE WHEN o_orderkey % 7 = 0 THEN LIST('', '') ELSE LIST(CAST(o_custkey AS STRING), o_orderpriority) END AS cells FROM orders",
+    "merged_cells": " UNION ALL ".join(f"SELECT CAST(doc_id AS STRING) AS sheet, ord AS row, {i} AS col, CASE WHEN (ord + {i}) % 5 = 0 THEN NULL ELSE split_part(line, ' ', {i}) END AS value FROM lines" for i in (1, 2, 3)),
+    "merged_ranges": "SELECT CAST(doc_id AS STRING) AS sheet, ord AS r1, 1 AS c1, ord + 1 AS r2, 2 AS c2 FROM lines WHERE ord % 4 = 1 UNION ALL SELECT CAST(doc_id AS STRING), ord, 2, ord, 3 FROM lines WHERE ord % 4 = 3",
+    "boxes": "SELECT image, ord, x1, y1, x1 + 20 + ord % 16 AS x2, y1 + 12 AS y2, text FROM (SELECT o_custkey AS image, o_orderkey AS ord, CASE WHEN o_custkey % 3 = 0 THEN 100 ELSE 0 END + (o_orderkey * 37) % 211 + CAST(o_orderkey AS DOUBLE) / 1048576 AS x1, CAST((o_orderkey * 11) % CASE WHEN o_custkey % 3 = 0 THEN 1200 ELSE 120 END AS DOUBLE) AS y1, o_orderpriority AS text FROM orders) AS b",
+    "ocr_texts": "SELECT doc_id AS id, " + _pick("doc_id % 4", "text", "' '", "NULL", other="''") + " AS first, " + _pick("doc_id % 3", "text", "NULL", other="'  '") + " AS second, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'a 1 x' || chr(10) || 'b 2 y' || chr(10) || text END AS third FROM documents",
+    "images": "SELECT SHA(text) AS file_hash, CAST(1 + n_chars % 3 AS INT) AS page, CAST(n_chars % 5 AS INT) AS xref, " + _pick("n_chars % 4", "'x.png'", "'统计.png'", "'Table1.PNG'", other="'z.jpg'") + " AS file_name, CAST(n_chars % 600 AS INT) AS width, CAST(n_chars % 400 AS INT) AS height FROM documents",
+    "replies": "SELECT doc_id AS id, " + _pick("doc_id % 6", "source", "'全部'", "'类别' || source", "''", """'"' || source || '"'""", other="'zzz'") + " AS reply, CASE WHEN doc_id % 7 = 0 THEN LIST(source) ELSE LIST('src1', 'src12', source) END AS categories FROM documents",
+    "queries": f"SELECT {_TURN}, {_QUESTION} AS query FROM conversations",
+    "modes": f"SELECT {_TURN}, {_QUESTION} AS query, CAST(length(text) % 3 AS INT) AS n_hits, length(text) % 2 = 0 AS any_keyword, length(text) % 5 = 0 AS reranked, CAST(1 + length(text) % 20 AS INT) AS top_k FROM conversations",
+    "batch": "SELECT 'doc_' || doc_id || '.pdf' AS file_name, SHA(text) AS file_hash, CAST(doc_id AS INT) AS arrival, CAST(doc_id % 4 AS INT) AS n_chunks, " + _pick("doc_id % 7", "'bad zip'", "'ocr_unavailable'", other="NULL") + " AS error FROM documents",
+    "known": "SELECT DISTINCT SHA(text) AS file_hash, CASE WHEN n_chars % 3 = 0 THEN 'indexed' ELSE 'pending' END AS status FROM documents",
+    "names": "SELECT doc_id AS id, " + _pick("doc_id % 9", "'doc_' || doc_id || '.PDF'", "'a/doc_' || doc_id || '.docx'", "source || '.tar.xlsx'", "'doc_' || doc_id || '.xls'", "'doc.' || doc_id || '.jpeg'", "source || '.txt'", "source", "'.hidden'", other="lang || '.png'") + " AS file_name FROM documents",
+    "tables": "SELECT 'doc_' || doc_id || '.pdf' AS file_name, CAST(1 + ord % 3 AS INT) AS page, line AS text FROM lines WHERE length(line) % 4 = 0",
+    "text_blocks": "SELECT 'doc_' || doc_id || '.pdf' AS file_name, CAST(1 + ord % 3 AS INT) AS page, ord, line AS text FROM lines",
+    "long_texts": f"SELECT {_TURN}, replace(replace(text, '. ', '。'), chr(10), chr(10) || chr(10)) AS text FROM conversations",
+}
 
-def _literal(x) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x).upper()
-    if isinstance(x, (int, float)):
-        return repr(x)
-    if isinstance(x, list):
-        return "[" + ", ".join(map(_literal, x)) + "]"
-    return "'" + str(x).replace("'", "''") + "'"
+TABLES = ("documents", "conversations", "orders", "lineitem")
+_LINES = "(SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS ord, unnest(string_split(text, chr(10))) AS line FROM documents)"
 
 
-_SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}
+def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows of a view."""
+    told = re.sub(r"SHA\((\w+)\)", r"sha2(\1, 256)", VIEWS[name]).replace("LIST(", "array(").replace("SPLIT(", "split(")
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", told)}
+    if re.search(r"\blines\b", told):
+        tables["lines"] = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("ord"), "line")
+    for t in tables:
+        told = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", told)
+    return spark.sql(told, **tables)
 
 
 def sql(name: str) -> str:
-    """The fixture as a SQL table expression."""
-    ddl, rows = FIXTURES[name]
-    columns = [c.split() for c in ddl.split(", ")]
-    values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-    casts = ", ".join(f"CAST({c} AS {_SQL_TYPES[t]}) AS {c}" for c, t in columns)
-    return f"(SELECT {casts} FROM (VALUES {values}) AS v({', '.join(c for c, _ in columns)}))"
+    """The view as a SQL table expression."""
+    told = VIEWS[name].replace("SHA(", "sha256(").replace("LIST(", "list_value(").replace("SPLIT(", "string_split(")
+    return "(" + re.sub(r"\bFROM lines\b", f"FROM {_LINES} AS lines", told) + ")"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

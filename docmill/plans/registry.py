@@ -44,7 +44,7 @@ def _trim(x: str) -> str:
 
 @query("SELECT id, " + _trim(r"regexp_replace(regexp_replace(text, '([一-鿿])[\s\p{Z}]+([一-鿿])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g')") + f" AS text FROM {fixture('texts')}")
 def clean_text(spark, sf_dir):
-    return frame(spark, "texts").select("id", tx.clean_text("text").alias("text"))
+    return frame(spark, sf_dir, "texts").select("id", tx.clean_text("text").alias("text"))
 
 
 @query("SELECT doc_id, md5(" + _trim(r"regexp_replace(regexp_replace(text, '([一-鿿])[\s\p{Z}]+([一-鿿])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g')") + ") AS cleaned FROM documents")
@@ -54,7 +54,7 @@ def clean_documents(spark, sf_dir):
 
 @query("SELECT id, " + _trim(r"regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')") + f" AS text FROM {fixture('texts')}")
 def clean_text_table(spark, sf_dir):
-    return frame(spark, "texts").select("id", tx.clean_table_text("text").alias("text"))
+    return frame(spark, sf_dir, "texts").select("id", tx.clean_table_text("text").alias("text"))
 
 
 @query("SELECT doc_id, sha256(text) AS file_hash FROM documents")
@@ -67,7 +67,7 @@ def file_hash(spark, sf_dir):
         ELSE regexp_replace(regexp_replace(CAST(CAST(number AS DECIMAL(38, 12)) AS VARCHAR), '0+$', ''), '\\.$', '') END, trim(text), '') AS value FROM {fixture("cells")}"""
 )
 def fmt_cell(spark, sf_dir):
-    return frame(spark, "cells").select("id", tx.format_cell(F.col("text"), F.col("number"), F.col("day").cast("date")).alias("value"))
+    return frame(spark, sf_dir, "cells").select("id", tx.format_cell(F.col("text"), F.col("number"), F.col("day").cast("date")).alias("value"))
 
 
 @query(
@@ -77,7 +77,7 @@ def fmt_cell(spark, sf_dir):
             lambda p: p IS NOT NULL), ' | ') AS line FROM {fixture("grids")}"""
 )
 def fmt_row(spark, sf_dir):
-    return frame(spark, "grids").select("id", tx.format_row(tx.header_names(F.col("headers")), F.col("cells")).alias("line"))
+    return frame(spark, sf_dir, "grids").select("id", tx.format_row(tx.header_names(F.col("headers")), F.col("cells")).alias("line"))
 
 
 _KEYWORDS = r"""WITH words AS (
@@ -89,7 +89,7 @@ SELECT s.id, coalesce(string_agg(r.w, '|' ORDER BY r.r), '') AS keywords FROM {s
 
 @query(_KEYWORDS.format(trim=_trim("query"), source=fixture("queries"), stop=_quoted(tx.KEYWORD_STOP_WORDS)))
 def kw_tokenize(spark, sf_dir):
-    return frame(spark, "queries").select("id", F.array_join(tx.keywords("query"), "|").alias("keywords"))
+    return frame(spark, sf_dir, "queries").select("id", F.array_join(tx.keywords("query"), "|").alias("keywords"))
 
 
 @query(_KEYWORDS.format(trim=_trim("text"), source="(SELECT item_id AS id, text FROM benchmark)", stop=_quoted(tx.KEYWORD_STOP_WORDS)))
@@ -99,12 +99,12 @@ def kw_tokenize_benchmark(spark, sf_dir):
 
 @query(f"SELECT id, ({' OR '.join(f'contains(query, {chr(39)}{w}{chr(39)})' for w in tx.LIST_QUERY_WORDS)}) AS is_list FROM {fixture('queries')}")
 def list_query(spark, sf_dir):
-    return frame(spark, "queries").select("id", tx.is_list_query("query").alias("is_list"))
+    return frame(spark, sf_dir, "queries").select("id", tx.is_list_query("query").alias("is_list"))
 
 
 @query(f"SELECT id, upper(regexp_extract(file_name, '[^/.][^/]*\\.([^./]*)$', 1)) AS file_type FROM {fixture('names')}")
 def file_type(spark, sf_dir):
-    return frame(spark, "names").select("id", tx.file_type("file_name").alias("file_type"))
+    return frame(spark, sf_dir, "names").select("id", tx.file_type("file_name").alias("file_type"))
 
 
 # ---- structure ----------------------------------------------------------------------------------
@@ -121,22 +121,22 @@ _STYLE = r"""(CASE WHEN regexp_extract(replace(lower(style), ' ', ''), '^(?:head
 
 @query(f"SELECT id, {_LIKELY} AS level FROM {fixture('headings')}")
 def likely_heading(spark, sf_dir):
-    return frame(spark, "headings").select("id", st.likely_heading(F.col("text")).alias("level"))
+    return frame(spark, sf_dir, "headings").select("id", st.likely_heading(F.col("text")).alias("level"))
 
 
 @query(f"SELECT id, CASE WHEN length(text) > 120 THEN 0 ELSE coalesce(least(outline + 1, CASE WHEN outline IS NOT NULL THEN 6 END), {_STYLE}, {_DOCX_VISUAL}, {_BY_TEXT}) END AS level FROM {fixture('headings')}")
 def heading_level(spark, sf_dir):
-    return frame(spark, "headings").select("id", st.docx_level(F.col("text"), F.col("style"), F.col("outline"), F.col("size"), F.col("bold")).alias("level"))
+    return frame(spark, sf_dir, "headings").select("id", st.docx_level(F.col("text"), F.col("style"), F.col("outline"), F.col("size"), F.col("bold")).alias("level"))
 
 
 @query(f"SELECT id, {_DOCX_VISUAL} AS level FROM {fixture('headings')}")
 def visual_heading_docx(spark, sf_dir):
-    return frame(spark, "headings").select("id", st.docx_visual(F.col("size"), F.col("bold")).alias("level"))
+    return frame(spark, sf_dir, "headings").select("id", st.docx_visual(F.col("size"), F.col("bold")).alias("level"))
 
 
 @query(f"SELECT id, CASE WHEN {_BY_TEXT} > 0 THEN {_BY_TEXT} ELSE coalesce({_PDF_VISUAL}, 0) END AS level FROM {fixture('headings')}")
 def visual_heading_pdf(spark, sf_dir):
-    return frame(spark, "headings").select("id", st.pdf_level(F.col("text"), F.col("size"), F.col("bold")).alias("level"))
+    return frame(spark, sf_dir, "headings").select("id", st.pdf_level(F.col("text"), F.col("size"), F.col("bold")).alias("level"))
 
 
 @query("SELECT doc_id AS id, CAST(sum(level) AS BIGINT) AS total FROM (SELECT doc_id, " + _BY_TEXT + " AS level FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)) GROUP BY doc_id")
@@ -154,7 +154,7 @@ def heading_lines(spark, sf_dir):
 SELECT doc, ord, coalesce(array_to_string(list_transform(stack, lambda s: s.t), ' > '), '') AS heading_path FROM walk"""
 )
 def heading_path(spark, sf_dir):
-    return st.with_heading_path(frame(spark, "outline"), "doc", "ord").select("doc", "ord", "heading_path")
+    return st.with_heading_path(frame(spark, sf_dir, "outline"), "doc", "ord").select("doc", "ord", "heading_path")
 
 
 @query(
@@ -164,7 +164,7 @@ def heading_path(spark, sf_dir):
 SELECT doc, min(ord) AS ord, bool_or(l) AS is_list, string_agg(CASE WHEN l THEN '• ' || text ELSE text END, chr(10) ORDER BY ord) AS text FROM islands GROUP BY doc, g"""
 )
 def list_merge(spark, sf_dir):
-    return st.merge_lists(frame(spark, "paragraphs"), "doc", "ord")
+    return st.merge_lists(frame(spark, sf_dir, "paragraphs"), "doc", "ord")
 
 
 @query(
@@ -195,12 +195,12 @@ SELECT doc, ord, CASE WHEN k = 'paragraph' AND (regexp_matches(t, '表\\s*\\p{{N
 FROM seen WHERE kind = 'table'"""
 )
 def table_caption(spark, sf_dir):
-    return st.with_caption(frame(spark, "captions"), "doc", "ord")
+    return st.with_caption(frame(spark, sf_dir, "captions"), "doc", "ord")
 
 
 @query(f"SELECT b.* FROM {fixture('text_blocks')} b WHERE NOT EXISTS (SELECT 1 FROM {fixture('tables')} t WHERE t.file_name = b.file_name AND t.page = b.page AND substr(t.text, 1, 200) = substr(b.text, 1, 200))")
 def table_text_antijoin(spark, sf_dir):
-    return st.without_table_text(frame(spark, "text_blocks"), frame(spark, "tables")).select("file_name", "page", "ord", "text")
+    return st.without_table_text(frame(spark, sf_dir, "text_blocks"), frame(spark, sf_dir, "tables")).select("file_name", "page", "ord", "text")
 
 
 # ---- chunking -------------------------------------------------------------------------------------
@@ -226,7 +226,7 @@ def _smart(source: str, most: int) -> str:
 
 @query(_smart(fixture("long_texts"), 8) + " SELECT id, array_to_string(cs, '¶') AS chunks FROM every")
 def smart_chunk_small(spark, sf_dir):
-    return frame(spark, "long_texts").select("id", F.array_join(chunking.smart_chunk(F.col("text"), 8), "¶").alias("chunks"))
+    return frame(spark, sf_dir, "long_texts").select("id", F.array_join(chunking.smart_chunk(F.col("text"), 8), "¶").alias("chunks"))
 
 
 @query(_smart("(SELECT doc_id AS id, text FROM documents)", chunking.CHUNK) + " SELECT id, CAST(len(cs) AS INTEGER) AS n, md5(array_to_string(cs, '¶')) AS chunks FROM every")
@@ -276,12 +276,12 @@ SELECT h.file_name, h.sheet, coalesce(b + 1, 1) AS page, 'Sheet: ' || h.sheet ||
 FROM head h LEFT JOIN body USING (file_name, sheet)"""
 )
 def xlsx_batches(spark, sf_dir):
-    return chunking.sheet_batches(frame(spark, "sheet")).withColumn("headers", F.array_join("headers", "|"))
+    return chunking.sheet_batches(frame(spark, sf_dir, "sheet")).withColumn("headers", F.array_join("headers", "|"))
 
 
 @query(f"SELECT id, array_to_string(headers, '|') AS headers, array_to_string(list_filter([array_to_string(headers, ' | '), array_to_string(list_transform(cells, lambda c: trim(coalesce(c, ''))), ' | ')], lambda r: replace(replace(r, ' ', ''), '|', '') <> ''), chr(10)) AS text FROM {fixture('grids')}")
 def docx_table_text(spark, sf_dir):
-    told = frame(spark, "grids").select("id", chunking.docx_table(F.array("headers", "cells")).alias("t"))
+    told = frame(spark, sf_dir, "grids").select("id", chunking.docx_table(F.array("headers", "cells")).alias("t"))
     return told.select("id", F.array_join("t.headers", "|").alias("headers"), "t.text")
 
 
@@ -291,7 +291,7 @@ LEFT JOIN {fixture("merged_ranges")} r ON r.sheet = c.sheet AND c.row BETWEEN r.
 LEFT JOIN {fixture("merged_cells")} f ON f.sheet = r.sheet AND f.row = r.r1 AND f.col = r.c1"""
 )
 def expand_merged_cells(spark, sf_dir):
-    return chunking.expand_merged(frame(spark, "merged_cells"), frame(spark, "merged_ranges"))
+    return chunking.expand_merged(frame(spark, sf_dir, "merged_cells"), frame(spark, sf_dir, "merged_ranges"))
 
 
 # ---- layout ---------------------------------------------------------------------------------------
@@ -302,12 +302,12 @@ _NONBLANK = r"list_filter(string_split(coalesce({0}, ''), chr(10)), lambda x: re
 
 @query(f"SELECT id, coalesce(nullif({_trim('first')}, ''), nullif({_trim('second')}, ''), nullif({_trim('third')}, ''), '') AS text FROM {fixture('ocr_texts')}")
 def ocr_engine_chain(spark, sf_dir):
-    return frame(spark, "ocr_texts").select("id", layout.engine_chain(F.col("first"), F.col("second"), F.col("third")).alias("text"))
+    return frame(spark, sf_dir, "ocr_texts").select("id", layout.engine_chain(F.col("first"), F.col("second"), F.col("third")).alias("text"))
 
 
 @query(f"SELECT id, {_TABULAR} AS is_table FROM (SELECT id, {_NONBLANK.format('coalesce(first, third)')} AS ls FROM {fixture('ocr_texts')})")
 def is_table_text(spark, sf_dir):
-    return frame(spark, "ocr_texts").select("id", layout.is_table_text(F.coalesce("first", "third", F.lit(""))).alias("is_table"))
+    return frame(spark, sf_dir, "ocr_texts").select("id", layout.is_table_text(F.coalesce("first", "third", F.lit(""))).alias("is_table"))
 
 
 @query(f"SELECT doc_id, {_TABULAR} AS is_table FROM (SELECT doc_id, {_NONBLANK.format('text')} AS ls FROM documents)")
@@ -317,12 +317,12 @@ def is_table_document(spark, sf_dir):
 
 @query(f"SELECT DISTINCT file_hash, page, xref, ({' OR '.join(f'contains(lower(file_name), {chr(39)}{w}{chr(39)})' for w in layout.TABLE_IMAGE_WORDS)} OR (width > 1.2 * height AND width * height > 80000)) AS is_table FROM {fixture('images')}")
 def is_table_image(spark, sf_dir):
-    return frame(spark, "images").select("file_hash", "page", "xref", layout.is_table_image(F.col("file_name"), F.col("width"), F.col("height")).alias("is_table")).distinct()
+    return frame(spark, sf_dir, "images").select("file_hash", "page", "xref", layout.is_table_image(F.col("file_name"), F.col("width"), F.col("height")).alias("is_table")).distinct()
 
 
 @query(f"SELECT DISTINCT file_hash, page, xref FROM {fixture('images')} WHERE width >= 100 AND height >= 100")
 def image_filter(spark, sf_dir):
-    return layout.kept_images(frame(spark, "images")).select("file_hash", "page", "xref")
+    return layout.kept_images(frame(spark, sf_dir, "images")).select("file_hash", "page", "xref")
 
 
 def _walk(gap: str, compare: str) -> str:
@@ -342,7 +342,7 @@ def _walk(gap: str, compare: str) -> str:
 SELECT image, string_agg(CASE WHEN coalesce(patch, FALSE) AND r BETWEEN 5 AND 18 THEN [{_quoted(layout.MONTH_ROWS)}][r - 4] || '  ' || line ELSE line END, chr(10) ORDER BY r) AS text FROM lines LEFT JOIN probe USING (image) GROUP BY image"""
 )
 def ocr_rows(spark, sf_dir):
-    return layout.rows_to_text(frame(spark, "boxes"))
+    return layout.rows_to_text(frame(spark, sf_dir, "boxes"))
 
 
 @query(
@@ -358,7 +358,7 @@ def ocr_rows(spark, sf_dir):
 SELECT image, CASE WHEN max(r) < 2 THEN (SELECT string_agg(text, ' ' ORDER BY x1, n) FROM placed p WHERE p.image = l.image) ELSE string_agg(line, chr(10) ORDER BY r) END AS text FROM lines l GROUP BY image"""
 )
 def ocr_table_grid(spark, sf_dir):
-    return layout.rebuild_table(frame(spark, "boxes"))
+    return layout.rebuild_table(frame(spark, sf_dir, "boxes"))
 
 
 # ---- catalog --------------------------------------------------------------------------------------
@@ -377,7 +377,7 @@ _INDEXED = f"""(SELECT id, file_name, file_hash, file_type, CASE WHEN id % 11 =
 
 @query(f"SELECT id, CASE WHEN e = 'pdf' THEN 'pdf' WHEN e = 'docx' THEN 'docx' WHEN e IN ('xlsx', 'xls') THEN 'sheet' WHEN e IN ('png', 'jpg', 'jpeg', 'tiff', 'bmp') THEN 'image' END AS parser FROM (SELECT id, lower(regexp_extract(file_name, '\\.([^./]*)$', 1)) AS e FROM {fixture('names')})")
 def ext_dispatch(spark, sf_dir):
-    return frame(spark, "names").select("id", catalog.parser_of(F.col("file_name")).alias("parser"))
+    return frame(spark, sf_dir, "names").select("id", catalog.parser_of(F.col("file_name")).alias("parser"))
 
 
 @query(f"SELECT f.id, f.file_hash FROM {FILES_SQL} f WHERE f.file_hash NOT IN (SELECT file_hash FROM {_INDEXED} WHERE status = 'indexed') AND f.arrival = (SELECT min(arrival) FROM {FILES_SQL} g WHERE g.file_hash = f.file_hash)")
@@ -391,7 +391,7 @@ def ingest_dedup(spark, sf_dir):
 SELECT file_name, file_hash, arrival, status, CASE status WHEN 'skipped' THEN 'already indexed' WHEN 'failed' THEN coalesce(error, 'no content') WHEN 'ocr_unavailable' THEN 'no OCR engine' ELSE '' END AS reason FROM s"""
 )
 def ingest_status(spark, sf_dir):
-    return catalog.ingest_status(frame(spark, "batch"), frame(spark, "known"))
+    return catalog.ingest_status(frame(spark, sf_dir, "batch"), frame(spark, sf_dir, "known"))
 
 
 @query(_smart("(SELECT doc_id AS id, text FROM documents)", chunking.CHUNK) + " SELECT 'doc_' || id AS file_name, CAST(len(cs) AS BIGINT) AS chunk_count, CASE WHEN id % 2 = 0 AND len(cs) > 1 THEN 'heading,text' WHEN id % 2 = 0 THEN 'heading' ELSE 'text' END AS types FROM every WHERE len(cs) > 0")
@@ -602,27 +602,34 @@ def search_citations(spark, sf_dir):
     return respond.citations(fusion.multi_stage(chunks(spark, sf_dir), " ".join(_WORDS), _vector(spark, sf_dir), 5))
 
 
-_HITS = fixture("hits")
+#: The best chunks by vector, with the share of words that they hold and a reranker's stand-in score.
+_HITS = f"""(SELECT id, file_name, category, page, block_type, heading_path, text, score, ({' + '.join(f"CAST(contains(text, '{w}') AS INTEGER)" for w in _WORDS)}) / {len(_WORDS)}.0 AS kw_score, CAST(length(text) % 100 AS DOUBLE) / 100 AS rerank FROM ({_VEC}))"""
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    held = sum((F.contains("text", F.lit(w)).cast("int") for w in _WORDS), F.lit(0))
+    hits = retrieval.vector_search(chunks(spark, sf_dir), _vector(spark, sf_dir), 20)
+    return hits.withColumns({"kw_score": held.cast("double") / len(_WORDS), "rerank": (F.length("text") % 100).cast("double") / 100})
 
 
 @query(f"SELECT id, CAST(row_number() OVER (ORDER BY (kw_score >= 1) DESC, round(score * 0.6 + kw_score * 0.4, 10) DESC, id) AS INTEGER) AS rank FROM {_HITS}")
 def fusion_order(spark, sf_dir):
-    return fusion.by_fusion(frame(spark, "hits")).select("id", "rank")
+    return fusion.by_fusion(_scored(spark, sf_dir)).select("id", "rank")
 
 
 @query(f"SELECT id, CAST(row_number() OVER (ORDER BY round(score * 0.7 + kw_score * 0.3, 10) DESC, id) AS INTEGER) AS rank FROM {_HITS}")
 def rerank_fallback_order(spark, sf_dir):
-    return fusion.by_fallback(frame(spark, "hits")).select("id", "rank")
+    return fusion.by_fallback(_scored(spark, sf_dir)).select("id", "rank")
 
 
 @query(f"SELECT id, round(s, 4) AS rerank_score, CAST(row_number() OVER (ORDER BY s DESC, id) AS INTEGER) AS rank FROM (SELECT id, CASE WHEN kw_score >= 0.5 THEN greatest(rerank, 0.85 * max(rerank) OVER ()) ELSE rerank END AS s FROM {_HITS})")
 def rerank_floor(spark, sf_dir):
-    return fusion.by_rerank(frame(spark, "hits").withColumnRenamed("rerank", "rerank_score")).select("id", F.round("rerank_score", 4).alias("rerank_score"), "rank")
+    return fusion.by_rerank(_scored(spark, sf_dir).withColumnRenamed("rerank", "rerank_score")).select("id", F.round("rerank_score", 4).alias("rerank_score"), "rank")
 
 
 @query(f"SELECT CAST(r AS INTEGER) AS id, file_name, category, page, block_type, heading_path, substr(text, 1, 300) AS text_snippet, round(rerank, 4) AS score FROM (SELECT *, row_number() OVER (ORDER BY rerank DESC, id) AS r FROM {_HITS})")
 def citations(spark, sf_dir):
-    hits = frame(spark, "hits").withColumnRenamed("rerank", "rerank_score")
+    hits = _scored(spark, sf_dir).withColumnRenamed("rerank", "rerank_score")
     return respond.citations(hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rerank_score"), "id"))))
 
 
@@ -631,17 +638,16 @@ _LISTY = " OR ".join(f"contains(query, '{w}')" for w in tx.LIST_QUERY_WORDS)
 
 @query(f"SELECT id, CAST(CASE WHEN {_LISTY} THEN least(2 * top_k, 20) ELSE top_k END AS INTEGER) AS k, CASE WHEN {_LISTY} THEN 'list_' ELSE '' END || CASE WHEN n_hits = 0 THEN 'empty' WHEN reranked THEN 'rerank' WHEN any_keyword THEN 'hybrid' ELSE 'vector' END AS mode FROM {fixture('modes')}")
 def search_mode(spark, sf_dir):
-    from docmill.plans.fixtures import FIXTURES
-
-    rows = [(i, fusion.effective_k(q, k), fusion.mode_of(q, n, kw, re)) for i, q, n, kw, re, k in FIXTURES["modes"][1]]
-    return spark.createDataFrame(rows, "id int, k int, mode string")
+    asked = frame(spark, sf_dir, "modes")
+    mode = fusion.mode_of(F.col("query"), F.col("n_hits"), F.col("any_keyword"), F.col("reranked"))
+    return asked.select("id", fusion.effective_k(F.col("query"), F.col("top_k")).alias("k"), mode.alias("mode"))
 
 
 _RANKED = f"(SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM {_HITS})"
 
 
-def _ranked(spark) -> DataFrame:
-    return frame(spark, "hits").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+def _ranked(spark, sf_dir) -> DataFrame:
+    return _scored(spark, sf_dir).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
 @query(
@@ -649,12 +655,12 @@ def _ranked(spark) -> DataFrame:
   (SELECT string_agg(category, '、' ORDER BY r) FROM (SELECT category, min(rank) AS r FROM h WHERE category <> '' GROUP BY category)) AS categories FROM h"""
 )
 def prompt_context(spark, sf_dir):
-    return respond.prompt_context(_ranked(spark))
+    return respond.prompt_context(_ranked(spark, sf_dir))
 
 
 @query(f"SELECT '{respond.DIGEST_HEAD}' || chr(10) || chr(10) || string_agg('[来源' || rank || '] ' || file_name || ' 第' || page || '页' || chr(10) || substr(text, 1, 300), chr(10) || chr(10) ORDER BY rank) AS answer FROM {_RANKED}")
 def digest_fallback(spark, sf_dir):
-    return respond.digest(_ranked(spark))
+    return respond.digest(_ranked(spark, sf_dir))
 
 
 @query(
@@ -662,7 +668,7 @@ def digest_fallback(spark, sf_dir):
   ELSE list_filter(categories, lambda c: contains(p, c) OR contains(c, p))[1] END AS category FROM (SELECT id, categories, trim(trim(reply), '"') AS p FROM {fixture("replies")})"""
 )
 def category_route(spark, sf_dir):
-    return frame(spark, "replies").select("id", respond.route(F.col("reply"), F.col("categories")).alias("category"))
+    return frame(spark, sf_dir, "replies").select("id", respond.route(F.col("reply"), F.col("categories")).alias("category"))
 
 
 _SCOPED = "SELECT 'none' AS scope, id, score FROM (SELECT id, {0} AS score FROM {1} ORDER BY score DESC, id LIMIT 5) UNION ALL SELECT 'src4', id, score FROM (SELECT id, {0} AS score FROM {1} WHERE category = 'src4' ORDER BY score DESC, id LIMIT 5)"

@@ -12,11 +12,29 @@ from docmill.functions import text as tx
 from docmill.operators import bm25, chunking, fusion, layout, respond, retrieval
 from docmill.operators.plugins import dictionary_segmenter, embed_column, hashing_embedder, recognise_column, rerank_with, segment_column
 from docmill.plans.engine import Engine
-from docmill.plans.fixtures import frame
 
 SLOW = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
+BOXES = (
+    "image int, ord int, x1 double, y1 double, x2 double, y2 double, text string",
+    [
+        (1, 1, 0.0, 0.0, 20.0, 20.0, "A"),
+        (1, 2, 100.0, 0.0, 120.0, 20.0, "B"),
+        (1, 3, 200.0, 2.0, 220.0, 22.0, "C"),
+        (1, 4, 0.0, 50.0, 20.0, 70.0, "1"),
+        (1, 5, 200.0, 50.0, 220.0, 70.0, "3"),
+        (2, 1, 50.0, 10.0, 90.0, 30.0, "right"),
+        (2, 2, 0.0, 12.0, 40.0, 30.0, "left"),
+        (2, 3, 0.0, 24.0, 40.0, 42.0, "low"),
+        (2, 4, 5.0, 80.0, 45.0, 99.0, "end"),
+        (3, 1, 0.0, 0.0, 30.0, 10.0, "one"),
+        (3, 2, 40.0, 1.0, 70.0, 11.0, "row"),
+        *[(4, r * 2 + k, 100.0 + 80 * k, 30.0 * r, 150.0 + 80 * k, 30.0 * r + 12, f"{'v' if r > 3 else 't'}{r}{k}") for r in range(18) for k in range(2)],
+    ],
+)
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
@@ -112,13 +130,14 @@ def test_fusion_orders(spark):
     assert [r.id for r in fusion.by_fusion(rows).orderBy("rank").collect()] == [2, 3, 1]
     rr = spark.createDataFrame([(1, 0.0, 0.9), (2, 0.5, 0.1), (3, 0.4, 0.5)], "id int, kw_score double, rerank_score double")
     assert {r.id: round(r.rerank_score, 4) for r in fusion.by_rerank(rr).collect()} == {1: 0.9, 2: 0.765, 3: 0.5}
-    assert (fusion.effective_k("列表 x", 5), fusion.effective_k("列表 x", 15), fusion.effective_k("plain", 5)) == (10, 20, 5)
+    k = lambda query, top_k: one(spark, fusion.effective_k(F.lit(query), F.lit(top_k)))
+    assert (k("列表 x", 5), k("列表 x", 15), k("plain", 5)) == (10, 20, 5)
 
 
 def test_layout_cases(spark):
-    got = {r.image: r.text for r in layout.rebuild_table(frame(spark, "boxes")).collect()}
+    got = {r.image: r.text for r in layout.rebuild_table(spark.createDataFrame(BOXES[1], BOXES[0])).collect()}
     assert got[1] == "A  B  C\n1  -  3"
-    lines = {r.image: r.text.split("\n") for r in layout.rows_to_text(frame(spark, "boxes")).collect()}
+    lines = {r.image: r.text.split("\n") for r in layout.rows_to_text(spark.createDataFrame(BOXES[1], BOXES[0])).collect()}
     assert lines[4][3] == "t30  t31" and lines[4][4] == "1月  v40  v41" and lines[4][17] == "累计均价  v170  v171"
 
 
