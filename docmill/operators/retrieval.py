@@ -52,8 +52,8 @@ def vector_search(chunks: DataFrame, query: list[float], top_k: int = 20, file_n
 def vector_search_many(chunks: DataFrame, queries: DataFrame, top_k: int = 20) -> DataFrame:
     """Top-k for every query (query_id, query_vector), in blocks by a hash of the id, of nine tenths of
     ``BROADCAST_QUERIES`` on average: each block is broadcast and searched against all chunks, and each
-    task keeps k rows a query before the shuffle."""
-    queries = queries.select("query_id", "query_vector")
+    task keeps k rows a query before the shuffle.  Rows without a vector take no part on either side."""
+    queries, chunks = queries.select("query_id", "query_vector").where("query_vector is not null"), chunks.where("embedding is not null")
     n = queries.count()
     blocks = 1 if n <= BROADCAST_QUERIES else -(-10 * n // (9 * BROADCAST_QUERIES))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

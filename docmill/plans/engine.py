@@ -11,19 +11,35 @@ from docmill.operators import catalog as cat
 from docmill.operators.fusion import MOST, smart_search
 from docmill.operators.respond import NO_ANSWER, ROUTE_PROMPT, answer, citations, route
 from docmill.operators.retrieval import scoped
+from docmill.sources.store import Store
 
 
 class Engine:
-    """Search and question answering over a table of chunks and a catalog of files.
+    """Search and question answering over a table of chunks and a catalog of files, or over a ``Store``
+    (see ``over``), which is read anew by every call.
 
     ``embed`` turns a text into a vector; ``reranker``, ``model`` and
     ``segment`` (cuts a query into words) are optional.
     """
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, catalog: DataFrame, embed: Callable[[str], list[float]], reranker=None, model: Callable[[str], str] | None = None, segment: Callable[[str], list[str]] | None = None):
-        self.spark, self.chunks, self.catalog = spark, chunks, catalog
+        self.spark, self._chunks, self._catalog, self.store = spark, chunks, catalog, None
         self.embed, self.reranker, self.model, self.segment = embed, reranker, model, segment
 
+    @classmethod
+    def over(cls, store: Store, embed: Callable[[str], list[float]], **models) -> Engine:
+        engine = cls(store.spark, None, None, embed, **models)
+        engine.store = store
+        return engine
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.store.chunks() if self.store else self._chunks
+
+    @property
+    def catalog(self) -> DataFrame:
+        return self.store.files() if self.store else self._catalog
+
     def search(self, query: str, top_k: int = 5, file_name: str | None = None, category: str | None = None) -> tuple[DataFrame, str]:
         """Citations of the best hits, and the search mode."""
         hits, mode = self._hits(query, top_k, file_name, category)
@@ -64,13 +80,17 @@ class Engine:
 
     def delete_file(self, file_name: str) -> None:
         """Takes the first file of a name out of the chunks and the catalog."""
+        if self.store:
+            return self.store.delete_name(file_name)
         found = cat.hash_by_name(self.catalog, file_name).first()
         if found is None:
             raise KeyError(file_name)
-        self.chunks, self.catalog = cat.delete_by_hash(self.chunks, found[0]), cat.delete_by_hash(self.catalog, found[0])
+        self._chunks, self._catalog = cat.delete_by_hash(self._chunks, found[0]), cat.delete_by_hash(self._catalog, found[0])
 
     def reset(self) -> None:
-        self.chunks, self.catalog = self.chunks.limit(0), self.catalog.limit(0)
+        if self.store:
+            return self.store.reset()
+        self._chunks, self._catalog = self._chunks.limit(0), self._catalog.limit(0)
 
     def health(self) -> dict:
         """Whether the store can be read and a model is at hand."""

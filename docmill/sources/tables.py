@@ -22,10 +22,10 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docmill/{name}-{uuid.uuid4().hex}"
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
     """The Parquet table at a path, or no rows where nothing has been written yet."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.options(**options).schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
