@@ -11,20 +11,24 @@ footer, sidebar, notice, advert, form or comment are not the article; if a page
 its article (article, main), only slots inside count, else link-heavy blocks that are no
 headings or paragraphs go.
 Words that speak of layout (has-sidebar, content-sidebar-wrap) and ids of headings,
-paragraphs and parts of an article mark nothing; an article within a marked element
+paragraphs and parts of an article mark nothing; within an <article>, only words for
+adverts, comments, forms, menus, sidebars, footers and hidden parts do, and of its own header
+headings and paragraphs stay (not those that name its author or date); an article within a marked element
 counts if it is longer than what stands outside, and where marks by words
 (but for adverts, notices of consent and comments) would leave nothing, they are void.
 
 Pages whose content is equal count once for constancy, so copies of an article are no
-template.  A tree of any depth is walked without recursion, and siblings are aligned in
+template.  Constant is what ``MOST`` of a host's different contents have, or all where there are fewer
+than ``LEAST_PAGES``; there, pages of which three quarters are constant are near copies and keep it.
+Headings that recur in the same slot (Ingredients, Method) are constant like any other text.  A tree of any depth is walked without recursion, and siblings are aligned in
 ``n log n`` steps.
 Counts are per host, slot and text and pre-aggregated; a host of any size is spread
 over all tasks.
 
 Edges: null html is empty and gives an empty text; pages without a host, and those of a
-host with fewer than ``LEAST_PAGES`` different contents, have no template and are judged
+host with one content alone, have no template and are judged
 by their own elements, so unmarked template text stays there; unclosed tags close where HTML says
-so; repeated rows get equal results; further columns are left out; an empty table gives
+so; a tag without an end is text, and markup of any length and depth takes time in proportion; repeated rows get equal results; further columns are left out; an empty table gives
 no rows.
 """
 
@@ -33,6 +37,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,6 +67,10 @@ OUTSIDE_WORDS = frozenset(
 )
 #: Those that no article is inside of, whatever else the page has.
 FIRM_WORDS = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo promotion cookie cookies consent gdpr popup overlay comment comments reply replies disqus respond hidden skip".split())
+#: The words that mark parts of an article.
+WITHIN_WORDS = FIRM_WORDS | frozenset("nav navbar menu menubar sidebar footer header newsletter subscribe signup login search".split())
+#: Paragraphs of an article's header that are none of its text.
+BYLINE_WORDS = frozenset("byline author authors by meta date dateline time posted published updated category categories tags credit".split())
 COMMENT_WORDS = frozenset("comment comments reply replies disqus respond".split())
 #: Class words that speak of the layout, not of the element: has-sidebar, content-sidebar-wrap.
 _STATES, _WRAPS, _CONTENTS = frozenset("has no with without is".split()), frozenset("wrap wrapper container layout inner outer".split()), frozenset("content main page primary article body".split())
@@ -88,10 +97,14 @@ def marks_of(tag: str, own: dict[str, str], within: bool) -> set[str]:
                 continue
             if k == "id" and (tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or within and not COMMENT_WORDS.issuperset(words)):
                 continue
-            marks |= OUTSIDE_WORDS.intersection(words)
+            marks |= (WITHIN_WORDS if within else OUTSIDE_WORDS).intersection(words)
     return marks
 
 
+def is_byline(own: dict[str, str]) -> bool:
+    return any(w.lower() in BYLINE_WORDS for k in ("class", "id", "itemprop", "rel") for w in _WORD.findall(own.get(k, "")))
+
+
 class Node:
     """A folded element: all siblings of its label."""
 
@@ -140,6 +153,8 @@ def parse(source: str) -> tuple[Node, list[Block]]:
     root, blocks = Node("#"), []
     # (tag, folded node, outside the article, inside article 2 or main 1, inside a link, heading, in a header of an article, in an article within a marked element)
     stack = [("#", root, 0, 0, False, False, False, False)]
+    solid = [0]  # places in the stack of elements that are not inline
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked = 0
 
@@ -148,7 +163,7 @@ def parse(source: str) -> tuple[Node, list[Block]]:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                _, node, outside, article, _, heading, in_header, wrapped = next(e for e in reversed(stack) if e[0] not in INLINE)
+                _, node, outside, article, _, heading, in_header, wrapped = stack[solid[-1]]
                 blocks.append(Block(node, joined, linked, 2 if in_header and not heading else outside, article, heading, wrapped))
             text.clear()
             linked = 0
@@ -162,12 +177,19 @@ def parse(source: str) -> tuple[Node, list[Block]]:
                 linked += len(piece)
 
     def pop(to: int) -> None:
-        if any(e[0] not in INLINE for e in stack[to:]):
+        if solid[-1] >= to:
             flush()
+        while solid[-1] >= to:
+            solid.pop()
+        opened.subtract(e[0] for e in stack[to:])
         del stack[to:]
 
-    at, n = 0, len(source)
+    at, n, last = 0, len(source), source.rfind(">")
     while at < n:
+        if source.find("<", at, last + 1) < 0:  # no tag ends from here on; an open comment still goes
+            comment = source.find("<!--", at)
+            add(source[at : n if comment < 0 else comment])
+            break
         m = _TOKEN.search(source, at)
         if m is None:
             add(source[at:])
@@ -179,6 +201,8 @@ def parse(source: str) -> tuple[Node, list[Block]]:
             continue
         tag, end = name.lower(), m[1] or m[4]
         if end:
+            if not opened[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     pop(i)
@@ -198,11 +222,8 @@ def parse(source: str) -> tuple[Node, list[Block]]:
             continue
         if tag not in INLINE:
             # What the new element closes: an open paragraph, or an item of the same list, row or table.
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] not in INLINE:
-                    if stack[i][0] == "p" or stack[i][0] == tag == "h1":
-                        pop(i)
-                    break
+            if (above := stack[solid[-1]][0]) == "p" or above == tag == "h1":
+                pop(solid[-1])
             if tag in _CLOSES:
                 closed, within = _CLOSES[tag]
                 for i in range(len(stack) - 1, 0, -1):
@@ -220,6 +241,7 @@ def parse(source: str) -> tuple[Node, list[Block]]:
         marks = marks_of(tag, own, article == 2) if own else set()
         heads = article > 0 and (tag == "header" or marks == {"header"})  # of an article, only the headings stay
         marks = set() if heads else marks
+        stands = tag == "p" and not is_byline(own)  # a paragraph of the header that is no byline
         firm = tag in OUTSIDE or tag == "header" and not article or inside and not FIRM_WORDS.isdisjoint(marks) or "comment" in marks or "comments" in marks
         firm = firm or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
         if main and outside == 1 and not article:
@@ -229,7 +251,10 @@ def parse(source: str) -> tuple[Node, list[Block]]:
             node = node.child(f"{tag}.{' '.join(sorted(own['class'].split()))}" if own.get("class") else tag)
         if raw.endswith("/") and tag not in INLINE:
             continue
-        stack.append((tag, node, outside, max(article, 0 if outside else main), link or tag == "a", heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), in_header or heads, wrapped))
+        if tag not in INLINE:
+            solid.append(len(stack))
+        opened[tag] += 1
+        stack.append((tag, node, outside, max(article, 0 if outside else main), link or tag == "a", heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), (in_header or heads) and not stands, wrapped))
     flush()
     return root, blocks
 
@@ -369,17 +394,20 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     aligned = materialize(spark, map_arrow(rows, _aligned, f"page_id long, url string, host string, content long, blocks {_SLOTS}"), "aligned")
 
     # Texts that most pages of different content have in the same slot.
-    hosts = aligned.where("host <> ''").select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    hosts = aligned.where("host <> ''").select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1")
     texts = aligned.where("host <> ''").select("host", "content", F.explode("blocks").alias("b")).where("b.own").select("host", "content", "b.slot", F.xxhash64("b.text").alias("text"))
-    counts = texts.distinct().groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MOST * LEAST_PAGES)
-    constant = counts.join(hosts, "host").where(F.col("n") >= MOST * F.col("pages"))
-    constant = materialize(spark, constant.groupBy("host").agg(F.collect_set(F.struct("slot", "text")).alias("constant")), "constant")
+    counts = texts.distinct().groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    few = F.col("pages") < LEAST_PAGES
+    constant = counts.join(hosts, "host").where(F.when(few, F.col("n") == F.col("pages")).otherwise(F.col("n") >= MOST * F.col("pages")))
+    constant = materialize(spark, constant.groupBy("host").agg(F.collect_set(F.struct("slot", "text")).alias("constant"), F.max(few).alias("few")), "constant")
 
     out = aligned.join(broadcast_if_small(constant), "host", "left")
     own = F.filter("blocks", lambda b: b["own"])
     fixed = lambda b: F.exists("constant", lambda c: (c["slot"] == b["slot"]) & (c["text"] == F.xxhash64(b["text"])))
     join = lambda bs: F.array_join(F.transform(bs, lambda b: b["text"]), " ")
-    text = F.when(F.col("constant").isNull(), join(own)).otherwise(join(F.filter(own, lambda b: ~fixed(b))))
+    out = out.withColumns({"whole": join(own), "varying": F.when(F.col("constant").isNotNull(), join(F.filter(own, lambda b: ~fixed(b))))})
+    near_copy = F.col("few") & (4 * F.length("varying") < F.length("whole"))
+    text = F.when(F.col("constant").isNull() | near_copy, F.col("whole")).otherwise(F.col("varying"))
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

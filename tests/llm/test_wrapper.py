@@ -145,3 +145,59 @@ def test_deep_and_wide_pages(spark):
     rows = [(3 * i + k, f"http://h{k}.com/{i}", x.replace("{0}", str(i))) for i in range(6) for k, x in enumerate((deep, mixed, wide))]
     got = {r.page_id: r.text for r in extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[0] == "deep 0" and got[4] == "mixed 1" and got[8] == " ".join(f"wide 2 {i}" for i in range(3_000))
+
+
+def kept(html: str) -> str:
+    blocks = parse(html)[1]
+    return " ".join(b.text for b, own in zip(blocks, article_blocks(blocks), strict=True) if own)
+
+
+def test_article_text_stays_whatever_its_class():
+    html = (
+        '<body><article><header><h1>T</h1><p class="standfirst">stands first</p><p class="byline">by x</p><span>today</span></header><p class="lead alert">lead</p><figure class="widget-figure"><figcaption>shown</figcaption></figure>'
+        '<div class="related-work social">more</div><div class="ad">buy</div><form><p>name</p></form><div class="comments">well</div><div class="sidebar">aside</div><p hidden>none</p><p>end</p></article></body>'
+    )
+    assert kept(html) == "T stands first lead shown more end"
+
+
+def test_choice_of_article_on_planted_pages():
+    """Pages put together from parts whose place is known: exactly the article's parts stay, in order."""
+    r = random.Random(12)
+    inside = [("<p class='{c}'>{t}</p>", True), ("<div class='{c}'><p>{t}</p></div>", True), ("<h2 id='{c}'>{t}</h2>", True), ("<ul class='{c}'><li>{t}</ul>", True), ("<blockquote>{t}</blockquote>", True), ("<div class='ads {c}'>{t}</div>", False), ("<aside>{t}</aside>", False), ("<form>{t}</form>", False), ("<section class='comments'><p>{t}</p></section>", False), ("<nav>{t}</nav>", False), ("<script>{t}</script>", False), ("<p style='display:none'>{t}</p>", False)]
+    around = ["<nav><ul><li>{t}</ul></nav>", "<header class='{c}'>{t}</header>", "<footer><p>{t}</p></footer>", "<div class='cookie-notice'>{t}</div>", "<div class='sidebar'><p>{t}</p></div>", "<div id='comments'><article>{t}</article></div>", "<div class='advert'>{t}</div>"]
+    classes = ["lead", "alert", "widget-figure", "intro social", "share-price", "related-work", "breadcrumb-trail", "modal-verbs", "x1"]
+    for n in range(200):
+        part = lambda shape, k: shape.replace("{t}", f"text {n} {k}").replace("{c}", r.choice(classes))  # noqa: B023, E731
+        chosen = [r.choice(inside) for _ in range(r.randrange(1, 9))]
+        if not any(own for _, own in chosen):
+            continue
+        body = "".join(part(shape, k) for k, (shape, _) in enumerate(chosen))
+        before, after = ("".join(part(r.choice(around), f"{side}{k}") for k in range(r.randrange(4))) for side in "ab")
+        assert kept(f"<html><body>{before}<article>{body}</article>{after}</body></html>") == " ".join(f"text {n} {k}" for k, (_, own) in enumerate(chosen) if own)
+
+
+def test_markup_without_end_takes_linear_time():
+    """A megabyte of each: seconds at most, where a scan to the end for every tag would take hours."""
+    import time
+
+    began = time.perf_counter()
+    for unit in ("<x ", "<!x ", "<x a='", '<x "', "</x>", "<b>", "<b><div></div>", "<li><p>", "<!-", "<![CDATA["):
+        parse("<p>start</p>" + unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 60
+    assert kept("<p>a</p><x b c") == "a <x b c" and kept("<p>a</p>b <!-- c") == "a b" and kept("<p>a</p>b < c <!-- d > e") == "a b < c"
+
+
+def test_few_pages(spark):
+    """Of two to four pages, what all have in one slot is template; near copies keep theirs."""
+    rows = [(i, f"http://few.com/{i}", f"<div class=t>banner of the site</div><div class=m><p>text of page {i} with some words more</p></div><div class=f>footer of the site</div>") for i in range(4)]
+    rows += [(10 + i, f"http://near.com/{i}", f"<div class=m><p>the same long paragraph in both of the pages</p><h2>part {i}</h2></div>") for i in range(2)]
+    rows += [(20, "http://one.com/", "<div>banner</div><p>alone</p>"), (21, "http://one.com/b", "<div>banner</div><p>alone</p>")]
+    got = {r.page_id: r.text for r in extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"text of page {i} with some words more" for i in range(4))
+    assert got[10] == "the same long paragraph in both of the pages part 0" and got[20] == got[21] == "banner alone"
+
+
+def test_recurring_headings_are_template(spark):
+    rows = [(i, f"http://r.com/{i}", f"<article><h2>Ingredients</h2><p>flour {i} and more of it</p><h2>Method {i}</h2><p>stir {i} times</p></article>") for i in range(6)]
+    got = {r.page_id: r.text for r in extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "flour 2 and more of it Method 2 stir 2 times"
