@@ -33,7 +33,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """Null where a vector is zero: it points nowhere."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def normalised(v: Column) -> Column:
@@ -46,13 +47,13 @@ def vector_search(chunks: DataFrame, query: list[float], top_k: int = 20, file_n
     """The exact top-k by cosine, filters first: one scan and a bounded heap per task."""
     vector = F.array(*(F.lit(float(x)) for x in query))
     rows = scoped(chunks, file_name, category).where("embedding is not null")
-    return rows.withColumn("score", F.round(cosine(F.col("embedding"), vector), 4)).orderBy(F.desc("score"), "id").limit(top_k)
+    return rows.withColumn("score", F.round(cosine(F.col("embedding"), vector), 4)).where("score is not null").orderBy(F.desc("score"), "id").limit(top_k)
 
 
 def vector_search_many(chunks: DataFrame, queries: DataFrame, top_k: int = 20) -> DataFrame:
     """Top-k for every query (query_id, query_vector), in blocks by a hash of the id, of nine tenths of
     ``BROADCAST_QUERIES`` on average: each block is broadcast and searched against all chunks, and each
-    task keeps k rows a query before the shuffle.  Rows without a vector take no part on either side."""
+    task keeps k rows a query before the shuffle.  Rows without a vector take no part on either side, nor do zero vectors."""
     queries, chunks = queries.select("query_id", "query_vector").where("query_vector is not null"), chunks.where("embedding is not null")
     n = queries.count()
     blocks = 1 if n <= BROADCAST_QUERIES else -(-10 * n // (9 * BROADCAST_QUERIES))
@@ -61,7 +62,7 @@ def vector_search_many(chunks: DataFrame, queries: DataFrame, top_k: int = 20) -
     for b in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         pairs = chunks.select("id", "embedding").crossJoin(F.broadcast(own))
-        scored = pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 4).alias("score"))
+        scored = pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 4).alias("score")).where("score is not null")
         found.append(scored.withColumn("rank", rank).where(F.col("rank") <= top_k))
     return reduce(DataFrame.unionAll, found)
 

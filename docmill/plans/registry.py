@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from docmill.functions import structure as st
 from docmill.functions import text as tx
 from docmill.operators import bm25, catalog, chunking, fusion, layout, respond, retrieval
+from docmill.operators.postings import StoredIndex
+from docmill.operators.vectors import VectorIndex
 from docmill.plans.fixtures import CHUNKS_SQL, FILES_SQL, chunks, documents, files, frame
 from docmill.plans.fixtures import sql as fixture
+from docmill.sources.tables import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -484,17 +487,35 @@ def embed_normalize(spark, sf_dir):
     return v.select("id", F.round(retrieval.dot(F.col("v"), F.col("v")), 4).alias("norm"), F.round(F.col("v")[0], 4).alias("first"))
 
 
+def _vector_index(spark, sf_dir) -> VectorIndex:
+    """An index of all vectors in a folder of its own."""
+    return VectorIndex(spark, new_dir(spark, "vectors")).build(spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "id"))
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
 @query()
 def lsh_knn(spark, sf_dir):
-    """Approximate neighbours by random projections; unit vectors make distance order cosine order."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
+    """Approximate neighbours of one vector from the stored index."""
+    one = _asked(spark, sf_dir).where("query_id = 0")
+    return _vector_index(spark, sf_dir).search(one, 20).select("id", "score")
+
+
+@query()
+def vector_index_multi(spark, sf_dir):
+    """Approximate neighbours of every vector whose id is divisible by 50; tests measure the recall."""
+    return _vector_index(spark, sf_dir).search(_asked(spark, sf_dir), 20)
 
-    rows = chunks(spark, sf_dir).where("embedding is not null").select("id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=2.0, numHashTables=8, seed=7).fit(rows)
-    found = model.approxNearestNeighbors(rows, Vectors.dense(_vector(spark, sf_dir)), 20)
-    return found.select("id", F.round(1 - F.col("distCol") * F.col("distCol") / 2, 4).alias("score"))
+
+@query(
+    f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {_COSINE.replace("embedding", "c.embedding").format("q.embedding")} AS score FROM embeddings c CROSS JOIN embeddings q WHERE q.vec_id % 50 = 0)
+SELECT query_id, id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 20"""
+)
+def vector_index_all_cells(spark, sf_dir):
+    """The same with every cell visited: codes choose, vectors decide, and the result is exact."""
+    return _vector_index(spark, sf_dir).search(_asked(spark, sf_dir), 20, probes=1 << 20)
 
 
 _WORDS = ("the", "and", "thion", "ther")
@@ -563,6 +584,24 @@ def bm25_search_multi(spark, sf_dir):
     return bm25.search(documents(spark, sf_dir), own)
 
 
+@query(_search_sql("(SELECT item_id AS query_id, text AS query FROM benchmark)", "(SELECT doc_id AS id, text FROM documents)", 10))
+def bm25_index_search(spark, sf_dir):
+    """The same rows from the stored index, to which the documents came in two batches."""
+    index, late = StoredIndex(spark, new_dir(spark, "postings")), F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    index.add(documents(spark, sf_dir).where(~late))
+    index.add(documents(spark, sf_dir).where(late))
+    return index.search(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+
+
+@query(_search_sql("(SELECT item_id AS query_id, text AS query FROM benchmark)", "(SELECT doc_id AS id, text FROM documents WHERE source <> 'src3')", 10))
+def bm25_index_deleted(spark, sf_dir):
+    """All documents are entered, one source's are deleted: statistics and hits are those of the rest."""
+    index = StoredIndex(spark, new_dir(spark, "postings"))
+    index.add(documents(spark, sf_dir))
+    index.delete(documents(spark, sf_dir).where("source = 'src3'"))
+    return index.search(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+
+
 @query(f"SELECT doc_id AS id, score, rank FROM ({_search_sql(chr(40) + 'SELECT 0 AS query_id, ' + chr(39) + 'thion her ther' + chr(39) + ' AS query)', f'(SELECT * FROM {CHUNKS_SQL} WHERE category = {chr(39)}src2{chr(39)} ORDER BY id LIMIT 1000)', 20)})")
 def bm25_pool_filtered(spark, sf_dir):
     return bm25.pool_search(chunks(spark, sf_dir), "thion her ther", category="src2").select("id", "score", "rank")
