@@ -101,19 +101,3 @@ def segment_column(text: Column, make: Callable[[], Callable[[str], list[str]]])
             yield pd.Series([list(cut(t)) for t in s.fillna("")], index=s.index, dtype="object")
 
     return run(text)
-
-
-def dictionary_segmenter(words: list[str]) -> Callable[[str], list[str]]:
-    """Longest dictionary word first; what lies between is cut at white space and punctuation."""
-    import re
-
-    known = "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
-    pattern = re.compile(rf"({known})" if known else r"(?!)")
-
-    def cut(text: str) -> list[str]:
-        out = []
-        for i, part in enumerate(pattern.split(text)):
-            out += [part] if i % 2 else re.findall(r"\w+", part)
-        return out
-
-    return cut

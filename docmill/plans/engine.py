@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.functions.segment import segmenter
 from docmill.operators import catalog as cat
 from docmill.operators.fusion import MOST, smart_search
 from docmill.operators.respond import NO_ANSWER, ROUTE_PROMPT, answer, citations, route
@@ -19,12 +20,12 @@ class Engine:
     (see ``over``), which is read anew by every call.
 
     ``embed`` turns a text into a vector; ``reranker``, ``model`` and
-    ``segment`` (cuts a query into words) are optional.
+    ``segment`` are optional.  ``segment`` cuts a query into words; unless given, by the words of the trade.
     """
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, catalog: DataFrame, embed: Callable[[str], list[float]], reranker=None, model: Callable[[str], str] | None = None, segment: Callable[[str], list[str]] | None = None):
         self.spark, self._chunks, self._catalog, self.store = spark, chunks, catalog, None
-        self.embed, self.reranker, self.model, self.segment = embed, reranker, model, segment
+        self.embed, self.reranker, self.model, self.segment = embed, reranker, model, segment or segmenter()
 
     @classmethod
     def over(cls, store: Store, embed: Callable[[str], list[float]], **models) -> Engine:

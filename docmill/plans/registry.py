@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from docmill.functions import structure as st
 from docmill.functions import text as tx
+from docmill.functions.segment import DOMAIN_WORDS, occurrences, segmenter
 from docmill.operators import bm25, catalog, chunking, fusion, layout, respond, retrieval
+from docmill.operators.plugins import segment_column
 from docmill.operators.postings import StoredIndex
 from docmill.operators.vectors import VectorIndex
 from docmill.plans.fixtures import CHUNKS_SQL, FILES_SQL, chunks, documents, files, frame
@@ -100,6 +102,25 @@ def kw_tokenize_benchmark(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), F.array_join(tx.keywords("text"), "|").alias("keywords"))
 
 
+@query()
+def kw_segment(spark, sf_dir):
+    """Keywords of questions that a dictionary cuts, words of the trade planted among them; tests hold the paths against brute force."""
+    words = [*DOMAIN_WORDS, "排污"]
+    planted = F.element_at(F.array(*map(F.lit, words)), (F.col("id") % len(words) + 1).cast("int"))
+    asked = frame(spark, sf_dir, "queries").select("id", F.concat("query", F.lit("请问"), planted, F.lit("的有效期和综合能耗")).alias("query"))
+    cut = segment_column(F.col("query"), segmenter)
+    return asked.select("id", F.array_join(tx.keywords_of(cut), "|").alias("keywords"))
+
+
+@query(
+    "WITH w AS (SELECT unnest(["
+    + _quoted(["the", "and", "ther", "ción", "thion", "排污口"])
+    + "]) AS word) SELECT word, CAST(sum((length(text) - length(replace(text, word, ''))) / length(word)) AS BIGINT) AS n FROM w, documents GROUP BY word"
+)
+def word_occurrences(spark, sf_dir):
+    return occurrences(documents(spark, sf_dir), ["the", "and", "ther", "ción", "thion", "排污口"])
+
+
 @query(f"SELECT id, ({' OR '.join(f'contains(query, {chr(39)}{w}{chr(39)})' for w in tx.LIST_QUERY_WORDS)}) AS is_list FROM {fixture('queries')}")
 def list_query(spark, sf_dir):
     return frame(spark, sf_dir, "queries").select("id", tx.is_list_query("query").alias("is_list"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docmill.functions import structure as st
 from docmill.functions import text as tx
 from docmill.operators import bm25, chunking, fusion, layout, respond, retrieval
-from docmill.operators.plugins import dictionary_segmenter, embed_column, hashing_embedder, recognise_column, rerank_with, segment_column
+from docmill.operators.plugins import embed_column, hashing_embedder, recognise_column, rerank_with, segment_column
 from docmill.plans.engine import Engine
 
 SLOW = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -200,13 +200,6 @@ def test_keyword_search_bounds(spark):
     assert all(0 <= r.kw_score <= 1 for r in retrieval.keyword_search(chunks.drop("embedding"), ["管理", "报告"]).collect())
 
 
-def test_segmenters(spark):
-    cut = lambda: dictionary_segmenter(list(tx.DOMAIN_WORDS))
-    assert retrieval.keyword_list(spark, "请问排污许可证和综合能耗，BDO？", cut()) == ["排污许可证", "综合能耗", "BDO"]
-    df = spark.createDataFrame([("单位产品能耗 是 多少",), (None,)], "t string")
-    assert [r.w for r in df.select(tx.keywords_of(segment_column(F.col("t"), cut)).alias("w")).collect()] == [["单位产品能耗", "多少"], []]
-
-
 def test_vector_search_takes_any_number_of_queries(spark, monkeypatch):
     vectors = [(i, [float(i % 7 - 3), float(i % 5 + 1), float(i * i % 11)]) for i in range(60)]
     chunks = spark.createDataFrame(vectors, "id long, embedding array<float>")
