@@ -81,21 +81,27 @@ def docx_page(nth: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(nth / DOCX_PAGE)).cast("int")
 
 
+def list_island(is_list: Column, window) -> Column:
+    """Number of the run that a row stands in: items in a row share one, any other row has its own."""
+    starts = ~is_list | ~F.coalesce(F.lag(is_list).over(window), F.lit(False))
+    return F.sum(F.when(starts, 1).otherwise(0)).over(window.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def list_text(order: str) -> Column:
+    """The items of a group, bulleted, in order, one a line."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "text")))
+    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("• "), x["text"])), "\n")
+
+
 def merge_lists(paragraphs: DataFrame, key: str, order: str) -> DataFrame:
     """Rows (key, order, kind, text), kind list, blank or another -> list items between breaks in one text.
 
     Blank paragraphs do not break a list.  Islands are numbered by a running count of breaks.
     """
-    window = Window.partitionBy(key).orderBy(order)
     kept = paragraphs.where(F.col("kind") != "blank").withColumn("__list", F.col("kind") == "list")
-    before = F.lag("__list").over(window)
-    starts = ~F.col("__list") | ~F.coalesce(before, F.lit(False))
-    island = F.sum(F.when(starts, 1).otherwise(0)).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    kept = kept.withColumn("__island", island)
-    items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "text"))), lambda x: x["text"])
-    grouped = kept.groupBy(key, "__island").agg(F.min(order).alias(order), F.first("__list").alias("is_list"), items.alias("items"))
-    text = F.when(F.col("is_list"), F.array_join(F.transform("items", lambda t: F.concat(F.lit("• "), t)), "\n")).otherwise(F.array_join("items", "\n"))
-    return grouped.select(key, order, "is_list", text.alias("text"))
+    kept = kept.withColumn("__island", list_island(F.col("__list"), Window.partitionBy(key).orderBy(order)))
+    grouped = kept.groupBy(key, "__island").agg(F.min(order).alias(order), F.first("__list").alias("is_list"), F.min_by("text", order).alias("first"), list_text(order).alias("items"))
+    return grouped.select(key, order, "is_list", F.when(F.col("is_list"), F.col("items")).otherwise(F.col("first")).alias("text"))
 
 
 def merge_body(blocks: DataFrame, key: list[str], order: str, least: int = 400) -> DataFrame:
@@ -119,23 +125,26 @@ def merge_body(blocks: DataFrame, key: list[str], order: str, least: int = 400)
     return body.select(*key, "stretch", F.posexplode(merged).alias("part", "text"))
 
 
+def captioned(text: Column, window) -> Column:
+    """The text of a table under the caption before it: among non-blank rows (kind, text), the row before
+    if it is a paragraph that numbers a table."""
+    before = F.when(F.lag("kind").over(window) == "paragraph", F.lag("text").over(window))
+    numbered = before.rlike(r"(?U)表\s*\d|[Tt]able\s*\d|表\s*[一二三四五六七八九十百]")
+    return F.when(numbered, F.concat(F.lit("["), before, F.lit("]\n"), text)).otherwise(text)
+
+
 def with_caption(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Rows (key, order, kind, text) of kinds paragraph and table: a table gets the caption before it.
 
-    The last non-blank paragraph since the last emitted table is the caption if it
-    numbers a table.  Blank tables are not emitted and leave the caption for the next.
+    Blank tables are not emitted and leave the caption for the next.
     """
-    spoken = F.regexp_replace("text", r"(?U)\s+", "") != ""
-    window = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.where(spoken).withColumn("__last", F.last(F.struct("kind", "text"), ignorenulls=True).over(window))
-    before = F.when(F.col("__last.kind") == "paragraph", F.col("__last.text"))
-    numbered = before.rlike(r"(?U)表\s*\d") | before.rlike(r"(?U)[Tt]able\s*\d") | before.rlike(r"(?U)表\s*[一二三四五六七八九十百]")
-    tables = seen.where(F.col("kind") == "table")
-    return tables.select(key, order, F.when(numbered, F.concat(F.lit("["), before, F.lit("]\n"), "text")).otherwise(F.col("text")).alias("text"))
+    spoken = rows.where(F.regexp_replace("text", r"(?U)\s+", "") != "")
+    told = spoken.withColumn("__text", captioned(F.col("text"), Window.partitionBy(key).orderBy(order)))
+    return told.where(F.col("kind") == "table").select(key, order, F.col("__text").alias("text"))
 
 
-def without_table_text(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+def without_table_text(blocks: DataFrame, tables: DataFrame, key: tuple[str, ...] = ("file_name", "page")) -> DataFrame:
     """Text blocks that don't repeat the beginning of a table of their page."""
     prefix = F.substring("text", 1, 200)
-    known = tables.select("file_name", "page", prefix.alias("__prefix"))
-    return blocks.withColumn("__prefix", prefix).join(known, ["file_name", "page", "__prefix"], "left_anti").drop("__prefix")
+    known = tables.select(*key, prefix.alias("__prefix")).distinct()
+    return blocks.withColumn("__prefix", prefix).join(known, [*key, "__prefix"], "left_anti").drop("__prefix")

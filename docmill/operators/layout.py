@@ -32,9 +32,12 @@ def is_table_image(file_name: Column, width: Column, height: Column) -> Column:
     return named | F.coalesce((width > 1.2 * height) & (width * height > 80000), F.lit(False))
 
 
-def kept_images(images: DataFrame, least: int = 100) -> DataFrame:
-    """Images of a page (file_hash, page, xref, width, height): each reference once, none narrow or low."""
-    return images.dropDuplicates(["file_hash", "page", "xref"]).where((F.col("width") >= least) & (F.col("height") >= least))
+def kept_images(images: DataFrame, least: int = 100, order: str | None = None) -> DataFrame:
+    """Images of a page (file_hash, page, xref, width, height): each reference once, the first by ``order``, none narrow or low."""
+    key, large = ["file_hash", "page", "xref"], images.where((F.col("width") >= least) & (F.col("height") >= least))
+    if order is None:
+        return large.dropDuplicates(key)
+    return large.join(large.groupBy(*key).agg(F.min(order).alias(order)), [*key, order], "left_semi")
 
 
 def _rows(items: Column, gap: Column, closed: bool) -> Column:

@@ -78,9 +78,10 @@ class StoredIndex:
         """(doc_id, dl, terms, batch) of all documents that are not deleted, those without tokens included."""
         return self._left(self._table("forward", FORWARD))
 
-    def _left(self, rows: DataFrame) -> DataFrame:
-        """Rows (doc_id, batch, ...) that no deletion hides."""
-        gone = self._table("gone", GONE).groupBy("doc_id").agg(F.max("upto").alias("upto"))
+    def _left(self, rows: DataFrame, last: int | None = None) -> DataFrame:
+        """Rows (doc_id, batch, ...) that no deletion hides, or none of those up to a batch."""
+        gone = self._table("gone", GONE)
+        gone = (gone if last is None else gone.where(F.col("batch") <= last)).groupBy("doc_id").agg(F.max("upto").alias("upto"))
         return rows.join(_if_small(gone), "doc_id", "left").where("upto is null or batch > upto").drop("upto")
 
     def frequencies(self) -> DataFrame:
@@ -171,8 +172,49 @@ class StoredIndex:
         hopeful = bounds.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("most") + SLACK >= F.col("floor")))
         return scored(hopeful).withColumn("rank", rank).where(F.col("rank") <= top_k)
 
-    def compact(self, root: str) -> StoredIndex:
-        """An index of what is left, in one batch below another folder; no text is read."""
-        new = StoredIndex(self.spark, root)
-        new._add(self.forward().drop("batch"), 1)
+    def compact(self, root: str, upto: int | None = None) -> StoredIndex:
+        """An index of what is left, of batches up to a number, in one batch of the last one's number below another
+        folder; no text is read."""
+        new, last = StoredIndex(self.spark, root), max((b for b in self.batches() if upto is None or b <= upto), default=1)
+        new._add(self._left(self._table("forward", FORWARD).where(F.col("batch") <= last), last).drop("batch"), last)
         return new
+
+    def follow(self, old: StoredIndex) -> list[int]:
+        """Takes over the batches, additions and deletions, that another index got after this one's last; their numbers."""
+        own, taken = max(self.batches(), default=0), []
+        for batch in (b for b in old.batches() if b > own):
+            gone = old._table("gone", GONE).where(F.col("batch") == batch)
+            if gone.limit(1).count():
+                self.delete(gone.select("doc_id"), batch)
+            else:
+                self._add(old._table("forward", FORWARD).where(F.col("batch") == batch).drop("batch"), batch)
+            taken.append(batch)
+        return taken
+
+
+SWITCHES = "number int, folder string"
+
+
+def current(spark: SparkSession, base: str) -> StoredIndex:
+    """The index that readers and writers of ``base`` use now."""
+    told = read_or_empty(spark, f"{base}/switches", SWITCHES).orderBy(F.desc("number")).limit(1).collect()
+    return StoredIndex(spark, f"{base}/{told[0]['folder'] if told else 'v0'}")
+
+
+def reindex(spark: SparkSession, base: str, between=None) -> StoredIndex:
+    """Builds the index of ``base`` anew from a snapshot and switches to it.
+
+    Batches that come while it is built are taken over before the switch, and once more after it, for those that
+    came between the last look and the switch.  The switch is one small append: it is seen whole or not at all, and
+    a build that died before it leaves the old index in use.  ``between`` is called while the build runs (for tests).
+    """
+    old = current(spark, base)
+    number = (read_or_empty(spark, f"{base}/switches", SWITCHES).agg(F.max("number")).first()[0] or 0) + 1
+    new = old.compact(f"{base}/v{number}", max(old.batches(), default=0))
+    if between is not None:
+        between()
+    while new.follow(old):
+        pass
+    spark.createDataFrame([(number, f"v{number}")], SWITCHES).coalesce(1).write.mode("append").parquet(f"{base}/switches")
+    new.follow(old)
+    return new

@@ -94,10 +94,11 @@ class Engine:
         self._chunks, self._catalog = self._chunks.limit(0), self._catalog.limit(0)
 
     def health(self) -> dict:
-        """Whether the store can be read and a model is at hand."""
+        """Whether the store can be read, and which engines are at hand."""
         try:
             scoped(self.chunks).limit(1).count()
             store = True
         except Exception:
             store = False
-        return {"status": "ok" if store and self.model else "degraded", "store": store, "llm": self.model is not None}
+        engines = {"embedder": self.embed, "reranker": self.reranker, "model": self.model, "segmenter": self.segment}
+        return {"status": "ok" if store and self.model else "degraded", "store": store, "llm": self.model is not None, "engines": {k: e is not None for k, e in engines.items()}}

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.structure import docx_level, merge_body, pdf_level, with_heading_path
+from docmill.functions.structure import captioned, docx_level, list_island, list_text, merge_body, pdf_level, with_heading_path, without_table_text
 from docmill.functions.text import clean_text, format_row, header_names, utrim
 from docmill.operators.catalog import ingest_status, new_files, parser_of
 from docmill.operators.chunking import docx_table, image_text_chunks, pdf_table_chunks, sheet_batches, smart_chunk
-from docmill.operators.layout import is_table_text
+from docmill.operators.layout import is_table_text, kept_images
 
 FILE = ["file_hash", "file_name", "file_path"]
 _OUT = [*FILE, "page", "__at", "__part", "block_type", "heading_level", "heading_path", "table_headers", "text"]
@@ -40,17 +40,12 @@ def docx_chunks(blocks: DataFrame) -> DataFrame:
     own = Window.partitionBy("file_hash").orderBy("ord")
     last_page = F.max("page").over(Window.partitionBy("file_hash"))
     spoken = rows.withColumn("__last", last_page).where("role <> 'blank'")
-    spoken = spoken.withColumns({"__before": F.lag("role").over(own), "__next_page": F.coalesce(F.lead("page").over(own), F.col("__last"))})
-    caption = F.when(F.lag("kind").over(own) == "paragraph", F.lag("text").over(own))
-    spoken = spoken.withColumn("__caption", F.when(caption.rlike(r"(?U)表\s*\d|[Tt]able\s*\d|表\s*[一二三四五六七八九十百]"), caption))
-    starts = (F.col("role") != "list") | (F.coalesce("__before", F.lit("")) != "list")
-    spoken = spoken.withColumns({"__island": F.sum(F.when(starts, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)), "__at": F.col("ord")})
-
-    items = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: F.concat(F.lit("• "), x["text"]))
-    lists = spoken.where("role = 'list'").groupBy(*FILE, "__island").agg(F.min("ord").alias("__at"), F.max_by("__next_page", "ord").alias("page"), F.min_by("heading_path", "ord").alias("heading_path"), F.array_join(items, "\n").alias("text"))
+    spoken = spoken.withColumns({"__next_page": F.coalesce(F.lead("page").over(own), F.col("__last"))})
     table = docx_table(F.col("grid"))
-    tables = spoken.where("role = 'table'").withColumn("__t", table)
-    tables = tables.withColumns({"text": F.when(F.col("__caption").isNotNull(), F.concat(F.lit("["), "__caption", F.lit("]\n"), "__t.text")).otherwise(F.col("__t.text")), "__part": F.lit(0)})
+    spoken = spoken.withColumns({"__captioned": captioned(table["text"], own), "__island": list_island(F.col("role") == "list", own), "__at": F.col("ord")})
+
+    lists = spoken.where("role = 'list'").groupBy(*FILE, "__island").agg(F.min("ord").alias("__at"), F.max_by("__next_page", "ord").alias("page"), F.min_by("heading_path", "ord").alias("heading_path"), list_text("ord").alias("text"))
+    tables = spoken.where("role = 'table'").withColumns({"__t": table, "text": F.col("__captioned"), "__part": F.lit(0)})
     headings = spoken.where("role = 'heading'").withColumn("__part", F.lit(0))
     out = (
         _as_chunks(headings, "heading", level=F.col("level"))
@@ -88,9 +83,9 @@ def pdf_chunks(blocks: DataFrame) -> DataFrame:
     data = F.filter(F.slice("grid", 2, 1_000_000_000), lambda r: F.exists(r, lambda c: utrim(F.coalesce(c, F.lit(""))) != ""))
     rows = rows.withColumn("__headers", F.when((F.col("kind") == "table") & (F.size("grid") >= 2), headers))
     rows = rows.withColumn("__tables", F.when(F.col("__headers").isNotNull(), pdf_table_chunks(F.col("__headers"), F.transform(data, lambda r: format_row(F.col("__headers"), r)))))
-    prefixes = F.array_union(F.array(F.substring(F.array_join("__headers", " | "), 1, 200)), F.transform("__tables", lambda t: F.substring(t, 1, 200)))
-    known = rows.where(F.size("__tables") > 0).select("file_hash", "page", F.explode(prefixes).alias("__prefix")).distinct()
-    rows = rows.withColumn("__prefix", F.when(F.col("kind") == "paragraph", F.substring("text", 1, 200))).join(known, ["file_hash", "page", "__prefix"], "left_anti").drop("__prefix")
+    shown = rows.where(F.size("__tables") > 0).select("file_hash", "page", F.explode(F.array_union(F.array(F.array_join("__headers", " | ")), "__tables")).alias("text"))
+    is_text = F.coalesce((F.col("kind") == "paragraph") & F.col("text").isNotNull(), F.lit(False))
+    rows = without_table_text(rows.where(is_text), shown, ("file_hash", "page")).unionByName(rows.where(~is_text))
     level = F.when(F.col("kind") == "paragraph", pdf_level(F.col("text"), F.coalesce("avg_size", F.lit(12.0)), F.coalesce("is_bold", F.lit(False)))).otherwise(0)
     rows = rows.withColumns({"level": level, "__at": F.struct("page", phase.alias("phase"), "ord")})
     rows = with_heading_path(rows, "file_hash", "__at")
@@ -138,12 +133,15 @@ def extracted(files: DataFrame, catalog: DataFrame, extractors=None, recognise=N
     fresh = new_files(readable.withColumn("arrival", F.col("file_path")), catalog, ("file_hash", "parser"))
     found = extract(fresh, extractors)
     image = F.col("kind") == "image"
+    # Of an image that a page refers to more than once, the first counts; small ones are not read.
+    placed = image & F.col("xref").isNotNull()
+    found = kept_images(found.where(placed), order="ord").unionByName(found.where(~placed))
     if recognise is not None:
         found = found.withColumn("text", F.when(image & F.col("image").isNotNull(), recognise(F.col("image"), F.col("text"))).otherwise(F.col("text")))
     else:
         alone = image & (parser_of(F.col("file_name")) == "image")
         found = found.withColumns({"text": F.when(image, F.lit("")).otherwise(F.col("text")), "error": F.when(alone, F.lit("ocr_unavailable")).otherwise(F.col("error"))})
-    return found.drop("image"), fresh.drop("content")
+    return found.drop("image", "xref", "width", "height"), fresh.drop("content")
 
 
 def chunked(blocks: DataFrame, category: str = "", embed=None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators.catalog import parser_of
-from docmill.schemas import BLOCKS
+from docmill.schemas import BLOCKS, PLACE
 from docmill.workers import map_arrow
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -171,7 +171,7 @@ EXTRACTORS: dict[str, Callable[[bytes], Iterator[Block]]] = {"docx": docx_blocks
 def blocks(files: DataFrame, extractors: dict[str, Callable[[bytes], Iterator[Block]]] | None = None) -> DataFrame:
     """Files -> blocks.  Unsupported files give no row, failing ones a row with their error."""
     known = EXTRACTORS | (extractors or {})
-    schema = pa.schema([(n, pa.list_(pa.list_(pa.string())) if n == "grid" else _ARROW[t]) for n, t in (f.split() for f in BLOCKS.split(", "))])
+    schema = pa.schema([(n, pa.list_(pa.list_(pa.string())) if n == "grid" else _ARROW[t]) for n, t in (f.split() for f in f"{BLOCKS}, {PLACE}".split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,4 +185,4 @@ def blocks(files: DataFrame, extractors: dict[str, Callable[[bytes], Iterator[Bl
                     rows = [head | {"ord": 0, "kind": "error", "error": f"{type(e).__name__}: {e}"[:500]}]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return map_arrow(files.where("parser is not null"), run, BLOCKS)
+    return map_arrow(files.where("parser is not null"), run, f"{BLOCKS}, {PLACE}")

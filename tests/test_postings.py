@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.operators import bm25, postings
-from docmill.operators.postings import StoredIndex, term_counts
+from docmill.operators.postings import StoredIndex, current, reindex, term_counts
 
 
 def corpus(n, seed=3):
@@ -82,6 +82,29 @@ def test_blocks_below_the_floor_are_not_scored(spark, tmp_path, monkeypatch):
     assert seen[-1].select("doc_id").distinct().count() < 40  # of 403
 
 
+def test_reindex_takes_over_what_comes_meanwhile(spark, tmp_path):
+    """Additions and deletions during the build are found after the switch; a build that dies leaves the old index."""
+    base, rows = f"file://{tmp_path}/kb", corpus(60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old = current(spark, base)
+    old.add(df.where("doc_id < 30"))
+    old.delete(spark.createDataFrame([(2,)], "doc_id long"))
+
+    def meanwhile():
+        assert current(spark, base).root == old.root
+        old.add(df.where("doc_id >= 30"))
+        old.delete(spark.createDataFrame([(4,), (31,)], "doc_id long"))
+
+    with pytest.raises(ZeroDivisionError):
+        reindex(spark, base, lambda: 1 / 0)
+    assert current(spark, base).root == old.root
+    new = reindex(spark, base, meanwhile)
+    assert current(spark, base).root == new.root != old.root and new.batches() == [2, 3, 4]
+    same(spark, current(spark, base), [r for r in rows if r[0] not in (2, 4, 31)])
+    current(spark, base).add(spark.createDataFrame([(2, "w1 again")], "doc_id long, text string"))
+    same(spark, reindex(spark, base), [r for r in rows if r[0] not in (2, 4, 31)] + [(2, "w1 again")])
+
+
 def test_nothing_stored(spark, tmp_path):
     index = StoredIndex(spark, str(tmp_path / "none"))
     assert index.batches() == [] and index.search(queries(spark)).collect() == [] and index.statistics() == (0, 0.0)

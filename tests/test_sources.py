@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.plans.ingest import chunk_blocks, ingest, ingest_into
-from docmill.schemas import BLOCKS
+from docmill.schemas import BLOCKS, FILES
 from docmill.sources.files import blocks, docx_blocks, read_files, sheet_blocks
 from docmill.sources.store import Store
 from docmill.streaming.ingest import watch
@@ -127,6 +127,21 @@ def test_pdf_blocks(spark):
     ]
 
 
+def test_images_of_a_page_are_read_once_and_not_when_small(spark, tmp_path):
+    """As a reader of paged files gives them: a repeated reference, a narrow image, one without a size."""
+
+    def pages(data):
+        for ref, width in ((1, 300), (1, 300), (2, 99), (3, 100), (None, None)):
+            yield {"kind": "image", "page": 1, "text": f"image {ref}", "image": b"x", "xref": ref, "width": width, "height": width}
+        yield {"kind": "image", "page": 2, "text": "image 1 again", "image": b"x", "xref": 1, "width": 300, "height": 300}
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pdf").write_bytes(b"data")
+    files = read_files(spark, str(tmp_path / "in"))
+    chunks, _ = ingest(spark, files, spark.createDataFrame([], FILES), "c", extractors={"pdf": pages}, recognise=lambda image, text: text)
+    assert sorted((r.page, r.text) for r in chunks.collect()) == [(1, "image 1"), (1, "image 3"), (1, "image None"), (2, "image 1 again")]
+
+
 def test_stream_skips_copies_and_tries_failures_again(spark, folder):
     store = Store(spark, str(folder / "kb"))
     args = (str(folder / "in"), str(folder / "kb"), str(folder / "ck"))
