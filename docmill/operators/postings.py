@@ -63,9 +63,9 @@ class StoredIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        """The rows of finished batches."""
-        return read_or_empty(self.spark, f"{self.root}/{name}", schema).where(F.col("batch").isin(self.batches()))
+    def _table(self, name: str, schema: str, batches: list[int] | None = None) -> DataFrame:
+        """The rows of finished batches; a caller that reads several tables looks the batches up once."""
+        return read_or_empty(self.spark, f"{self.root}/{name}", schema).where(F.col("batch").isin(self.batches() if batches is None else batches))
 
     def batches(self) -> list[int]:
         """Numbers of the finished batches, ascending."""
@@ -78,19 +78,21 @@ class StoredIndex:
         """(doc_id, dl, terms, batch) of all documents that are not deleted, those without tokens included."""
         return self._left(self._table("forward", FORWARD))
 
-    def _left(self, rows: DataFrame, last: int | None = None) -> DataFrame:
-        """Rows (doc_id, batch, ...) that no deletion hides, or none of those up to a batch."""
-        gone = self._table("gone", GONE)
-        gone = (gone if last is None else gone.where(F.col("batch") <= last)).groupBy("doc_id").agg(F.max("upto").alias("upto"))
-        return rows.join(_if_small(gone), "doc_id", "left").where("upto is null or batch > upto").drop("upto")
+    def _gone(self, batches: list[int] | None = None) -> DataFrame:
+        """(doc_id, upto) of the deletions."""
+        return _if_small(self._table("gone", GONE, batches).groupBy("doc_id").agg(F.max("upto").alias("upto")))
+
+    def _left(self, rows: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+        """Rows (doc_id, batch, ...) that no deletion hides."""
+        return rows.join(self._gone() if gone is None else gone, "doc_id", "left").where("upto is null or batch > upto").drop("upto")
 
     def frequencies(self) -> DataFrame:
         """(term, df) of all documents that are not deleted."""
         return self._table("blocks", BLOCKS).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
-    def statistics(self) -> tuple[int, float]:
+    def statistics(self, batches: list[int] | None = None) -> tuple[int, float]:
         """Number of documents with tokens, and their mean length."""
-        n, tokens = self._table("totals", TOTALS).agg(F.sum("docs"), F.sum("tokens")).first()
+        n, tokens = self._table("totals", TOTALS, batches).agg(F.sum("docs"), F.sum("tokens")).first()
         return n or 0, tokens / n if n else 0.0
 
     def _write(self, rows: DataFrame, table: str, batch: int, *partitions: str) -> None:
@@ -145,11 +147,12 @@ class StoredIndex:
 
     def search(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """Top-k documents of every query (query_id, query): (query_id, doc_id, score, rank), as ``bm25.search`` gives them."""
-        n, mean = self.statistics()
+        batches = self.batches()
+        (n, mean), gone = self.statistics(batches), self._gone(batches)
         key, place = ["bucket", "term"], ["batch", "block"]
         words = queries.select("query_id", F.explode(bm25_tokens("query")).alias("term"))
         terms = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).withColumn("bucket", bucket_of("term"))
-        blocks = self._table("blocks", BLOCKS).join(_if_small(terms.select(*key).distinct()), key, "left_semi")
+        blocks = self._table("blocks", BLOCKS, batches).join(_if_small(terms.select(*key).distinct()), key, "left_semi")
         known = blocks.groupBy(*key).agg(F.sum("df").alias("df")).where("df > 0")
         asked = _if_small(terms.join(known, key).select("query_id", *key, (F.col("qtf") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("w")))
         blocks = blocks.where("block is not null")
@@ -162,7 +165,7 @@ class StoredIndex:
         def scored(chosen: DataFrame) -> DataFrame:
             held = blocks.join(chosen.select("query_id", *place).join(asked, "query_id"), [*key, *place])
             held = held.select("query_id", "batch", "w", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
-            held = self._left(held.select("query_id", "batch", "w", F.col("p.ids").alias("doc_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")))
+            held = self._left(held.select("query_id", "batch", "w", F.col("p.ids").alias("doc_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")), gone)
             return held.groupBy("query_id", "doc_id").agg(F.round(gain("tf", "dl"), 4).alias("score")).where("score > 0")
 
         best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), *place))
@@ -176,7 +179,8 @@ class StoredIndex:
         """An index of what is left, of batches up to a number, in one batch of the last one's number below another
         folder; no text is read."""
         new, last = StoredIndex(self.spark, root), max((b for b in self.batches() if upto is None or b <= upto), default=1)
-        new._add(self._left(self._table("forward", FORWARD).where(F.col("batch") <= last), last).drop("batch"), last)
+        batches = [b for b in self.batches() if b <= last]
+        new._add(self._left(self._table("forward", FORWARD, batches), self._gone(batches)).drop("batch"), last)
         return new
 
     def follow(self, old: StoredIndex) -> list[int]:

@@ -53,10 +53,11 @@ def best_passage(text: str, words: str, most: int):
     return F.array_min(told)
 
 
-def answer(spark: SparkSession, index: StoredIndex, docs: DataFrame, questions: DataFrame, top_k: int, most: int) -> DataFrame:
-    """The hits of all questions."""
+def answer(spark: SparkSession, index: StoredIndex, docs: DataFrame, questions: DataFrame, top_k: int, most: int, staged: str) -> DataFrame:
+    """The hits of all questions; the search runs once, into ``staged``."""
     asked = questions.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = index.search(asked, top_k).join(asked.select("query_id", F.array_distinct(bm25_tokens("query")).alias("words")), "query_id")
+    index.search(asked, top_k).write.mode("overwrite").parquet(staged)
+    found = spark.read.schema("query_id long, doc_id long, score double, rank int").parquet(staged).join(asked.select("query_id", F.array_distinct(bm25_tokens("query")).alias("words")), "query_id")
     held = one_each(docs.join(if_small(found.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id")
     cited = found.join(held, "doc_id").withColumn("best", best_passage("text", "words", most))
     return cited.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score", F.coalesce("source", F.lit("")).alias("source"), F.col("best.chunk").alias("passage"), F.length("text").cast("long").alias("n_chars"), F.when(F.col("lang") != "", F.col("lang")).otherwise("unknown").alias("lang"))
@@ -75,7 +76,7 @@ def run(spark: SparkSession, options: dict) -> DataFrame:
         log.info("read %d new documents of %s; wrote batch %d of %s/index", n, options["documents"], batch, output)
     else:
         log.info("no new documents in %s", options["documents"])
-    answer(spark, index, docs, questions, top_k, most).repartition("lang", "item_id").write.mode("overwrite").partitionBy("lang").parquet(f"{output}/hits")
+    answer(spark, index, docs, questions, top_k, most, f"{output}/found").repartition("lang", "item_id").write.mode("overwrite").partitionBy("lang").parquet(f"{output}/hits")
     hits = read_or_empty(spark, f"{output}/hits", HITS)
     log.info("read %d questions of %s; wrote %d hits to %s/hits", questions.count(), options["questions"], hits.count(), output)
     return hits

@@ -76,7 +76,7 @@ def test_blocks_below_the_floor_are_not_scored(spark, tmp_path, monkeypatch):
     index.add(spark.createDataFrame(rows, "doc_id long, text string"))
     seen = []
     left = index._left
-    monkeypatch.setattr(index, "_left", lambda held: (seen.append(held), left(held))[1])
+    monkeypatch.setattr(index, "_left", lambda held, gone=None: (seen.append(held), left(held, gone))[1])
     found = index.search(spark.createDataFrame([(1, "rare common")], "query_id long, query string"), 3)
     assert {r.doc_id for r in found.collect()} == {500, 501, 502}
     assert seen[-1].select("doc_id").distinct().count() < 40  # of 403
