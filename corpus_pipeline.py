@@ -74,7 +74,7 @@ STAGES = [
     ("byte_bpe", byte_bpe_stage),
 ]
 
-#: SQL can express neither the nearest examples nor the tilings; tests hold the stages against brute force.
+#: SQL can express neither the nearest examples nor the tilings; a test holds all rows of ``run`` against brute force.
 ORACLE_SQL = None
 
 

@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +58,67 @@ def test_stages(spark, folder):
     assert last.count() == len(ids["personal_data"]) and last.where(F.size("ids") != F.col("n_tokens")).count() == 0
 
 
-def test_run_is_the_stages(spark, folder):
+def plain_run(spark, at):
+    """All rows of the pipeline, by plain Python over lists: every stage's brute force on what the one before it kept."""
+    import hashlib
+    import zlib
+
+    from docmill.llm import toxicity
+    from tests.llm.test_bpe import TOKENS, public_tokenizers, tiktoken
+    from tests.llm.test_decontaminate import brute_tiles
+    from tests.llm.test_jaccard import brute as linked
+    from tests.llm.test_pii import brute as spans
+    from tests.llm.test_toxicity import folded, plain_scores
+
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    rows, names = [tuple(r) for r in docs.collect()], docs.columns
+    value = lambda r, c: r[names.index(c)]
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{at}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    model = toxicity.fit(docs, spark.read.parquet(f"{at}/labels.parquet"), learn_from=~toxicity.in_fold())
+    examples = sorted(((value(r, "doc_id"), value(r, "text") or "", toxic[value(r, "doc_id")]) for r in rows if value(r, "doc_id") in toxic))
+    scores = plain_scores(model, [value(r, "text") or "" for r in rows], [e[1:] for e in examples])
+    rows = [r for r, s in zip(rows, scores, strict=True) if s < 0.3]
+
+    named = [(value(r, "doc_id"), value(r, "text")) for r in rows if value(r, "doc_id") is not None]
+    least = {(d, t): c for (d, t), c in zip(named, classes(linked, named), strict=True)}
+    kept, seen = [], set()
+    for r in rows:
+        key = (value(r, "doc_id"), value(r, "text"))
+        if key[0] is None or least[key] == key[0] and key not in seen:
+            kept.append(r)
+        seen.add(key)
+    items = [folded(r.text) for r in spark.read.parquet(f"{at}/benchmark.parquet").collect()]
+    windows = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    holds = lambda w, item: bool(windows(w) & windows(item)) and 2 * brute_tiles(item, w, 5) >= len(item)
+    rows = [r for r in kept if not any(holds(folded(value(r, "text") or ""), item) for item in items)]
+
+    encoding, out = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(TOKENS)}, special_tokens={}), []
+    for r in rows:
+        text, told, place = value(r, "text"), "", 0
+        found = sorted((start, -end, kind) for kind, start, end in spans(text or ""))
+        for start, end, kind in found:
+            if start >= place:
+                told += f"{text[place:start]}[{kind.upper()}]"
+            place = max(place, -end)
+        told = told + text[place:] if found else text or ""
+        ids = np.array(encoding.encode_ordinary(told), "<u4")
+        other = {c: value(r, c) for c in names if c != "text"} | ({"n_chars": len(told)} if found else {})
+        out.append(tuple(other[c] for c in names if c != "text") + (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(told.encode()).hexdigest()))
+    return out
+
+
+def classes(linked, rows):
+    """The class of each row, from the brute force that counts (id, class, links)."""
+    by = {}
+    for (d, c, _), n in linked(rows).items():
+        by.setdefault(d, []).extend([c] * n)
+    return [min(by[d]) for d, _ in rows]
+
+
+def test_run_gives_all_rows_of_brute_force(spark, folder):
     at, _ = folder
     out = corpus_pipeline.run(spark, at)
-    assert {1000, 1004} <= {r.doc_id for r in out.select("doc_id").collect()} and "ids_sha256" in out.columns
+    names = [c for c in spark.read.parquet(f"{at}/documents.parquet").columns if c != "text"] + ["n_tokens", "ids_sha256", "decoded_sha256"]
+    got = [tuple(r) for r in out.select(*names).collect()]
+    want = plain_run(spark, at)
+    assert Counter(got) == Counter(want) and len(got) > 200

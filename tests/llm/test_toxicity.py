@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from docmill.llm.toxicity import BlockMaxIndex, Vectors, fit, in_fold, op2_toxicity, score
+from docmill.llm.toxicity import LIFT, NEIGHBOURS, SHARE, BlockMaxIndex, Vectors, _logit, fit, in_fold, op2_toxicity, score
 
 
 def rows_of(vectors, kind=float):
@@ -80,6 +80,76 @@ def corpus(spark, n=600, seed=1):
     return df.select("doc_id", "text"), df.select("doc_id", "toxic")
 
 
+def marked(text):
+    """Words and their marked beginnings, with repeats."""
+    return [t for w in folded(text) for t in (w, *(b"^" + w[:n] for n in (4, 5) if len(w) > n))]
+
+
+def raised(examples):
+    """Terms that toxic texts (text, toxic) hold beyond chance, by plain counting over distinct texts."""
+    by_text = {}
+    for text, toxic in examples:
+        by_text[text] = max(toxic, by_text.get(text, 0))
+    total = {k: sum(x == k for x in by_text.values()) for k in (0, 1)}
+    held = {k: Counter(t for text, x in by_text.items() if x == k for t in set(marked(text))) for k in (0, 1)}
+    every, out = set(held[0]) | set(held[1]), set()
+    part = lambda o, e: o * math.log(o / e) if o > 0 else 0.0
+    for t in every:
+        a, b = held[1][t], held[0][t]
+        share = (a + b) / (total[0] + total[1])
+        g = 2 * (part(a, share * total[1]) + part(b, share * total[0]) + part(total[1] - a, (1 - share) * total[1]) + part(total[0] - b, (1 - share) * total[0]))
+        if a >= 2 and a * total[0] >= LIFT * b * total[1] and g >= 2 * math.log(max(len(every) + 1, 2)):
+            out.add(t)
+    return out
+
+
+def plain_neighbours(texts, examples):
+    """Nearest distinct examples (text, toxic) of every text, by sums over dictionaries: [(cosine, number of the example)]."""
+    told, words = raised(examples), {w for t, _ in examples for w in folded(t)}
+    df = Counter(t for text in texts for t in set(marked(text)))
+    idf = lambda t: math.log((1 + len(texts)) / (1 + (df[t] if t in told or t in words else min(1, len(texts))))) + 0.01
+
+    def vector(text):
+        counts = Counter(folded(text))
+        plain = {(w, False): (1 + math.log(n)) * idf(w) for w, n in counts.items()}
+        telling = {(t, True): (1 + math.log(n)) * idf(t) for t, n in Counter(marked(text)).items() if t in told}
+        squares = [sum(x * x for x in v.values()) for v in (plain, telling)]
+        shares = [1 - SHARE, SHARE] if squares[1] else [1.0, 0.0]
+        return {k: x * math.sqrt(share / square) for v, share, square in zip((plain, telling), shares, squares, strict=True) if square for k, x in v.items()}
+
+    own, seen = [], set()
+    for text, _ in examples:
+        if (key := tuple(sorted(Counter(folded(text)).items()))) and key not in seen:
+            seen.add(key)
+            own.append(vector(text))
+    out = []
+    for text in texts:
+        v = vector(text)
+        sums = ((sum(x * e[k] for k, x in v.items() if k in e), i) for i, e in enumerate(own))
+        out.append(sorted(((s, i) for s, i in sums if s > 0), key=lambda x: (-x[0], x[1]))[:NEIGHBOURS])
+    return out
+
+
+def plain_scores(model, texts, examples):
+    """Scores from plain neighbours, by the model's vote and curve."""
+    a, b = model.curve
+    return [1 / (1 + math.exp(-max(-30.0, min(30.0, a * _logit(model.vote(top)[0]) + b)))) if top else model.base for top in plain_neighbours(texts, examples)]
+
+
+def test_weighted_neighbours_and_scores_equal_brute_force(spark):
+    """Indicative terms chosen by plain counts, weighted vectors in dictionaries, all pairs compared."""
+    docs, labels = corpus(spark, 240, seed=7)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    toxic = [r.toxic for r in labels.orderBy("doc_id").collect()]
+    examples = [(t, x) for i, (t, x) in enumerate(zip(texts, toxic, strict=True)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = fit(docs, labels, learn_from=~in_fold())
+    assert set(model.features.told) == raised(examples) and raised(examples)
+    for got, want in zip(model.index.top(model.vectors(texts), NEIGHBOURS), plain_neighbours(texts, examples), strict=True):
+        assert np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-5)
+    found = {r.doc_id: r.score for r in score(spark, docs, model).collect()}
+    assert np.allclose([found[i] for i in range(len(texts))], plain_scores(model, texts, examples), atol=1e-3)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = corpus(spark)
     model = fit(docs, labels, learn_from=~in_fold())
