@@ -57,23 +57,34 @@ def pdf_level(text: Column, size: Column, bold: Column) -> Column:
     return F.when(spoken > 0, spoken).otherwise(F.coalesce(visual, F.lit(0)))
 
 
-def with_heading_path(blocks: DataFrame, key: str, order: str, level: str = "level", text: str = "text") -> DataFrame:
+def with_heading_path(blocks: DataFrame, key: str, order: str, level: str = "level", text: str = "text", part: Column | None = None) -> DataFrame:
     """Adds ``heading_path``: the headings that a row stands under, itself included.
 
     A heading of level L is in force if none of a level below L has come since, so the
     path is nine running "last heading of level L" windows over one sort; no fold.
+
+    ``part`` cuts long files: an expression that never falls along ``order`` (a line number over
+    10,000).  Then windows run within parts, and each part takes over the last headings of the parts
+    before it, which are one row a part; so no file is a single window.
     """
-    window = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    last = {n: F.last(F.when(F.col(level) == n, F.struct(F.col(order).alias("at"), F.col(text).alias("text"))), ignorenulls=True).over(window) for n in range(1, MAX_LEVEL + 1)}
-    out = blocks.withColumns({f"__h{n}": c for n, c in last.items()})
+    levels, place = range(1, MAX_LEVEL + 1), [key] if part is None else [key, "__part_no"]
+    rows = blocks if part is None else blocks.withColumn("__part_no", part)
+    heading = {n: F.when(F.col(level) == n, F.struct(F.col(order).alias("at"), F.col(text).alias("text"))) for n in levels}
+    window = Window.partitionBy(*place).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"__h{n}": F.last(h, ignorenulls=True).over(window) for n, h in heading.items()})
+    if part is not None:
+        ends = rows.groupBy(*place).agg(*(F.max(h).alias(f"__e{n}") for n, h in heading.items()))
+        before = Window.partitionBy(key).orderBy("__part_no").rowsBetween(Window.unboundedPreceding, -1)
+        taken = ends.select(*place, *(F.last(f"__e{n}", ignorenulls=True).over(before).alias(f"__t{n}") for n in levels))
+        out = out.join(taken, place).withColumns({f"__h{n}": F.coalesce(f"__h{n}", f"__t{n}") for n in levels}).drop("__part_no", *(f"__t{n}" for n in levels))
 
     def in_force(n: int) -> Column:
         own = F.col(f"__h{n}")
         lower = [F.coalesce(own["at"] > F.col(f"__h{m}")["at"], F.lit(True)) for m in range(1, n)]
         return F.when(reduce(lambda a, b: a & b, lower, own.isNotNull()), own["text"])
 
-    path = F.array_join(F.filter(F.array(*(in_force(n) for n in range(1, MAX_LEVEL + 1))), lambda t: t.isNotNull()), " > ")
-    return out.withColumn("heading_path", path).drop(*(f"__h{n}" for n in range(1, MAX_LEVEL + 1)))
+    path = F.array_join(F.filter(F.array(*(in_force(n) for n in levels)), lambda t: t.isNotNull()), " > ")
+    return out.withColumn("heading_path", path).drop(*(f"__h{n}" for n in levels))
 
 
 def docx_page(nth: Column) -> Column:

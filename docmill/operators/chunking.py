@@ -113,11 +113,19 @@ def docx_table(grid: Column) -> Column:
 
 def expand_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Cells (sheet, row, col, value) with every cell of a merged range (sheet, r1, c1, r2, c2)
-    filled from the range's first cell.  A range join by containment; the ranges, exploded to
-    cells, make it an equi-join."""
-    spread = ranges.withColumn("row", F.explode(F.sequence("r1", "r2"))).withColumn("col", F.explode(F.sequence("c1", "c2")))
-    firsts = cells.select(F.col("sheet"), F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("value").alias("__first"))
-    filled = spread.join(firsts, ["sheet", "r1", "c1"], "left").groupBy("sheet", "row", "col").agg(F.max(F.struct("r1", "c1", F.coalesce("__first", F.lit("")).alias("v"))).alias("__m"))
+    filled from the range's first cell; of ranges that overlap, the one that begins last counts.
+
+    An interval join by spans of rows: a range of up to 2^n rows touches two spans of 2^n at most, and a
+    cell looks into its span at each height that its sheet's ranges have.  Ranges of any size are two rows.
+    """
+    firsts = cells.select("sheet", F.col("row").alias("r1"), F.col("col").alias("c1"), F.coalesce("value", F.lit("")).alias("__first")).dropDuplicates(["sheet", "r1", "c1"])
+    height = F.ceil(F.log2(F.col("r2") - F.col("r1") + 1)).cast("int")
+    span = lambda row: F.floor(F.col(row) / F.pow(F.lit(2.0), "__height")).cast("long")
+    held = ranges.where("r1 <= r2 and c1 <= c2").join(firsts, ["sheet", "r1", "c1"], "left").withColumn("__height", height)
+    spans = held.withColumn("__span", F.explode(F.array_distinct(F.array(span("r1"), span("r2")))))
+    asked = cells.select("sheet", "row", "col").distinct().join(held.select("sheet", "__height").distinct(), "sheet").withColumn("__span", span("row"))
+    found = asked.join(spans, ["sheet", "__height", "__span"]).where("row between r1 and r2 and col between c1 and c2")
+    filled = found.groupBy("sheet", "row", "col").agg(F.max(F.struct("r1", "c1", F.coalesce("__first", F.lit("")).alias("v"))).alias("__m"))
     return cells.join(filled, ["sheet", "row", "col"], "left").select("sheet", "row", "col", F.coalesce("__m.v", "value", F.lit("")).alias("value"))
 
 

@@ -181,6 +181,23 @@ def heading_path(spark, sf_dir):
     return st.with_heading_path(frame(spark, sf_dir, "outline"), "doc", "ord").select("doc", "ord", "heading_path")
 
 
+_AT = "CASE WHEN level = {0} THEN {{'place': place, 'text': text}} END"
+_LAST = ", ".join(f"last_value({_AT.format(n)} IGNORE NULLS) OVER w AS h{n}" for n in range(1, 5))
+_IN_FORCE = ", ".join(f"CASE WHEN h{n} IS NOT NULL{''.join(f' AND coalesce(h{n}.place > h{m}.place, TRUE)' for m in range(1, n))} THEN h{n}.text END" for n in range(1, 5))
+
+
+@query(
+    f"""WITH l AS (SELECT doc * 100000 + ord AS place, level, text FROM {fixture("outline")}),
+  h AS (SELECT place, {_LAST} FROM l WINDOW w AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT place, md5(array_to_string(list_filter([{_IN_FORCE}], lambda t: t IS NOT NULL), ' > ')) AS heading_path FROM h"""
+)
+def heading_path_one_file(spark, sf_dir):
+    """All lines of all documents as one file, cut into parts."""
+    lines = frame(spark, sf_dir, "outline").select(F.lit(0).alias("file"), (F.col("doc") * 100_000 + F.col("ord")).alias("place"), "level", "text")
+    told = st.with_heading_path(lines, "file", "place", part=F.floor(F.col("place") / 5_000_000))
+    return told.select("place", F.md5("heading_path").alias("heading_path"))
+
+
 @query(
     f"""WITH kept AS (SELECT *, kind = 'list' AS l FROM {fixture("paragraphs")} WHERE kind <> 'blank'),
   marked AS (SELECT *, CASE WHEN l AND coalesce(lag(l) OVER (PARTITION BY doc ORDER BY ord), FALSE) THEN 0 ELSE 1 END AS b FROM kept),
