@@ -11,22 +11,44 @@ CHUNK, OCR_WINDOW, OCR_STEP, PDF_WINDOW, SHEET_ROWS = 1200, 4, 2, 30, 50
 _ENDS = "[。！？；\n]"
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, where an expression named within a lambda is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pack(units: Column, most: int, joiner: str) -> Column:
     """Packs texts greedily up to ``most`` characters (joiners don't count); on overflow the
-    last unit is carried into the next pack, and a carried unit may exceed the bound."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("out"), empty.alias("held"), F.lit(0).alias("n"))
+    last unit is carried into the next pack, and a carried unit may exceed the bound.
+
+    A fold notes where packs end (each begins with the last unit of the one before), and texts are joined
+    from these places afterwards.  Spark copies an accumulator at every step, so the fold runs over blocks
+    of the square root of the units' number, and what a block notes is appended once.
+    """
+    none = F.array().cast("array<int>")
 
     def step(a: Column, u: Column) -> Column:
-        over = (a["n"] + F.length(u) > most) & (F.size(a["held"]) > 0)
-        carried = F.slice(a["held"], -1, 1)
-        return F.struct(
-            F.when(over, F.concat(a["out"], F.array(F.array_join(a["held"], joiner)))).otherwise(a["out"]).alias("out"),
-            F.concat(F.when(over, carried).otherwise(a["held"]), F.array(u)).alias("held"),
-            (F.when(over, F.length(F.element_at(a["held"], -1))).otherwise(a["n"]) + F.length(u)).alias("n"),
-        )
+        over = (a["at"] > 0) & (a["n"] + F.length(u) > most)
+        n, ends = F.when(over, a["last"]).otherwise(a["n"]), F.when(over, F.concat(a["ends"], F.array(a["at"]))).otherwise(a["ends"])
+        return F.struct((a["at"] + 1).alias("at"), (n + F.length(u)).alias("n"), F.length(u).alias("last"), ends.alias("ends"))
+
+    def ends(given: Column, size: Column) -> Column:
+        def block(a: Column, k: Column) -> Column:
+            own = F.aggregate(F.slice(given, k * size + 1, size), F.struct(*(a[f].alias(f) for f in ("at", "n", "last")), none.alias("ends")), step)
+            return bound(own, lambda b: F.struct(*(b[f].alias(f) for f in ("at", "n", "last")), F.concat(a["ends"], b["ends"]).alias("ends")))
 
-    return F.aggregate(units, start, step, lambda a: F.when(F.size(a["held"]) > 0, F.concat(a["out"], F.array(F.array_join(a["held"], joiner)))).otherwise(a["out"]))
+        start = F.struct(*(F.lit(0).alias(f) for f in ("at", "n", "last")), none.alias("ends"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(given) - 1) / size).cast("int"))
+        return F.aggregate(blocks, start, block, lambda a: F.concat(a["ends"], F.array(a["at"])))
+
+    def text(given: Column, begin: Column, end: Column) -> Column:
+        return F.array_join(F.slice(given, begin + 1, end - begin), joiner)
+
+    def texts(given: Column) -> Column:
+        at = bound(F.ceil(F.sqrt(F.size(given))).cast("int"), lambda size: ends(given, size))
+        packs = bound(at, lambda e: F.transform(e, lambda end, i: text(given, F.when(i == 0, 0).otherwise(F.get(e, i - 1) - 1), end)))
+        return F.when(F.size(given) == 0, F.array().cast("array<string>")).otherwise(packs)
+
+    return bound(units, texts)
 
 
 def smart_chunk(text: Column, most: int = CHUNK) -> Column:
@@ -47,11 +69,6 @@ def row_windows(rows: Column, size: int, step: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(rows, s + 1, F.lit(size)).alias("rows")))
 
 
-def bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, where an expression named within a lambda is computed again for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ocr_table_chunks(text: Column, size: int = OCR_WINDOW, step: int = OCR_STEP) -> Column:
     """Windows of table lines, the first two lines on each; a small table stays whole."""
     lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]", -1), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: x != "")
