@@ -10,6 +10,7 @@ from docmill.functions.text import clean_text, format_row, header_names, utrim
 from docmill.operators.catalog import ingest_status, new_files, parser_of
 from docmill.operators.chunking import docx_table, image_text_chunks, pdf_table_chunks, sheet_batches, smart_chunk
 from docmill.operators.layout import is_table_text, kept_images
+from docmill.sources.embeddings import EmbeddingCache
 
 FILE = ["file_hash", "file_name", "file_path"]
 _OUT = [*FILE, "page", "__at", "__part", "block_type", "heading_level", "heading_path", "table_headers", "text"]
@@ -145,8 +146,11 @@ def extracted(files: DataFrame, catalog: DataFrame, extractors=None, recognise=N
 
 
 def chunked(blocks: DataFrame, category: str = "", embed=None) -> DataFrame:
-    """Chunks of blocks as the store takes them, embedded if there is an embedder."""
+    """Chunks of blocks as the store takes them, embedded if there is an embedder: a function of a column, or
+    an ``EmbeddingCache``, whose model sees only texts that no earlier batch had."""
     chunks = chunk_blocks(blocks).withColumns({"category": F.lit(category), "table_headers": F.array_join("table_headers", "|")})
+    if isinstance(embed, EmbeddingCache):
+        return embed.added(chunks)
     return chunks if embed is None else chunks.withColumn("embedding", embed(F.col("text")))
 
 

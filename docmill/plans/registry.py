@@ -16,6 +16,7 @@ from docmill.operators.postings import StoredIndex
 from docmill.operators.vectors import VectorIndex
 from docmill.plans.fixtures import CHUNKS_SQL, FILES_SQL, chunks, documents, files, frame
 from docmill.plans.fixtures import sql as fixture
+from docmill.sources.embeddings import EmbeddingCache
 from docmill.sources.tables import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -525,6 +526,20 @@ def embed_normalize(spark, sf_dir):
     return v.select("id", F.round(retrieval.dot(F.col("v"), F.col("v")), 4).alias("norm"), F.round(F.col("v")[0], 4).alias("first"))
 
 
+_COUNTS = "length(coalesce(text, '')) AS n_chars, len(regexp_extract_all(coalesce(text, ''), 'th')) AS n_th"
+
+
+@query(f"SELECT 'document' AS kind, doc_id AS id, {_COUNTS} FROM documents UNION ALL SELECT 'turn' AS kind, conv_id AS id, {_COUNTS} FROM conversations")
+def embed_cached(spark, sf_dir):
+    """Documents, then turns of conversations, through one cache of vectors; the vectors count characters, for SQL to say."""
+    counted = lambda t: F.array(F.length(t), F.size(F.regexp_extract_all(t, F.lit("th"), F.lit(0))))
+    cache = EmbeddingCache(spark, new_dir(spark, "embeddings"), "counts-1", counted)
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), "text")
+    rows = cache.added(own).unionByName(cache.added(turns))
+    return rows.select("kind", "id", *(F.col("embedding")[i].cast("long").alias(n) for i, n in enumerate(("n_chars", "n_th"))))
+
+
 def _vector_index(spark, sf_dir) -> VectorIndex:
     """An index of all vectors in a folder of its own."""
     return VectorIndex(spark, new_dir(spark, "vectors")).build(spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.plans.ingest import chunk_blocks, ingest, ingest_into
 from docmill.schemas import BLOCKS, FILES
+from docmill.sources.embeddings import EmbeddingCache
 from docmill.sources.files import blocks, docx_blocks, read_files, sheet_blocks
 from docmill.sources.store import Store
 from docmill.streaming.ingest import watch
@@ -184,6 +185,19 @@ def test_a_batch_run_again_replaces_itself(spark, folder):
     assert store.chunks().count() == n
 
 
+def test_files_through_a_cache_of_vectors(spark, folder):
+    """The model sees what an earlier batch had not; the chunks are those of a plain embedder."""
+    files, plain = read_files(spark, str(folder / "in")), lambda t: F.array(F.length(t).cast("float"))
+    cache = EmbeddingCache(spark, str(folder / "vectors"), "lengths", plain)
+    key = lambda store: sorted((r.file_hash, r.chunk_index, r.text, tuple(r.embedding)) for r in store.chunks().collect())
+    stores = [Store(spark, str(folder / n)) for n in ("kb", "kb2", "kb3")]
+    ingest_into(stores[0], files, "cat", embed=plain)
+    ingest_into(stores[1], files, "cat", embed=cache)
+    refused = EmbeddingCache(spark, str(folder / "vectors"), "lengths", lambda t: F.array(F.raise_error(t)))
+    ingest_into(stores[2], files, "cat", embed=refused)  # every vector is there
+    assert key(stores[0]) == key(stores[1]) == key(stores[2]) != []
+
+
 def test_store(spark, folder):
     store = Store(spark, str(folder / "kb"))
     assert store.files().count() == 0 and store.chunks().count() == 0
