@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from docmill.plans.ingest import chunk_blocks, ingest, ingest_into
+from docmill.plans.ingest import chunk_blocks, chunked, ingest, ingest_into
 from docmill.schemas import BLOCKS, FILES
 from docmill.sources.embeddings import EmbeddingCache
 from docmill.sources.files import blocks, docx_blocks, read_files, sheet_blocks
@@ -185,17 +185,15 @@ def test_a_batch_run_again_replaces_itself(spark, folder):
     assert store.chunks().count() == n
 
 
-def test_files_through_a_cache_of_vectors(spark, folder):
-    """The model sees what an earlier batch had not; the chunks are those of a plain embedder."""
-    files, plain = read_files(spark, str(folder / "in")), lambda t: F.array(F.length(t).cast("float"))
-    cache = EmbeddingCache(spark, str(folder / "vectors"), "lengths", plain)
-    key = lambda store: sorted((r.file_hash, r.chunk_index, r.text, tuple(r.embedding)) for r in store.chunks().collect())
-    stores = [Store(spark, str(folder / n)) for n in ("kb", "kb2", "kb3")]
-    ingest_into(stores[0], files, "cat", embed=plain)
-    ingest_into(stores[1], files, "cat", embed=cache)
-    refused = EmbeddingCache(spark, str(folder / "vectors"), "lengths", lambda t: F.array(F.raise_error(t)))
-    ingest_into(stores[2], files, "cat", embed=refused)  # every vector is there
-    assert key(stores[0]) == key(stores[1]) == key(stores[2]) != []
+def test_chunks_through_a_cache_of_vectors(spark, tmp_path):
+    """The model sees what an earlier batch had not; every chunk gets its text's vector."""
+    rows = [("h", "a.png", "/a.png", 1, i, "image", t, None, None, None, None, None, None, None) for i, t in enumerate(["words of one", "words of two", "words of one"])]
+    found = spark.createDataFrame(rows, BLOCKS)
+    cache = EmbeddingCache(spark, f"{tmp_path}/vectors", "lengths", lambda t: F.array(F.length(t), F.ascii(t)))
+    got = chunked(found, "cat", cache).select("text", "embedding").collect()
+    assert len(got) == 3 and all(r.embedding == [len(r.text), ord(r.text[0])] for r in got)
+    refused = EmbeddingCache(spark, f"{tmp_path}/vectors", "lengths", lambda t: F.array(F.raise_error(t)))
+    assert refused.fill(chunked(found, "cat")) == 0
 
 
 def test_store(spark, folder):
