@@ -66,3 +66,39 @@ def test_edges(spark, tmp_path, monkeypatch, block):
     assert vector_search(rows.where("id is not null and size(embedding) = 2"), [1.0, 0.0], 9).where("id = 3").count() == 0
     empty = VectorIndex(spark, str(tmp_path / "empty")).build(rows.limit(0))
     assert empty.search(asked, 3).collect() == []
+
+
+def by_columns(rows, asked, k):
+    """Every pair scored by the column expression ``cosine``."""
+    from pyspark.sql import Window
+
+    from docmill.operators.retrieval import cosine
+
+    pairs = rows.crossJoin(asked).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 4).alias("score")).where("score is not null")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return sorted(map(repr, map(tuple, pairs.withColumn("rank", rank).where(F.col("rank") <= k).collect())))
+
+
+@pytest.mark.parametrize("pairs", [10**6, 7])
+def test_many_queries_are_scored_in_matrices_with_the_rows_of_the_columns(spark, monkeypatch, pairs):
+    """Ties, copies, zero and null vectors, several lengths, numbers out of range; no pair passes through a join."""
+    from docmill.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "PAIRS", pairs)
+    r = np.random.default_rng(5)
+    data = [list(map(float, v)) for v in r.integers(-2, 3, size=(60, 3))] + [[1.0, 2.0, 3.0]] * 30
+    odd = [[1.0, None, 2.0], None, [], [1.0, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 1.0], [1e-200] * 3, [1e200] * 3]
+    rows = spark.createDataFrame([*enumerate(data + odd), (None, [1.0, 2.0, 3.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([*((f"q{i}", v) for i, v in enumerate(data[:20] + odd)), (None, [1.0, 0.0, 0.0])], "query_id string, query_vector array<double>")
+    found = vector_search_many(rows, asked, 4)
+    assert sorted(map(repr, map(tuple, found.select("query_id", "id", "score", "rank").collect()))) == by_columns(rows, asked, 4)
+    assert vector_search_many(rows, asked.limit(0), 4).collect() == [] == vector_search_many(rows.limit(0), asked, 4).collect()
+    assert not any(j in found._jdf.queryExecution().optimizedPlan().toString() for j in ("Join Cross", "zip_with"))
+
+
+def test_rounding_is_that_of_the_columns(spark):
+    from docmill.operators.retrieval import half_up
+
+    x = np.append(np.arange(-2000, 2000) / 2e4, np.random.default_rng(1).normal(size=2000))
+    told = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(F.round("x", 4)).collect()]
+    assert (half_up(x) / 1e4).tolist() == told
