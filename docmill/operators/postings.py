@@ -13,27 +13,41 @@ A batch counts once its totals are there, which are written last; a batch that i
 again replaces itself.  A deletion is a batch of its own, whose block rows hold no documents
 but lower the terms' frequencies, so statistics are those of an index of what is left.
 
-A search reads block bounds first.  The most promising blocks of a query are scored; their
-k-th best score is a floor, and only blocks whose terms' bounds together reach it are
-scored at all.  The result is exact.  There is one writer at a time.
+A search of few queries reads block bounds first.  The most promising blocks of a query are
+scored; their k-th best score is a floor, and only blocks whose terms' bounds together reach
+it are scored at all.  Many queries over many blocks reach nearly all of them: their terms'
+rows then meet by block in one shuffle, and each task scores its blocks and keeps the best
+of every query.  Both results are exact.  There is one writer at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from docmill.functions.text import bm25_tokens
 from docmill.operators.bm25 import K1, B
 from docmill.operators.chunking import bound
-from docmill.sources.tables import if_small, read_or_empty
+from docmill.operators.retrieval import half_up
+from docmill.sources.tables import if_small, new_dir, read_or_empty
+from docmill.workers import ROWS, map_arrow
 
 BUCKETS = 64  # partitions of the terms
 BLOCK = 64  # documents of a block, on average
-SLICE = 1_000_000  # documents of a batch for each file of a bucket
+SLICE = 32_768  # documents of a batch for each task, and so for each file of a bucket; a small batch has up to
+TASKS, LEAST = 48, 8192  # so many tasks of so many documents at least
 FIRST = 4  # blocks of a query that are scored for its floor, at least
 SMALL = 1_000_000  # rows (ids, or a query's terms) that may be broadcast; beyond them joins shuffle
 SLACK = 0.001  # scores are rounded to four places
+FEW = 100_000  # pairs of a query and a block, up to which blocks are chosen by their bounds
+TRIPLES, CELLS = 2_000_000, 4_000_000  # terms of pairs, and pairs of a query and a document, that a task holds at once
 
 BLOCKS = "term string, block int, ids array<long>, tfs array<long>, dls array<long>, df long, most_tf long, least_dl long, batch int, bucket int"
 FORWARD = "doc_id long, dl long, terms array<struct<term:string,tf:bigint>>, batch int"
@@ -51,6 +65,138 @@ def term_counts(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, bound(F.array_sort(tokens), runs))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tokens) -> (doc_id, dl, terms): what ``term_counts`` gives, by grouping all tokens of a batch."""
+    for batch in batches:
+        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        counts = pa.table({"row": row, "term": batch.column(1).flatten()}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).sort_by([("row", "ascending"), ("term", "ascending")])
+        ends = np.append(0, np.cumsum(np.bincount(counts["row"].to_numpy(), minlength=len(sizes)))).astype(np.int32)
+        told = pa.StructArray.from_arrays([counts["term"].combine_chunks().cast(pa.string()), counts["count_all"].combine_chunks().cast(pa.int64())], ["term", "tf"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), told, mask=pa.array(sizes == 0))], names=["doc_id", "dl", "terms"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc_id, dl, block, terms, tfs) in the order of their blocks -> block rows, without bucket.
+
+    The last block of a batch waits for the next one, unless too many rows wait: a block in two rows stays right."""
+
+    def rows(docs: pa.Table) -> Iterator[pa.RecordBatch]:
+        docs = docs.sort_by([("doc_id", "ascending"), ("dl", "ascending")]).combine_chunks()
+        at = pa.array(np.repeat(np.arange(len(docs)), pc.list_value_length(docs["terms"]).to_numpy()))
+        flat = pa.table({"block": docs["block"].take(at), "term": pc.list_flatten(docs["terms"]), "ids": docs["doc_id"].take(at), "tfs": pc.list_flatten(docs["tfs"]), "dls": docs["dl"].take(at)})
+        told = flat.group_by(["block", "term"], use_threads=False).aggregate([("ids", "list"), ("tfs", "list"), ("dls", "list"), ([], "count_all"), ("tfs", "max"), ("dls", "min")])
+        yield from told.select(["term", "block", "ids_list", "tfs_list", "dls_list", "count_all", "tfs_max", "dls_min"]).rename_columns(["term", "block", "ids", "tfs", "dls", "df", "most_tf", "least_dl"]).to_batches(max_chunksize=10_000)
+
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column(2).to_numpy()
+        whole = int(np.searchsorted(block, block[-1]))
+        if whole or (waiting and waiting[-1].column(2)[-1].as_py() != block[0]) or len(waiting) > 4:
+            yield from rows(pa.Table.from_batches([*waiting, batch.slice(0, whole)]))
+            waiting = []
+        waiting.append(batch.slice(whole))
+    if waiting:
+        yield from rows(pa.Table.from_batches(waiting))
+
+
+def _best(mean: float, top_k: int, gone: tuple[np.ndarray, np.ndarray] | None, kind: pa.DataType):
+    """Block rows (batch, block, ids, tfs, dls, queries, weights), those of a block one after another -> (query_id, doc_id, score, batch).
+
+    With ``gone`` (ids ascending, and the batch up to which each is hidden) the task's best of each query that are left;
+    without it every pair, for a join to say which are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict = {}  # of the queries
+        floor = np.zeros(0)  # the k-th best score so far, in ten-thousandths
+        held: list[np.ndarray] = [np.empty(0, t) for t in (np.int64, np.float64, np.int64, np.int64)]  # query, score, document, batch
+        fresh: list[list[np.ndarray]] = []
+
+        def kept() -> list[np.ndarray]:
+            q, score, doc, batch = (np.concatenate(c) for c in zip(held, *fresh))
+            if gone is None:
+                return [q, score, doc, batch]
+            points = half_up(score)
+            order = np.lexsort((doc, -points, q))
+            order = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < top_k]
+            first = np.searchsorted(q[order], np.arange(len(floor)))
+            last = np.searchsorted(q[order], np.arange(len(floor)), "right")
+            full = np.flatnonzero(last - first >= top_k)
+            floor[full] = points[order][last[full] - 1]
+            return [q[order], score[order], doc[order], batch[order]]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names = list(codes)
+            for at in range(0, len(held[0]), 10_000):
+                q, score, doc, batch = (c[at : at + 10_000] for c in held)
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], kind), pa.array(doc), pa.array(score), pa.array(batch.astype(np.int32))], names=["query_id", "doc_id", "score", "batch"])
+
+        def scored(rows: pa.Table) -> None:
+            """Adds the pairs of some whole blocks to ``fresh``."""
+            nonlocal floor
+            rows = rows.combine_chunks()
+            asked = pc.list_flatten(rows["queries"]).combine_chunks().dictionary_encode()
+            own = np.array([codes.setdefault(v, len(codes)) for v in asked.dictionary.to_pylist()], np.int64)
+            floor = np.append(floor, np.zeros(len(codes) - len(floor)))
+            asked, weights = asked.indices.to_numpy(), pc.list_flatten(rows["weights"]).to_numpy()
+            n_posts, n_asks = pc.list_value_length(rows["ids"]).to_numpy(), pc.list_value_length(rows["queries"]).to_numpy()
+            ids, tf, dl = (pc.list_flatten(rows[c]).to_numpy() for c in ("ids", "tfs", "dls"))
+            row = np.repeat(np.arange(len(n_posts)), n_posts)
+            gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (mean or 1.0)))
+            batch = rows["batch"].to_numpy()[row]
+            _, one, doc = np.unique(np.stack([batch, ids], 1), axis=0, return_index=True, return_inverse=True) if len(set(batch.tolist())) > 1 else np.unique(ids, return_index=True, return_inverse=True)
+            doc, ask_from, each = doc.ravel(), (np.cumsum(n_asks) - n_asks)[row], n_asks[row]
+            total, ends, begin = np.zeros(len(own) * len(one)), np.cumsum(each), 0
+            while begin < len(row):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + TRIPLES, "right")))
+                n = each[begin:end]
+                post = np.repeat(np.arange(begin, end), n)
+                ask = ask_from[post] + np.arange(len(post)) - np.repeat(np.cumsum(n) - n, n)
+                total += np.bincount(asked[ask] * len(one) + doc[post], weights[ask] * gain[post], len(total))
+                begin = end
+            total = total.reshape(len(own), len(one))
+            q, d = np.nonzero((total > 0) & (total * 1e4 >= (floor[own] - 1)[:, None]))
+            score, ids, batch = total[q, d], ids[one][d], batch[one][d].astype(np.int64)
+            if gone is not None and len(gone[0]):
+                at = np.minimum(np.searchsorted(gone[0], ids), len(gone[0]) - 1)
+                left = ~((gone[0][at] == ids) & (batch <= gone[1][at]))
+                q, score, ids, batch = q[left], score[left], ids[left], batch[left]
+            fresh.append([own[q], score, ids, batch])
+
+        def pieces() -> Iterator[pa.Table]:
+            """Whole blocks, as many as make up some rows."""
+            waiting, n = [], 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                place = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
+                starts = np.flatnonzero(place[1:] != place[:-1]) + 1
+                before = waiting and waiting[-1].num_rows and (waiting[-1].column(0)[-1].as_py() << 32 | waiting[-1].column(1)[-1].as_py())
+                cut = int(starts[-1]) if len(starts) else 0 if waiting and before != place[0] else None
+                if cut is not None and n + cut >= max(ROWS, min(16 * ROWS, CELLS // (BLOCK * max(1, len(codes))) * ROWS)):
+                    yield pa.Table.from_batches([*waiting, batch.slice(0, cut)])
+                    waiting, n = [], 0
+                    batch = batch.slice(cut)
+                waiting.append(batch)
+                n += batch.num_rows
+            if waiting:
+                yield pa.Table.from_batches(waiting)
+
+        for piece in pieces():
+            scored(piece)
+            if gone is None or sum(len(f[0]) for f in fresh) > max(200_000, len(held[0])):
+                held, fresh = kept(), []
+            if gone is None:
+                yield from out()
+                held = [c[:0] for c in held]
+        held, fresh = kept(), []
+        yield from out()
+
+    return run
+
+
 def _if_small(df: DataFrame) -> DataFrame:
     return if_small(df, SMALL)
 
@@ -112,7 +258,7 @@ class StoredIndex:
         """
         words = F.coalesce(bm25_tokens(text), F.array().cast("array<string>"))
         tokens = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words.alias("tokens"))
-        return self._add(tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), term_counts(F.col("tokens")).alias("terms")), batch or self.next_batch())
+        return self._add(map_arrow(tokens, _counted, FORWARD.removesuffix(", batch int")), batch or self.next_batch())
 
     def _add(self, forward: DataFrame, batch: int) -> int:
         self._write(forward, "forward", batch)
@@ -122,13 +268,11 @@ class StoredIndex:
         return batch
 
     def _blocks(self, forward: DataFrame, n: int) -> DataFrame:
-        """Block rows of documents: one shuffle, by bucket and slice of the blocks."""
-        blocks, slices = -(-n // BLOCK) or 1, -(-n // SLICE) or 1
-        placed = forward.select("doc_id", "dl", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.explode("terms").alias("t"))
-        placed = placed.select("doc_id", "dl", "block", (F.col("block") % slices).alias("slice"), "t.term", "t.tf").withColumn("bucket", bucket_of("term")).repartition("bucket", "slice")
-        grouped = placed.groupBy("bucket", "slice", "block", "term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("held"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
-        rows = grouped.select("term", "block", F.col("held.doc_id").alias("ids"), F.col("held.tf").alias("tfs"), F.col("held.dl").alias("dls"), F.size("held").cast("long").alias("df"), "most_tf", "least_dl", "bucket")
-        return rows.sortWithinPartitions("bucket", "term", "block")
+        """Block rows of documents: one shuffle of documents by their blocks; each task packs and sorts the rows of its own."""
+        blocks, parts = -(-n // BLOCK) or 1, max(1, -(-n // SLICE), min(TASKS, -(-n // LEAST)))
+        placed = forward.where("dl > 0").select("doc_id", "dl", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("terms.term").alias("terms"), F.col("terms.tf").alias("tfs"))
+        rows = map_arrow(placed.repartition(parts, "block").sortWithinPartitions("block"), _packed, BLOCKS.removesuffix(", batch int, bucket int"))
+        return rows.withColumn("bucket", bucket_of("term")).sortWithinPartitions("bucket", "term", "block")
 
     def delete(self, ids: DataFrame, batch: int | None = None) -> int:
         """Deletes the documents (doc_id) as a batch of its own; unknown ids are no fault."""
@@ -154,12 +298,21 @@ class StoredIndex:
         terms = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).withColumn("bucket", bucket_of("term"))
         blocks = self._table("blocks", BLOCKS, batches).join(_if_small(terms.select(*key).distinct()), key, "left_semi")
         known = blocks.groupBy(*key).agg(F.sum("df").alias("df")).where("df > 0")
-        asked = _if_small(terms.join(known, key).select("query_id", *key, (F.col("qtf") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("w")))
+        asked = terms.join(known, key).select("query_id", *key, (F.col("qtf") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("w"))
+        many, told = queries.count() * (n // BLOCK + 1) > FEW, new_dir(self.spark, "asked")
+        if many:  # frequencies are then summed once
+            asked.write.parquet(told)
+            asked = self.spark.read.schema(asked.schema).parquet(told)
+        asked = _if_small(asked)
         blocks = blocks.where("block is not null")
 
         def gain(tf: str, dl: str) -> Column:
             return F.sum(F.col("w") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / F.lit(mean or 1.0))))
 
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+        if many:
+            found = self._of_blocks(blocks, asked, gone, n, mean, top_k, queries.schema["query_id"])
+            return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
         bounds = blocks.select(*key, *place, "most_tf", "least_dl").join(asked, key).groupBy("query_id", *place).agg(gain("most_tf", "least_dl").alias("most"))
 
         def scored(chosen: DataFrame) -> DataFrame:
@@ -170,11 +323,28 @@ class StoredIndex:
 
         best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), *place))
         first = bounds.withColumn("r", best).where(F.col("r") <= max(FIRST, -(-2 * top_k // BLOCK)))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
         floor = scored(first).withColumn("r", rank).where(F.col("r") == top_k).select("query_id", F.col("score").alias("floor"))
         hopeful = bounds.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("most") + SLACK >= F.col("floor")))
         return scored(hopeful).withColumn("rank", rank).where(F.col("rank") <= top_k)
 
+    def _of_blocks(self, blocks: DataFrame, asked: DataFrame, gone: DataFrame, n: int, mean: float, top_k: int, query: StructField) -> DataFrame:
+        """(query_id, doc_id, score): the rows of the asked terms meet by block, and tasks keep what may be among the best."""
+        key, place, held = ["bucket", "term"], ["batch", "block"], ["ids", "tfs", "dls"]
+        parts = max(1, -(-n // (SLICE // 2)), min(TASKS, -(-n // (LEAST // 4))))
+        rows = blocks.select(*key, *place, "ids", F.col("tfs").cast("array<int>").alias("tfs"), F.col("dls").cast("array<int>").alias("dls"))
+        asks = asked.groupBy(*key).agg(F.collect_list("query_id").alias("queries"), F.collect_list("w").alias("weights"))
+        few = asked.limit(SMALL + 1).count() <= SMALL
+        # What is broadcast joins after the shuffle, which then carries the postings alone.
+        rows = rows.repartition(parts, *place).join(F.broadcast(asks), key) if few else rows.join(asks, key).repartition(parts, *place)
+        hidden = None
+        if gone.limit(SMALL + 1).count() <= SMALL:
+            told = gone.where("doc_id is not null").orderBy("doc_id").toArrow()
+            hidden = told["doc_id"].to_numpy(), told["upto"].to_numpy()
+        schema = StructType([StructField("query_id", query.dataType), StructField("doc_id", LongType()), StructField("score", DoubleType()), StructField("batch", IntegerType())])
+        pairs = map_arrow(rows.select(*place, *held, "queries", "weights").sortWithinPartitions(*place), _best(mean, top_k, hidden, to_arrow_type(query.dataType)), schema)
+        left = pairs.drop("batch") if hidden is not None else self._left(pairs, gone).drop("batch")
+        return left.select("query_id", "doc_id", F.round("score", 4).alias("score")).where("score > 0")
+
     def compact(self, root: str, upto: int | None = None) -> StoredIndex:
         """An index of what is left, of batches up to a number, in one batch of the last one's number below another
         folder; no text is read."""

@@ -116,3 +116,41 @@ def test_term_counts(spark):
     rows = spark.createDataFrame([(["b", "a", "b"],), ([],), (None,), (["x"],)], "t array<string>")
     found = [r[0] for r in rows.select(term_counts(F.col("t"))).collect()]
     assert [x and [tuple(p) for p in x] for x in found] == [[("a", 1), ("b", 2)], None, None, [("x", 1)]]
+
+
+@pytest.mark.parametrize("small", [10**6, 0])
+@pytest.mark.parametrize("least", [1, 10**6])
+def test_many_queries_are_scored_block_by_block(spark, tmp_path, monkeypatch, small, least):
+    """Beyond a few pairs of queries and blocks: no row of a term and a document, and no pair, passes through a shuffle."""
+    for name, value in {"SMALL": small, "BLOCK": 8, "SLICE": 40, "FEW": 0, "TRIPLES": least, "CELLS": least, "ROWS": 1}.items():
+        monkeypatch.setattr(postings, name, value)
+    rows = corpus(120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = StoredIndex(spark, f"file://{tmp_path}/index")
+    index.add(df.where("doc_id < 70"))
+    index.add(df.where("doc_id >= 70"))
+    same(spark, index, rows)
+    index.delete(spark.createDataFrame([(i,) for i in (3, 5, 71, 999)], "doc_id long"))
+    left = [r for r in rows if r[0] not in (3, 5, 71)]
+    same(spark, index, left)
+    index.add(spark.createDataFrame([(5, "w1 w2 new")], "doc_id long, text string"))
+    same(spark, index, [*left, (5, "w1 w2 new")], 3)
+    if small:
+        plan = index.search(queries(spark), 3)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "explode(arrays_zip" not in plan
+
+
+def test_blocks_are_packed_in_tasks(spark, tmp_path, monkeypatch):
+    """One shuffle, of documents; every block row holds its documents by id, however batches cut the blocks."""
+    monkeypatch.setattr(postings, "BLOCK", 16)
+    rows = corpus(3000)
+    index = StoredIndex(spark, str(tmp_path / "index"))
+    index.add(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    told = spark.read.parquet(f"{index.root}/blocks")
+    assert told.groupBy("term", "block").count().where("count > 1").count() == 0
+    assert told.where("ids <> array_sort(ids) or df <> size(ids) or most_tf <> array_max(tfs) or least_dl <> array_min(dls)").count() == 0
+    got = told.select("term", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).select("p.ids", "term", "p.tfs")
+    want = bm25.postings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    plan = index._blocks(index._written("forward", postings.FORWARD, 1), 3000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Aggregate" not in plan and "explode" not in plan
