@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from docmill.functions.text import bm25_tokens
-from docmill.operators.bm25 import K1, B
+from docmill.operators.bm25 import K1, B, row_counts
 from docmill.operators.chunking import bound
 from docmill.operators.retrieval import half_up
 from docmill.sources.tables import if_small, new_dir, read_or_empty
@@ -65,17 +65,6 @@ def term_counts(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, bound(F.array_sort(tokens), runs))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tokens) -> (doc_id, dl, terms): what ``term_counts`` gives, by grouping all tokens of a batch."""
-    for batch in batches:
-        sizes = np.diff(batch.column(1).offsets.to_numpy())
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        counts = pa.table({"row": row, "term": batch.column(1).flatten()}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).sort_by([("row", "ascending"), ("term", "ascending")])
-        ends = np.append(0, np.cumsum(np.bincount(counts["row"].to_numpy(), minlength=len(sizes)))).astype(np.int32)
-        told = pa.StructArray.from_arrays([counts["term"].combine_chunks().cast(pa.string()), counts["count_all"].combine_chunks().cast(pa.int64())], ["term", "tf"])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), told, mask=pa.array(sizes == 0))], names=["doc_id", "dl", "terms"])
-
-
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (doc_id, dl, block, terms, tfs) in the order of their blocks -> block rows, without bucket.
 
@@ -258,7 +247,7 @@ class StoredIndex:
         """
         words = F.coalesce(bm25_tokens(text), F.array().cast("array<string>"))
         tokens = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words.alias("tokens"))
-        return self._add(map_arrow(tokens, _counted, FORWARD.removesuffix(", batch int")), batch or self.next_batch())
+        return self._add(map_arrow(tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens"), row_counts, FORWARD.removesuffix(", batch int")), batch or self.next_batch())
 
     def _add(self, forward: DataFrame, batch: int) -> int:
         self._write(forward, "forward", batch)

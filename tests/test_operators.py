@@ -208,3 +208,19 @@ def test_vector_search_takes_any_number_of_queries(spark, monkeypatch):
     whole = search()
     monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 10)
     assert len(whole) == 240 and search() == whole
+
+
+def test_bm25_tasks_grow_with_pairs_of_queries_and_documents(spark, monkeypatch):
+    """A task holds few pairs, and documents that repeat an id are one if they are as long."""
+    from docmill.operators import bm25
+
+    docs = spark.createDataFrame([*((i, f"w{i % 7} w{i % 3} w1") for i in range(60)), (5, "w5 w2 w9"), (None, "w1 w4"), (61, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"w{i} w1 w1") for i in range(8)], "query_id long, query string")
+    rows = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    want = rows(bm25.search(docs, asked, 5))
+    monkeypatch.setattr(bm25, "PAIRS", 50)
+    found = bm25.search(docs, asked, 5)
+    assert rows(found) == want
+    assert "RepartitionByExpression [doc_id" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and f", {-(-8 * 63 // 50)}" in plan
+    monkeypatch.setattr(bm25, "BROADCAST_TERMS", 0)
+    assert rows(bm25.search(docs, asked, 5)) == want
