@@ -108,6 +108,16 @@ def test_answers_grow_with_the_documents(spark, docs, tmp_path, caplog):
     assert all(r[5] in range(1, 4) for r in grown)
 
 
+def test_answers_of_many_questions_shuffle_no_pairs(spark, docs, tmp_path, monkeypatch):
+    """Scored block by block: the answers are those of chosen blocks."""
+    from docmill.operators import postings
+
+    options = {"documents": f"{DIR}/documents.parquet", "questions": f"{DIR}/benchmark.parquet", "output": f"file://{tmp_path}/out"}
+    want = rows(answer_questions.run(spark, options))
+    monkeypatch.setattr(postings, "FEW", 0)
+    assert rows(answer_questions.run(spark, options)) == want and want
+
+
 def test_best_passage_is_the_first_with_most_words(spark):
     text = "alpha beta.\n\ngamma delta alpha.\n\nalpha gamma delta."
     row = spark.createDataFrame([(text, ["alpha", "gamma", "delta"])], "text string, words array<string>")
